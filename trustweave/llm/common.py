@@ -67,6 +67,30 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+# ---------------------------------------------------------------- filters of a fixed size
+
+#: Bits of a filter, whatever it is made of: 8 MB. As it fills up, it lets more pass, which the join behind it drops.
+FILTER_BITS = 1 << 26
+
+
+def filter_place(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)).cast("long").alias("_bit")
+
+
+def filter_bits(places: DataFrame) -> np.ndarray:
+    """The filter with a bit set for each place (column _bit); gathered as one number a word."""
+    bits = F.bit_or(F.expr("shiftleft(1L, CAST(_bit & 31 AS int))")).alias("bits")
+    rows = places.groupBy(F.shiftright("_bit", 5).alias("word")).agg(bits).toArrow()
+    words = np.zeros(FILTER_BITS // 32, np.uint32)
+    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
+    return words
+
+
+def passes(words: np.ndarray, places: pa.Array) -> pa.Array:
+    bit = places.to_numpy(zero_copy_only=False)
+    return pa.array((words[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1)
+
+
 # ---------------------------------------------------------------- byte kernels
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64

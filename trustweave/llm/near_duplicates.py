@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, mix, prefix_hash, span_hash
+from .common import Written, filter_bits, filter_place, mix, passes, prefix_hash, span_hash
 from .components import components
 
 #: Words of a shingle and percent of the union that a link takes, unless a contract says otherwise.
@@ -17,8 +17,8 @@ SHINGLE, PERCENT = 5, 80
 #: Values a sketch retains, how many of the lowest make inverted lists, and the part of those that a linked pair
 #: shares but for a chance of about 5e-8; standard errors that an estimate may lie below the bound.
 RETAINED, LISTED, SHARED, SLACK = 128, 32, 0.375, 5.5
-#: Most members of a family that meet in one block; bits of the filter that names the sets to read again.
-BLOCK, FILTER_BITS = 1024, 1 << 24
+#: Most members of a family that meet in one block.
+BLOCK = 1024
 _FIRST, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -132,19 +132,6 @@ def _sketch_rows(size: int):
     return run
 
 
-def _bit(doc):
-    return F.pmod(F.xxhash64(doc), F.lit(FILTER_BITS)).cast("long")
-
-
-def _filter_bits(needed: DataFrame) -> np.ndarray:
-    """A bit for each doc of needed in an array of a fixed size; gathered as sums of bits by word."""
-    bits = F.bit_or(F.expr("shiftleft(1L, CAST(bit & 31 AS int))")).alias("bits")
-    rows = needed.select(_bit(F.col("doc")).alias("bit")).groupBy(F.shiftright("bit", 5).alias("word")).agg(bits).toArrow()
-    words = np.zeros(FILTER_BITS // 32, np.uint32)
-    words[rows["word"].to_numpy()] = rows["bits"].to_numpy().astype(np.uint32)
-    return words
-
-
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCENT, text: str = "text", block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
@@ -281,19 +268,18 @@ def _confirmed(given: DataFrame, classes: DataFrame, pairs: DataFrame, keep: Wri
     classes' first documents, which a filter of a fixed number of bits lets pass (and some more, which a join drops)."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     needed = keep.put(classes.select("cid", "d1", "d2", "doc").join(ids, "cid", "left_semi"), f"needed-{name}")
-    shared = given.sparkSession.sparkContext.broadcast(_filter_bits(needed))
+    shared = given.sparkSession.sparkContext.broadcast(filter_bits(needed.select(filter_place("doc"))))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy(zero_copy_only=False)
-            wanted = batch.filter(pa.array((shared.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
+            wanted = batch.filter(passes(shared.value, batch.column(2)))
             for at in range(0, wanted.num_rows, 1024):
                 part = wanted.slice(at, 1024)
                 sets = shingle_sets([b"" if x is None else x for x in part.column(1).cast(pa.large_binary()).to_pylist()], size)
                 d = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "d1", "d2", "set"])
 
-    sets = given.select(F.col("doc_id").alias("doc"), "text", _bit(F.col("doc_id")).alias("bit")).mapInArrow(read, "doc long, d1 long, d2 long, set binary")
+    sets = given.select(F.col("doc_id").alias("doc"), "text", filter_place("doc_id")).mapInArrow(read, "doc long, d1 long, d2 long, set binary")
     sets = sets.join(needed, (sets["d1"] == needed["d1"]) & (sets["d2"] == needed["d2"]) & sets["doc"].eqNullSafe(needed["doc"])).select("cid", "set")
     sets = keep.put(sets.groupBy("cid").agg(F.any_value("set").alias("set")), f"sets-{name}")
 

@@ -6,6 +6,7 @@ from importlib import import_module
 
 _AT = {
     "op1_neighbours": ("neighbours", "op1"),
+    "op2_suffix_dedup": ("suffix_dedup", "op2"),
     "op3_substring_dedup": ("substring_dedup", "op3"),
     "op4_line_dedup": ("line_dedup", "op4"),
     "op5_quality_rules": ("quality_rules", "op5"),
