@@ -16,7 +16,7 @@ from .components import components
 SHINGLE, PERCENT = 5, 80
 #: Values a sketch retains, how many of the lowest make inverted lists, and the part of those that a linked pair
 #: shares but for a chance of about 5e-8; standard errors that an estimate may lie below the bound.
-RETAINED, LISTED, SHARED, SLACK = 128, 32, 0.375, 5.5
+RETAINED, LISTED, SHARED, SLACK = 192, 32, 0.375, 4.5
 #: Most members of a family that meet in one block.
 BLOCK = 1024
 _FIRST, _NEXT = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -109,10 +109,10 @@ def likely(a, b, na, nb, percent: float = PERCENT) -> np.ndarray:
     return out
 
 
-def _matrix(column: pa.Array, k: int) -> np.ndarray:
+def _matrix(column: pa.Array, k: int, kind=np.int32, fill: int = np.iinfo(np.int32).max) -> np.ndarray:
     flat, off = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     n = np.diff(off)
-    out = np.full((len(column), k), np.iinfo(np.int32).max, np.int32)
+    out = np.full((len(column), k), fill, kind)
     out[np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = flat
     return out
 
@@ -140,9 +140,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCE
 
     Documents with the same set make a class, and only classes are compared. The lowest values of a sketch make
     inverted lists; of a document's lists its rarest count, so many that a linked pair has one in common. The lists of
-    one first member (by a hash) make a family. First every member is compared with that member; then, in families that
-    hold several components yet, all pairs of different components, in blocks, by their sketches; so a family of
-    many copies costs a row a copy, and no link between components is left out. What passes is confirmed.
+    one first member (by a hash) make a family, which meets in blocks with its sketches. At first each member only gives
+    its pairs with the most similar one and with the first member; what of them is confirmed joins nearly all that belongs
+    together. Then families that hold several components yet give all pairs across them that pass, so no link between
+    components is left out, and a family of many copies costs rows in proportion to its copies.
 
     Null or empty text, or no words: n_shingles 0, linked with nothing. Rows of one doc_id count as rows of their own
     and share their component_id where their sets are linked. Null doc_id: never a component_id unless all of the group
@@ -168,30 +169,26 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCE
     family = keep.put(entries.join(firsts, "v").select("family", "cid").distinct(), "family")
 
     sketches = classes.select("cid", "n", "sketch")
-    side = lambda x: sketches.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
-
-    def pass_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                na, nb = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
-                ok = likely(_matrix(batch.column(3), RETAINED), _matrix(batch.column(5), RETAINED), na, nb, percent)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
-
-    star = family.filter("family <> cid").select(F.col("family").alias("a"), F.col("cid").alias("b"))
-    star = star.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b", "na", "sa", "nb", "sb").mapInArrow(pass_pairs, "a long, b long")
-    links = _confirmed(given, classes, keep.put(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "star"), keep, size, percent, "1")
+    # The smallest family that two members have in common is the one in which they meet last.
+    families = family.groupBy("cid").agg(F.sort_array(F.collect_set("family")).alias("families"))
+    def blocks(members: DataFrame) -> DataFrame:
+        """members (family, cid, root) with sketches; a large family's parts meet in pairs."""
+        size_ = members.groupBy("family").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members")).filter("r0 <> r1").select("family", "members")
+        parts = F.ceil(F.col("members") / block).cast("int")
+        rows_ = members.join(size_, "family").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        rows_ = rows_.withColumn("other", other).select("family", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", "root")
+        rows_ = rows_.join(sketches, "cid").join(families, "cid").select("family", "p", "q", "part", "cid", "root", "n", "sketch", "families")
+        return rows_.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q", "cid")
+
+    # First each member with those that are most like it, which joins nearly all that belong together.
+    close = blocks(family.withColumn("root", F.col("cid"))).mapInArrow(_meet(percent, True), "a long, b long").distinct()
+    links = _confirmed(given, classes, keep.put(close, "close"), keep, size, percent, "1")
     reached = keep.put(components(links, keep, "first"), "reached")
-
-    # Families with several components yet: all pairs across them.
+    # Then, in families that hold several components yet, all pairs across them.
     marked = family.join(reached, F.col("cid") == F.col("node"), "left").select("family", "cid", F.coalesce("root", "cid").alias("root"))
-    open_ = marked.groupBy("family").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members")).filter("r0 <> r1 AND members > 2").select("family", "members")
-    parts = F.ceil(F.col("members") / block).cast("int")
-    mine = marked.join(open_, "family").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    mine = mine.withColumn("other", other).select("family", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", "root")
-    mine = mine.join(sketches, "cid").select("family", "p", "q", "part", "cid", "root", "n", "sketch").repartition("family", "p", "q").sortWithinPartitions("family", "p", "q", "cid")
-    more = mine.mapInArrow(_across(percent), "a long, b long").distinct()
-    again = _confirmed(given, classes, keep.put(more, "across"), keep, size, percent, "2")
+    across = blocks(marked).mapInArrow(_meet(percent, False), "a long, b long").distinct()
+    again = _confirmed(given, classes, keep.put(across, "across"), keep, size, percent, "2")
     every = keep.put(components(links.unionByName(again), keep, "all"), "every")
 
     of = classes.select("cid", "d1", "d2", "doc").join(every, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
@@ -202,41 +199,61 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCE
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _across(percent: float):
-    """Pairs of different components within a family's block whose sketches pass, the first member's pairs left out."""
+def _meet(percent: float, closest: bool):
+    """Pairs within a family's block whose sketches pass: if closest, each member's with the most similar other and with
+    the family's first, else all of different components, each in one family only."""
+    fill = np.iinfo(np.int32).max
 
-    def pairs(family: int, p: int, q: int, part: np.ndarray, cid: np.ndarray, root: np.ndarray, n: np.ndarray, sk: np.ndarray):
-        fill = np.iinfo(np.int32).max
-        rows, cols = (np.flatnonzero(part == p), np.flatnonzero(part == q))
-        if len(cid) <= 48:
+    def candidates(rows: np.ndarray, cols: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs that share enough values to pass, and their share of the least they need."""
+        if len(rows) * len(cols) <= 2304:
             i, j = np.meshgrid(rows, cols, indexing="ij")
-            i, j = i.ravel(), j.ravel()
-        else:  # shared values of all pairs as a product of 0/1 tables, some values at a time
-            value, at = np.unique(sk, return_inverse=True)
-            at = at.reshape(sk.shape)
-            many = np.bincount(at.ravel(), minlength=len(value)) > 1
-            many[value == fill] = False
-            place = np.cumsum(many) - 1
-            shared = np.zeros((len(rows), len(cols)), np.float32)
-            for lo in range(0, int(many.sum()), 2048):
-                t = np.zeros((len(cid), 2048), np.float32)
-                r, c = np.nonzero(many[at] & (place[at] >= lo) & (place[at] < lo + 2048))
-                t[r, place[at[r, c]] - lo] = 1
-                shared += t[rows] @ t[cols].T
-            union = (n[rows][:, None] + n[cols][None]) / 1.8
-            whole = (n[rows] <= RETAINED)[:, None] & (n[cols] <= RETAINED)[None]
-            error = np.where(whole, 0.0, SLACK * np.sqrt(0.16 / RETAINED * np.maximum(0.02, 1 - RETAINED / np.maximum(union, RETAINED))))
-            # A pair that shares fewer cannot have an estimate that passes.
-            i, j = np.nonzero(shared + 0.5 >= (percent / 100 - error) * np.where(whole, np.floor(union), np.minimum(RETAINED, np.floor(union))) - 1)
-            i, j = rows[i], cols[j]
-        ok = (root[i] != root[j]) & (cid[i] != family) & (cid[j] != family)
+            return i.ravel(), j.ravel(), np.zeros(i.size)
+        # Shared values of all pairs as a product of 0/1 tables, some values at a time.
+        value, at = np.unique(sk, return_inverse=True)
+        at = at.reshape(sk.shape)
+        many = np.bincount(at.ravel(), minlength=len(value)) > 1
+        many[value == fill] = False
+        place = np.cumsum(many) - 1
+        shared = np.zeros((len(rows), len(cols)), np.float32)
+        for lo in range(0, int(many.sum()), 2048):
+            t = np.zeros((len(sk), 2048), np.float32)
+            r, c = np.nonzero(many[at] & (place[at] >= lo) & (place[at] < lo + 2048))
+            t[r, place[at[r, c]] - lo] = 1
+            shared += t[rows] @ t[cols].T
+        union = (n[rows][:, None] + n[cols][None]) / 1.8
+        whole = (n[rows] <= RETAINED)[:, None] & (n[cols] <= RETAINED)[None]
+        error = np.where(whole, 0.0, SLACK * np.sqrt(0.16 / RETAINED * np.maximum(0.02, 1 - RETAINED / np.maximum(union, RETAINED))))
+        need = np.maximum(1, (percent / 100 - error) * np.where(whole, np.floor(union), np.minimum(RETAINED, np.floor(union))) - 1)
+        i, j = np.nonzero(shared + 0.5 >= need)
+        return rows[i], cols[j], (shared / need)[i, j]
+
+    def pairs(family: int, p: int, q: int, part, cid, root, n, sk, families):
+        rows, cols = (np.flatnonzero(part == p), np.flatnonzero(part == q))
+        i, j, near = candidates(rows, cols, n, sk)
+        ok = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
         if p == q:
-            ok &= cid[i] < cid[j]
-        i, j = i[ok], j[ok]
+            ok &= i < j
+        i, j, near = i[ok], j[ok], near[ok]
+        if closest and len(i) > 4 * len(cid):
+            best = np.zeros(len(i), bool)
+            for a in (i, j):
+                order = np.lexsort((-near, a))
+                best[order[np.concatenate(([True], a[order][1:] != a[order][:-1]))]] = True
+            best |= (cid[i] == family) | (cid[j] == family)
+            i, j = i[best], j[best]
         if not len(i):
             return None
         ok = np.concatenate([likely(sk[i[c : c + 65536]], sk[j[c : c + 65536]], n[i[c : c + 65536]], n[j[c : c + 65536]], percent) for c in range(0, len(i), 65536)])
-        i, j = cid[i[ok]], cid[j[ok]]
+        i, j = i[ok], j[ok]
+        if not closest and len(i):
+            lowest = np.empty(len(i), np.int64)
+            for c in range(0, len(i), 4096):
+                x, y = families[i[c : c + 4096]], families[j[c : c + 4096]]
+                both = (x[:, :, None] == y[:, None, :]).any(2) & (x != -1)
+                lowest[c : c + 4096] = np.where(both, x, np.iinfo(np.int64).max).min(1)
+            i, j = i[lowest == family], j[lowest == family]
+        i, j = cid[i], cid[j]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +266,7 @@ def _across(percent: float):
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
-            rest = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7)] + [_matrix(batch.column(7), RETAINED)]
+            rest = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7)] + [_matrix(batch.column(7), RETAINED), _matrix(batch.column(8), LISTED, np.int64, -1)]
             cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
             for a, b in zip([0, *cut], [*cut, len(keys)], strict=True):
                 if tuple(keys[a]) != key:
