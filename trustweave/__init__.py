@@ -1 +1,18 @@
 """Learning from tables in which only some labels can be trusted, on Spark."""
+
+__version__ = "0.1.0"
+
+from .config import BlendConfig, ColorConfig, Config, LandmarkConfig, LinearConfig, PatchConfig, TwoViewConfig
+from .functions.exprs import one_hot, payload_bytes, row_normalize, row_weight
+from .operators.audit import AuditReport, federated_audit, mutation_audit
+from .operators.features import ColorModel, PatchModel, block_means, fit_color, fit_patches, gradient_histogram
+from .operators.pipeline import Model, fit, fit_images
+from .operators.stats import RidgeStatistics, central_ridge, client_statistics, combine
+from .operators.student import Student, build_targets, fit_landmark, fit_linear
+from .operators.teacher import Teacher, fit_teacher
+
+__all__ = [
+    "AuditReport", "BlendConfig", "ColorConfig", "ColorModel", "Config", "LandmarkConfig", "LinearConfig", "Model", "PatchConfig", "PatchModel", "RidgeStatistics",
+    "Student", "Teacher", "TwoViewConfig", "__version__", "block_means", "build_targets", "central_ridge", "client_statistics", "combine", "federated_audit", "fit", "fit_color",
+    "fit_images", "fit_landmark", "fit_linear", "fit_patches", "fit_teacher", "gradient_histogram", "mutation_audit", "one_hot", "payload_bytes", "row_normalize", "row_weight",
+]

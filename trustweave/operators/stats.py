@@ -1,0 +1,157 @@
+"""Additive statistics of rows: Gram matrices and right-hand sides, by client or as a whole."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.checks import check_statistics
+from .arrays import matrix
+from .solve import ridge_solve
+
+#: Buckets that rows are summed up in, and rows a product takes.
+BUCKETS, CHUNK = 16, 1024
+
+
+@dataclass(frozen=True)
+class RidgeStatistics:
+    a: np.ndarray
+    b: np.ndarray
+    n: int
+
+    def __add__(self, other: RidgeStatistics) -> RidgeStatistics:
+        return RidgeStatistics(self.a + other.a, self.b + other.b, self.n + other.n)
+
+    def packed(self) -> np.ndarray:
+        """Upper triangle of a, then b."""
+        return np.concatenate([self.a[np.triu_indices(len(self.a))], self.b.ravel()])
+
+    @classmethod
+    def unpack(cls, values: np.ndarray, width: int, n: int) -> RidgeStatistics:
+        cells = width * (width + 1) // 2
+        a = np.zeros((width, width))
+        a[np.triu_indices(width)] = values[:cells]
+        a = np.triu(a) + np.triu(a, 1).T
+        return cls(a, values[cells:].reshape(width, -1), n)
+
+
+def partial_statistics(df: DataFrame, phi: str, q: str, weight: str | None = None, client: str | None = None, buckets: int = BUCKETS, chunk: int = CHUNK) -> DataFrame:
+    """(client, bucket, width, n, packed): sums of w phi phi' and w phi q' of the rows of each bucket of ids.
+
+    Rows are summed in the order of their ids, `chunk` at a time, so the sums are the same to the last bit however
+    the rows are partitioned. A task holds one chunk and one matrix. Every row is shuffled once, none is gathered.
+    """
+    rows = df.select(
+        (F.col(client) if client else F.lit(0)).cast("long").alias("client"),
+        F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"),
+        "id",
+        F.col(phi).cast("array<double>").alias("phi"),
+        F.col(q).cast("array<double>").alias("q"),
+        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, have, total = None, [], 0, None
+
+        def add(last: bool):
+            nonlocal held, have, total
+            if not held:
+                return
+            x, y, w = (np.concatenate(z) for z in zip(*held, strict=True))
+            end = len(x) if last else len(x) // chunk * chunk
+            for at in range(0, end, chunk):
+                s = slice(at, min(at + chunk, end))
+                xw = x[s] * w[s, None]
+                a = np.triu(xw.T @ x[s])
+                part = RidgeStatistics(a + np.triu(a, 1).T, xw.T @ y[s], len(x[s]))
+                total = part if total is None else total + part
+            held, have = ([(x[end:], y[end:], w[end:])], len(x) - end) if end < len(x) else ([], 0)
+
+        def out():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([len(total.a)], pa.int32()), pa.array([total.n]), pa.array([total.packed()], pa.list_(pa.float64()))],
+                ["client", "bucket", "width", "n", "packed"],
+            )
+
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
+            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for lo, hi in zip([0, *cut], [*cut, len(keys)], strict=True):
+                if lo == hi:
+                    continue
+                if key != tuple(keys[lo]):
+                    add(True)
+                    if total is not None:
+                        yield out()
+                    key, total = tuple(keys[lo]), None
+                part = batch.slice(lo, hi - lo)
+                held.append((matrix(part.column(3)), matrix(part.column(4)), part.column(5).to_numpy(zero_copy_only=False)))
+                have += hi - lo
+                if have >= chunk:
+                    add(False)
+        add(True)
+        if total is not None:
+            yield out()
+
+    dealt = rows.repartition("client", "bucket").sortWithinPartitions("client", "bucket", "id")
+    return dealt.mapInArrow(run, "client long, bucket int, width int, n long, packed array<double>")
+
+
+def client_statistics(df: DataFrame, phi: str, q: str, weight: str | None = None, client: str | None = None, **more) -> dict[int, RidgeStatistics]:
+    """Statistics of each client: its buckets' sums in order, one at a time on the driver."""
+    out: dict[int, RidgeStatistics] = {}
+    for r in partial_statistics(df, phi, q, weight, client, **more).orderBy("client", "bucket").toLocalIterator():
+        s = RidgeStatistics.unpack(np.array(r["packed"]), r["width"], r["n"])
+        out[r["client"]] = out[r["client"]] + s if r["client"] in out else s
+    return out
+
+
+def statistics(df: DataFrame, phi: str, q: str, weight: str | None = None, **more) -> RidgeStatistics:
+    found = client_statistics(df, phi, q, weight, None, **more)
+    if not found:
+        raise ValueError("no rows")
+    return found[0]
+
+
+def combine(stats: list[RidgeStatistics], ridge: float) -> np.ndarray:
+    """Weights of the ridge regression over all clients' rows."""
+    check_statistics(stats)
+    total = stats[0]
+    for s in stats[1:]:
+        total = total + s
+    return ridge_solve(total.a, total.b, ridge)
+
+
+def central_ridge(df: DataFrame, phi: str, q: str, ridge: float, weight: str | None = None) -> np.ndarray:
+    return combine([statistics(df, phi, q, weight)], ridge)
+
+
+def gram_table(df: DataFrame, vector: str, weight: str | None = None, client: str | None = None) -> DataFrame:
+    """(client, i, j, v), i <= j: the same sums as a table, in DataFrame functions only."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    group = [F.col(client).alias("client")] if client else []
+    v = F.col(vector)
+    cells = F.flatten(F.transform(v, lambda x, i: F.transform(F.slice(v, i + 1, F.size(v)), lambda y, j: F.struct(i.alias("i"), (i + j).alias("j"), (x * y).alias("p")))))
+    each = df.select(*group, w.alias("w"), F.explode(cells).alias("c"))
+    return each.groupBy(*(["client"] if client else []), F.col("c.i").alias("i"), F.col("c.j").alias("j")).agg(F.sum(F.col("w") * F.col("c.p")).alias("v"))
+
+
+def column_moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population standard deviation of each place of the vectors."""
+    rows = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()
+    return np.array([r["m"] for r in rows]), np.array([r["s"] for r in rows])
+
+
+def label_counts(df: DataFrame, column: str, classes: int) -> DataFrame:
+    """(label, n) of every class, also of those without rows."""
+    every = df.sparkSession.range(classes).select(F.col("id").cast("int").alias(column))
+    return every.join(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")), column, "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def largest_difference(a: np.ndarray, b: np.ndarray) -> float:
+    return float(np.abs(a - b).max()) if a.size else 0.0

@@ -1,11 +1,306 @@
-"""Queries of the library and the SQL that gives the same rows."""
+"""Queries of the library over the test tables, and SQL that gives the same rows."""
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..config import Config, LandmarkConfig
+from ..functions import exprs
+from ..operators import audit, features, kernels, pipeline, sampling, stats
+from ..operators.student import build_targets, fit_linear
+from ..operators.teacher import fit_teacher
+
+SEED, PER_CLASS, LANDMARKS = 7, 5, 16
+
+
+def views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, e, view_a, view_b, joint) of the embeddings: halves of length one and both together."""
+    e = exprs.doubles("embedding")
+    half = lambda a: exprs.row_normalize(F.slice("e", a, 32))
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), "label", e.alias("e"))
+    return rows.withColumn("view_a", half(1)).withColumn("view_b", half(33)).withColumn("joint", exprs.joint(F.col("view_a"), F.col("view_b")))
+
+
+def _places(df: DataFrame, v: str) -> DataFrame:
+    return df.select("id", F.posexplode(v).alias("i", "x")).select("id", "i", (F.round("x", 6) + 0.0).alias("x"))
+
+
+def trusted(spark, sf_dir):
+    return sampling.balanced_sample(views(spark, sf_dir).select("id", "label"), PER_CLASS, SEED)
+
+
+def row_normalize(spark, sf_dir):
+    return _places(views(spark, sf_dir), "view_a")
+
+
+def joint_concat(spark, sf_dir):
+    return _places(views(spark, sf_dir), "joint")
+
+
+def softmax_t(spark, sf_dir):
+    return _places(views(spark, sf_dir).select("id", exprs.softmax(F.col("e"), 0.1).alias("p")), "p")
+
+
+def onehot(spark, sf_dir):
+    return _places(views(spark, sf_dir).select("id", exprs.one_hot(F.col("label"), 10).alias("p")), "p")
+
+
+def argmax_first(spark, sf_dir):
+    return views(spark, sf_dir).select("id", exprs.argmax(F.transform("e", lambda x: F.round(x, 1))).alias("place"))
+
+
+def entropy(spark, sf_dir):
+    return views(spark, sf_dir).select("id", F.round(exprs.normalized_entropy(F.transform("e", lambda x: x * x), 64), 6).alias("h"))
+
+
+def standardize_pop(spark, sf_dir):
+    rows = views(spark, sf_dir).select("id", F.posexplode("e").alias("i", "x"))
+    moments = rows.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
+    return rows.join(F.broadcast(moments), "i").select("id", "i", (F.round((F.col("x") - F.col("m")) / (F.col("s") + 0.01), 6) + 0.0).alias("x"))  # a row a dimension
+
+
+def _marks(spark, sf_dir):
+    return views(spark, sf_dir).select("id", F.col("joint").alias("v")).orderBy(*sampling.shuffled(SEED)).limit(LANDMARKS)
+
+
+def landmark_sample(spark, sf_dir):
+    return _marks(spark, sf_dir).select("id")
+
+
+def rbf_landmarks(spark, sf_dir):
+    rows = views(spark, sf_dir).select("id", F.col("joint").alias("v"))
+    return kernels.anchor_similarities(rows, _marks(spark, sf_dir), 0.5).select("id", "anchor", F.round("d2", 6).alias("d2"), F.round("k", 6).alias("k"))
+
+
+def nearest_centroid(spark, sf_dir):
+    rows = views(spark, sf_dir).select("id", F.col("joint").alias("v"))
+    return kernels.nearest(rows, _marks(spark, sf_dir)).select("id", "centroid", F.round("d2", 6).alias("d2"))
+
+
+def first_m_per_class(spark, sf_dir):
+    return sampling.first_rows(views(spark, sf_dir).select("id", "label"), 3)
+
+
+def untrusted_anti(spark, sf_dir):
+    return sampling.untrusted(views(spark, sf_dir).select("id", "label"), trusted(spark, sf_dir))
+
+
+def gram_upper(spark, sf_dir):
+    return stats.gram_table(views(spark, sf_dir), "joint").select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+def gram_weighted(spark, sf_dir):
+    t = trusted(spark, sf_dir).select("id", F.lit(True).alias("t"))
+    rows = views(spark, sf_dir).join(t, "id", "left").withColumn("w", exprs.row_weight(F.coalesce("t", F.lit(False)), 10.0))
+    return stats.gram_table(rows, "joint", "w").select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+def client_gram(spark, sf_dir):
+    rows = views(spark, sf_dir).withColumn("client", F.pmod("id", F.lit(4)))
+    return stats.gram_table(rows, "view_b", None, "client").select("client", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
+
+
+def client_gram_sum(spark, sf_dir):
+    rows = views(spark, sf_dir).withColumn("client", F.pmod("id", F.lit(4)))
+    return stats.gram_table(rows, "view_b", None, "client").groupBy("i", "j").agg((F.round(F.sum("v"), 6) + 0.0).alias("v"))
+
+
+def rhs_targets(spark, sf_dir):
+    rows = views(spark, sf_dir).select(F.posexplode("joint").alias("i", "x"), "label")
+    return rows.groupBy("i", F.col("label").alias("c")).agg((F.round(F.sum("x"), 6) + 0.0).alias("v"))
+
+
+def lineitem_gram(spark, sf_dir):
+    """One pass of batch products over lineitem: 4 x 4 sums and a right-hand side by return flag."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    flags = F.array(*[F.when(F.col("l_returnflag") == x, 1.0).otherwise(0.0) for x in "ANR"])
+    phi = F.array("l_quantity", F.col("l_extendedprice") / 100000, "l_discount", "l_tax")
+    rows = rows.select(F.col("l_orderkey").alias("id"), phi.alias("phi"), flags.alias("q"))
+    s = stats.statistics(rows, "phi", "q")
+    m = np.concatenate([s.a, s.b], 1)
+    return spark.createDataFrame([(i, j, round(float(m[i, j]), 3)) for i in range(4) for j in range(7)], "i int, j int, v double")
+
+
+def documents_labels(spark, sf_dir):
+    """Documents by source with how many are labelled and how many are good."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source")
+    known = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return docs.join(known, "doc_id", "left").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("labelled"), F.coalesce(F.sum("quality"), F.lit(0)).alias("good"))
+
+
+def apportion(spark, sf_dir):
+    labels = views(spark, sf_dir).select("label")
+    n = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    shares = n.withColumn("client", F.explode(F.array(*map(F.lit, range(4))))).withColumn("p", (F.col("client") + 1) / 10)
+    return sampling.apportion(shares).select("label", "client", "count")
+
+
+def client_counts(spark, sf_dir):
+    labels = views(spark, sf_dir).select("id", "label")
+    p = spark.createDataFrame([(c, k, (k + 1) / 10) for c in range(10) for k in range(4)], "label int, client int, p double")
+    return sampling.owners(labels, p, SEED).groupBy("client", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def worst_client(spark, sf_dir):
+    rows = views(spark, sf_dir).select((F.pmod("id", F.lit(7))).alias("client"), exprs.argmax(F.slice("e", 1, 10)).alias("prediction"), "label")
+    by = rows.groupBy("client").agg(exprs.accuracy(F.col("prediction"), F.col("label")).alias("a"))
+    return by.agg(F.round(F.min("a"), 6).alias("worst"), F.round(F.var_samp("a"), 6).alias("variance"), F.count(F.lit(1)).alias("clients"))
+
+
+def participation(spark, sf_dir):
+    rows = views(spark, sf_dir).select(F.pmod("id", F.lit(10)).alias("client"), exprs.argmax(F.slice("e", 1, 10)).alias("prediction"), "label")
+    by = rows.groupBy("client").agg(exprs.accuracy(F.col("prediction"), F.col("label")).alias("accuracy"))
+    rates = by.withColumn("rate", F.explode(F.array(F.lit(5), F.lit(8), F.lit(10)))).filter("client < rate")
+    return rates.groupBy("rate").agg(F.round(F.avg("accuracy"), 6).alias("mean_accuracy"), F.round(F.min("accuracy"), 6).alias("min_accuracy"))
+
+
+def _pixels(spark, sf_dir):
+    """Images of a formula over the rows of the embeddings."""
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"))
+    return ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(3071)), lambda p: F.pmod(F.col("id") * 31 + p * p * 7 + p * 13, F.lit(256)) / 255.0).alias("pixels"))
+
+
+def block_mean(spark, sf_dir):
+    from ..operators.arrays import with_array
+
+    out = with_array(_pixels(spark, sf_dir), "c", ["pixels"], features.block_means)
+    return _places(out, "c")
+
+
+def color_stats(spark, sf_dir):
+    from ..operators.arrays import with_array
+
+    m, s = stats.column_moments(with_array(_pixels(spark, sf_dir), "c", ["pixels"], features.block_means), "c")
+    return spark.createDataFrame([(i, round(float(a), 6), round(float(b), 6)) for i, (a, b) in enumerate(zip(m, s, strict=True))], "i int, mean double, std double")
+
+
+def grad_hist(spark, sf_dir):
+    return features.fit_color(_pixels(spark, sf_dir)).transform(_pixels(spark, sf_dir)).select("id", F.round(exprs.total(F.col("view_a")), 4).alias("s"))
+
+
+def _config(**more):
+    return Config(student=LandmarkConfig(landmark_count=64), **more)
+
+
+def teacher_scores(spark, sf_dir):
+    v = views(spark, sf_dir)
+    teacher = fit_teacher(v, trusted(spark, sf_dir), 10, blend=Config().kmeans_teacher)
+    return teacher.scores(v.select("id", "view_a", "view_b", "joint")).select("id", F.transform("raw", lambda x: F.round(x, 6)).alias("raw"))
+
+
+def targets(spark, sf_dir):
+    v, t = views(spark, sf_dir), trusted(spark, sf_dir)
+    teacher = fit_teacher(v, t, 10, blend=Config().kmeans_teacher)
+    return build_targets(teacher.probabilities(v.select("id", "view_a", "view_b", "joint")), t, 10).select("id", "is_trusted", F.transform("q", lambda x: F.round(x, 6)).alias("q"))
+
+
+def student_weights(spark, sf_dir):
+    v = views(spark, sf_dir).withColumn("q", exprs.one_hot(F.col("label"), 10)).select("id", "joint", "q")
+    w = fit_linear(v, trusted=trusted(spark, sf_dir)).weights
+    return spark.createDataFrame([(i, j, round(float(w[i, j]), 6)) for i in range(w.shape[0]) for j in range(w.shape[1])], "i int, c int, w double")
+
+
+def predictions(spark, sf_dir):
+    v = views(spark, sf_dir).select("id", "view_a", "view_b", "joint")
+    return pipeline.fit(v, trusted(spark, sf_dir)).predict(v).select("id", "prediction")
+
+
+def predictions_landmark(spark, sf_dir):
+    v = views(spark, sf_dir).select("id", "view_a", "view_b", "joint")
+    return pipeline.fit(v, trusted(spark, sf_dir), _config(architecture="landmark")).predict(v).select("id", "prediction")
+
+
+def mutation_audit(spark, sf_dir):
+    v, t = views(spark, sf_dir), trusted(spark, sf_dir)
+    labels = v.select("id", F.col("label").cast("string").alias("label"))
+    other = labels.join(t.select("id", F.lit(True).alias("t")), "id", "left").select("id", exprs.sentinel(F.col("label"), F.col("t").isNotNull()).alias("label"))
+    r = audit.mutation_audit(v, t, labels, other, Config())
+    return spark.createDataFrame([(r.target_max_diff, r.student_weight_max_diff, r.passed)], "target_max_diff double, weight_max_diff double, passed boolean")
+
+
+def federated_audit(spark, sf_dir):
+    v = views(spark, sf_dir).select("id", F.col("joint").alias("phi"), exprs.one_hot(F.col("label"), 10).alias("q"), F.pmod("id", F.lit(7)).alias("client"))
+    d = audit.federated_audit(v, 1.0)
+    return spark.createDataFrame([(round(d, 6), d < 1e-10)], "max_weight_diff double, passed boolean")
+
+
+def client_sizes(spark, sf_dir):
+    """Events by user as a client's rows: smallest, largest, clients, and those that hold no purchase."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    by = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("event_type") == "purchase").cast("long")).alias("k"))
+    return by.agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("clients"), F.sum((F.col("k") == 0).cast("long")).alias("without"))
+
+
+_NAMES = [
+    row_normalize, joint_concat, softmax_t, onehot, argmax_first, entropy, standardize_pop, landmark_sample, rbf_landmarks, nearest_centroid, first_m_per_class, untrusted_anti,
+    gram_upper, gram_weighted, client_gram, client_gram_sum, rhs_targets, lineitem_gram, documents_labels, apportion, client_counts, worst_client, participation, block_mean, color_stats,
+    grad_hist, teacher_scores, targets, student_weights, predictions, predictions_landmark, mutation_audit, federated_audit, client_sizes,
+]
+
 
 def queries():
-    return {}
+    return {f.__name__: f for f in _NAMES} | {"trusted_sample": lambda spark, sf_dir: trusted(spark, sf_dir)}
+
+
+_E = """
+e AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
+n AS (SELECT *, greatest(sqrt(list_sum(list_transform(e[1:32], lambda x: x * x))), 1e-12) AS na, greatest(sqrt(list_sum(list_transform(e[33:64], lambda x: x * x))), 1e-12) AS nb FROM e),
+w AS (SELECT id, label, e, list_transform(e[1:32], lambda x: x / na) AS view_a, list_transform(e[33:64], lambda x: x / nb) AS view_b FROM n),
+v AS (SELECT *, list_transform(list_concat(view_a, view_b), lambda x: x / sqrt(2.0)) AS joint FROM w),
+t AS (SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || id), id) AS rk FROM e) WHERE rk <= 5),
+m AS (SELECT id, joint AS a FROM v ORDER BY md5('7:' || id), id LIMIT 16)"""
+_D2 = "list_sum(list_transform(list_zip(joint, a), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _each(v):
+    return f"WITH {_E}, x AS (SELECT id, unnest({v}) AS x, generate_subscripts({v}, 1) - 1 AS i FROM v) SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM x"
+
+
+def _gram(v, client="", weight="1.0", source="v"):
+    c = f"{client} AS client, " if client else ""
+    k = "client, " if client else ""
+    return f"""p AS (SELECT id, {c}{weight} AS w, unnest({v}) AS x, generate_subscripts({v}, 1) - 1 AS i FROM {source}),
+g AS (SELECT {'a.client, ' if client else ''}a.i AS i, b.i AS j, sum(a.w * a.x * b.x) AS v FROM p a JOIN p b ON a.id = b.id AND a.i <= b.i GROUP BY {k and 'a.client, '}a.i, b.i)"""
+
+
+_ARGMAX = "list_position(e[1:10], list_max(e[1:10])) - 1"
+_PIX = "p AS (SELECT vec_id AS id, unnest(range(3072)) AS k FROM embeddings), q AS (SELECT id, k // 1024 * 16 + (k % 1024 // 32) // 8 * 4 + (k % 32) // 8 AS i, ((id * 31 + k * k * 7 + k * 13) % 256) / 255.0::DOUBLE AS x FROM p), b AS (SELECT id, i, avg(x) AS x FROM q GROUP BY id, i)"
 
 
 def oracle_sql():
-    return {}
+    own = "list_position(list_transform(e, lambda x: round(x, 1)), list_max(list_transform(e, lambda x: round(x, 1)))) - 1"
+    deal = f"WITH {_E}, s AS (SELECT label, count(*) AS n FROM e GROUP BY label), c AS (SELECT label, n, client, n * ((client + 1) / 10.0::DOUBLE) AS raw FROM s, (SELECT unnest(range(4)) AS client)), f AS (SELECT *, CAST(floor(raw) AS BIGINT) AS whole FROM c), r AS (SELECT *, n - sum(whole) OVER (PARTITION BY label) AS rest, row_number() OVER (PARTITION BY label ORDER BY raw - whole DESC, client) AS rk FROM f), d AS (SELECT label, CAST(client AS INT) AS client, CAST(whole + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS BIGINT) AS count FROM r) "
+    return {
+        "row_normalize": _each("view_a"),
+        "joint_concat": _each("joint"),
+        "softmax_t": f"WITH {_E}, s AS (SELECT id, list_transform(e, lambda x: exp((x - list_max(e)) / 0.1::DOUBLE)) AS s FROM e), x AS (SELECT id, unnest(s) / list_sum(s) AS x, generate_subscripts(s, 1) - 1 AS i FROM s) SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM x",
+        "onehot": "SELECT vec_id AS id, CAST(c AS INT) AS i, CASE WHEN c = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM embeddings, (SELECT unnest(range(10)) AS c)",
+        "argmax_first": f"WITH {_E} SELECT id, CAST({own} AS INT) AS place FROM e",
+        "entropy": f"WITH {_E} SELECT id, round(-list_sum(list_transform(list_filter(list_transform(e, lambda x: x * x), lambda y: y > 0), lambda z: z * ln(z))) / ln(64), 6) AS h FROM e",
+        "standardize_pop": f"WITH {_E}, x AS (SELECT id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS i FROM e), a AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY i) SELECT id, CAST(i AS INT) AS i, round((x - m) / (s + 0.01::DOUBLE), 6) + 0.0 AS x FROM x JOIN a USING (i)",
+        "landmark_sample": f"WITH {_E} SELECT id FROM m",
+        "rbf_landmarks": f"WITH {_E}, d AS (SELECT v.id, m.id AS anchor, {_D2} AS d2 FROM v, m) SELECT id, anchor, round(d2, 6) AS d2, round(exp(-0.5 * d2), 6) AS k FROM d",
+        "nearest_centroid": f"WITH {_E}, d AS (SELECT v.id, m.id AS anchor, {_D2} AS d2 FROM v, m) SELECT id, centroid, round(d2, 6) AS d2 FROM (SELECT id, anchor AS centroid, d2, row_number() OVER (PARTITION BY id ORDER BY d2, anchor) AS rk FROM d) WHERE rk = 1",
+        "first_m_per_class": f"WITH {_E} SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY id) AS rk FROM e) WHERE rk <= 3",
+        "trusted_sample": f"WITH {_E} SELECT id, label FROM t",
+        "untrusted_anti": f"WITH {_E} SELECT id, label FROM e WHERE id NOT IN (SELECT id FROM t)",
+        "gram_upper": f"WITH {_E}, {_gram('joint')} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(v, 6) + 0.0 AS v FROM g",
+        "gram_weighted": f"WITH {_E}, {_gram('joint', '', 'CASE WHEN id IN (SELECT id FROM t) THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END')} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(v, 6) + 0.0 AS v FROM g",
+        "client_gram": f"WITH {_E}, {_gram('view_b', 'id % 4')} SELECT client, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(v, 6) + 0.0 AS v FROM g",
+        "client_gram_sum": f"WITH {_E}, {_gram('view_b')} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(v, 6) + 0.0 AS v FROM g",
+        "rhs_targets": f"WITH {_E}, x AS (SELECT label, unnest(joint) AS x, generate_subscripts(joint, 1) - 1 AS i FROM v) SELECT CAST(i AS INT) AS i, label AS c, round(sum(x), 6) + 0.0 AS v FROM x GROUP BY i, label",
+        "lineitem_gram": "WITH r AS (SELECT [l_quantity, l_extendedprice / 100000, l_discount, l_tax] AS f, l_returnflag AS g FROM lineitem), x AS (SELECT list_concat(f, [CASE WHEN g = 'A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN g = 'N' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN g = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END]) AS y FROM r) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(y[i + 1] * y[j + 1]), 3) AS v FROM x, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(7)) AS j) GROUP BY i, j",
+        "documents_labels": "SELECT source, count(*) AS n, count(quality) AS labelled, CAST(coalesce(sum(quality), 0) AS BIGINT) AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
+        "apportion": deal + "SELECT label, client, count FROM d",
+        "client_counts": deal + "SELECT client, label, count AS n FROM d WHERE count > 0",
+        "worst_client": f"WITH {_E}, x AS (SELECT id % 7 AS client, avg(CASE WHEN {_ARGMAX} = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS a FROM e GROUP BY 1) SELECT round(min(a), 6) AS worst, round(var_samp(a), 6) AS variance, count(*) AS clients FROM x",
+        "participation": f"WITH {_E}, x AS (SELECT id % 10 AS client, avg(CASE WHEN {_ARGMAX} = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS a FROM e GROUP BY 1) SELECT CAST(rate AS INT) AS rate, round(avg(a), 6) AS mean_accuracy, round(min(a), 6) AS min_accuracy FROM x, (SELECT unnest([5, 8, 10]) AS rate) WHERE client < rate GROUP BY rate",
+        "block_mean": f"WITH {_PIX} SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM b",
+        "color_stats": f"WITH {_PIX} SELECT CAST(i AS INT) AS i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM b GROUP BY i",
+        "mutation_audit": "SELECT 0.0::DOUBLE AS target_max_diff, 0.0::DOUBLE AS weight_max_diff, true AS passed",
+        "federated_audit": "SELECT 0.0::DOUBLE AS max_weight_diff, true AS passed",
+        "client_sizes": "WITH u AS (SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS k FROM events GROUP BY user_id) SELECT min(n) AS smallest, max(n) AS largest, count(*) AS clients, CAST(sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS BIGINT) AS without FROM u",
+    }
+
