@@ -18,10 +18,14 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, not again for each element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def row_normalize(v: Column, eps: float = 1e-12) -> Column:
     """v over its length, which counts as eps at least."""
-    n = F.greatest(F.sqrt(dot(v, v)), F.lit(eps))
-    return F.transform(v, lambda x: x / n)
+    return let(F.greatest(F.sqrt(dot(v, v)), F.lit(eps)), lambda n: F.transform(v, lambda x: x / n))
 
 
 def one_hot(label: Column, classes: int) -> Column:
@@ -31,9 +35,8 @@ def one_hot(label: Column, classes: int) -> Column:
 def softmax(v: Column, temperature: float) -> Column:
     if temperature <= 0:
         raise ValueError("temperature must be positive")
-    m = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp((x - m) / temperature))
-    return F.transform(e, lambda x: x / total(e))
+    e = let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp((x - m) / temperature)))
+    return let(e, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def argmax(v: Column) -> Column:
@@ -58,10 +61,8 @@ def square_root(v: Column) -> Column:
 
 
 def patch_normalize(v: Column, eps: float = 10.0) -> Column:
-    mean = total(v) / F.size(v)
-    centred = F.transform(v, lambda x: x - mean)
-    spread = F.sqrt(dot(centred, centred) / F.size(v) + eps)
-    return F.transform(centred, lambda x: x / spread)
+    centred = let(total(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m))
+    return let(centred, lambda c: let(F.sqrt(dot(c, c) / F.size(c) + eps), lambda s: F.transform(c, lambda x: x / s)))
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -36,10 +36,11 @@ def read_records(spark: SparkSession, path: str, raw: bool = False) -> DataFrame
 def read_folder(spark: SparkSession, folder: str, raw: bool = False) -> DataFrame:
     """(split, file, record, id, label, pixels) of the training files in order and the test file; ids by file and record."""
     out = None
-    for split, names in (("train", TRAIN), ("test", TEST)):
-        for i, name in enumerate(names):
-            part = read_records(spark, f"{folder}/{name}", raw).select(F.lit(split).alias("split"), F.lit(i).alias("file"), "record", (F.lit(i).cast("long") * 1_000_000_000 + F.col("record")).alias("id"), "label", "pixels")
-            out = part if out is None else out.unionByName(part)
+    files = [("train", n) for n in TRAIN] + [("test", n) for n in TEST]
+    for i, (split, name) in enumerate(files):
+        at = (F.lit(i).cast("long") * 1_000_000_000 + F.col("record")).alias("id")
+        part = read_records(spark, f"{folder}/{name}", raw).select(F.lit(split).alias("split"), F.lit(i).alias("file"), "record", at, "label", "pixels")
+        out = part if out is None else out.unionByName(part)
     return out
 
 
