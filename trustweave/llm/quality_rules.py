@@ -7,37 +7,38 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, words
+from .common import WORD, Written, words
 
 #: Characters that count as symbols.
-SYMBOLS = "#*$%&|<>"
-SPACES = " \t\n\x0b\x0c\r"
+SYMBOLS = r"[#*$%&|<>]"
 #: Buckets of hashed n-grams, added count a bucket, and the least mean log ratio a document keeps its place with.
 BUCKETS, SMOOTHING, THRESHOLD = 16384, 1.0, -0.08
 #: Most trusted documents whose counts make the target.
 MAX_TRUSTED = 20_000
 
 
+def pair_hashes(w: str) -> Column:
+    """64-bit hashes of the pairs of neighbouring words of array w."""
+    return F.expr(f"CASE WHEN size({w}) < 2 THEN CAST(array() AS array<bigint>) ELSE zip_with(slice({w}, 1, size({w}) - 1), slice({w}, 2, size({w}) - 1), (a, b) -> xxhash64(a, b)) END")
+
+
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with _words and the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    """docs with _words, _pairs and the counts n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
     docs = docs.withColumns({
         "_words": words(F.col(text)),
-        "_lines": lines,
-        "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+        "_lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD)),
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)).cast("long"),
     })
-    # Windows by hash; where none comes twice, there is nothing to place.
     docs = docs.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "_windows": F.expr(
-            "CASE WHEN size(_words) < 3 THEN CAST(array() AS array<bigint>) ELSE "
-            "zip_with(zip_with(slice(_words, 1, size(_words) - 2), slice(_words, 2, size(_words) - 2), (a, b) -> struct(a, b)), "
-            "slice(_words, 3, size(_words) - 2), (p, c) -> xxhash64(p.a, p.b, c)) END"
-        ),
+        "word_chars": F.expr("aggregate(_words, 0L, (n, w) -> n + length(w))"),
+        "n_dup_lines": F.expr("CAST(CASE WHEN size(_lines) < 2 THEN 0 ELSE size(_lines) - size(array_distinct(_lines)) END AS bigint)"),
+        "_pairs": pair_hashes("_words"),
     }).drop("_lines")
+    # Windows of three words by hash; where none comes twice, there is nothing to place.
+    third = "zip_with(slice(_pairs, 1, size(_pairs) - 1), slice(_words, 3, size(_pairs) - 1), (p, c) -> xxhash64(p, c))"
+    docs = docs.withColumn("_windows", F.expr(f"CASE WHEN size(_pairs) < 2 THEN CAST(array() AS array<bigint>) ELSE {third} END"))
     docs = docs.withColumn("_sorted", F.expr("CASE WHEN size(array_distinct(_windows)) < size(_windows) THEN array_sort(transform(_windows, (h, i) -> struct(h, i))) END"))
     placed = (
         "CASE WHEN _sorted IS NULL THEN 0L ELSE CAST(size(array_distinct(flatten(transform(filter(zip_with(zip_with(_sorted, "
@@ -52,17 +53,14 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def ngram_buckets(w: str, buckets: int) -> Column:
+def ngram_buckets(w: str, pairs: str, buckets: int) -> Column:
     """Buckets of the hashed words and pairs of words."""
-    return F.expr(
-        f"concat(transform({w}, x -> CAST(pmod(xxhash64(x), {buckets}L) AS int)), CASE WHEN size({w}) < 2 THEN CAST(array() AS array<int>) ELSE "
-        f"zip_with(slice({w}, 1, size({w}) - 1), slice({w}, 2, size({w}) - 1), (a, b) -> CAST(pmod(xxhash64(a, b), {buckets}L) AS int)) END)"
-    )
+    return F.expr(f"concat(transform({w}, x -> CAST(pmod(xxhash64(x), {buckets}L) AS int)), transform({pairs}, x -> CAST(pmod(x, {buckets}L) AS int)))")
 
 
 def bucket_counts(texts: DataFrame, buckets: int) -> dict[int, int]:
     """Count of each bucket over all texts (column _words): a row a bucket, however many texts."""
-    rows = texts.select(F.explode(ngram_buckets("_words", buckets)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = texts.withColumn("_pairs", pair_hashes("_words")).select(F.explode(ngram_buckets("_words", "_pairs", buckets)).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
     return {r["b"]: r["n"] for r in rows}
 
 
@@ -87,7 +85,7 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", bucke
     spark = docs.sparkSession
     # One row with the table, at most buckets doubles, so that plans do not carry it as that many literals.
     ratios = spark.createDataFrame([(log_ratios(target, raw, buckets, smoothing),)], "_ratios array<double>")
-    rows = base_counts(docs, text).withColumn("_grams", ngram_buckets("_words", buckets)).drop("_words")
+    rows = base_counts(docs, text).withColumn("_grams", ngram_buckets("_words", "_pairs", buckets)).drop("_words", "_pairs")
     rows = rows.join(F.broadcast(ratios))
     rows = rows.withColumn(
         "llr", F.expr("CASE WHEN size(_grams) = 0 THEN 0D ELSE aggregate(_grams, 0D, (a, b) -> a + get(_ratios, b)) / size(_grams) END")
