@@ -92,8 +92,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: int =
     )
     targets = keep.put(source_targets(sized, weights, epochs), "targets")
     total = targets.agg(F.sum("source_size").alias("n")).collect()[0]["n"] or 0
-    if bins is None:  # so many that a source's bin has some thousand rows
-        bins = min(65536, max(16, 1 << max(0, sized.count() // 4096).bit_length()))
+    if bins is None:  # so many that a bin of all rows has some hundred
+        bins = min(65536, max(16, 1 << max(0, sized.count() // 512).bit_length()))
     bucket = F.floor(F.conv(F.substring("h", 1, 4), 16, 10).cast("int") / (65536 // bins)).cast("int")
     sized = sized.withColumn("bucket", bucket)
     sums = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("s"))
