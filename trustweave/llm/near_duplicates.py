@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, filter_bits, filter_place, mix, passes, prefix_hash, span_hash
@@ -24,7 +24,8 @@ _SPACES = np.zeros(256, bool)
 _SPACES[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-SLAB = 1 << 21
+#: Bytes of text that are hashed at once, rows whose sets are held at once.
+SLAB, PART = 1 << 20, 256
 
 
 def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
@@ -120,8 +121,8 @@ def _matrix(column: pa.Array, k: int, kind=np.int32, fill: int = np.iinfo(np.int
 def _sketch_rows(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, PART):
+                part = batch.slice(at, PART)
                 sets = shingle_sets([b"" if x is None else x for x in part.column(1).cast(pa.large_binary()).to_pylist()], size)
                 d = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
@@ -140,10 +141,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCE
 
     Documents with the same set make a class, and only classes are compared. The lowest values of a sketch make
     inverted lists; of a document's lists its rarest count, so many that a linked pair has one in common. The lists of
-    one first member (by a hash) make a family, which meets in blocks with its sketches. At first each member only gives
-    its pairs with the most similar one and with the first member; what of them is confirmed joins nearly all that belongs
-    together. Then families that hold several components yet give all pairs across them that pass, so no link between
-    components is left out, and a family of many copies costs rows in proportion to its copies.
+    one first member (by a hash) make a family, which meets in blocks with its lists' values: pairs that share fewer of
+    them than a linked pair go. A block with many pairs left at first gives each member's with the most similar one and
+    with the first member; what of them passes the sketches' estimate and is confirmed joins nearly all that belongs
+    together. Then such blocks, if they hold several components yet, meet with whole sketches and give all pairs across
+    them that pass, so no link between components is left out, and a family of many copies costs rows in proportion to
+    its copies.
 
     Null or empty text, or no words: n_shingles 0, linked with nothing. Rows of one doc_id count as rows of their own
     and share their component_id where their sets are linked. Null doc_id: never a component_id unless all of the group
@@ -152,13 +155,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCE
     spark = docs.sparkSession
     keep = Written(spark, "near")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = keep.put(given.mapInArrow(_sketch_rows(size), "doc_id long, n long, d1 long, d2 long, sketch array<int>"), "rows")
-    some = rows.filter("n > 0")
-    merged = some.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    sketched = keep.put(given.mapInArrow(_sketch_rows(size), "doc_id long, n long, d1 long, d2 long, sketch array<int>"), "sketched")
+    merged = sketched.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     classes = keep.put(merged.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    rows = keep.put(sketched.select("doc_id", "n", "d1", "d2"), "rows")
+    keep.drop("sketched")
+    some = rows.filter("n > 0")
 
     # Inverted lists of the values that more than one class has; a class's rarest.
-    listed = classes.select("cid", F.expr(f"slice(sketch, 1, {LISTED})").alias("low"))
+    listed = classes.select("cid", "n", F.expr(f"slice(sketch, 1, {LISTED})").alias("low"))
     values = listed.select("cid", F.size("low").alias("of"), F.explode("low").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     mine = values.join(often, "v").groupBy("cid", "of").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("found"))
@@ -167,27 +172,37 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCE
     entries = keep.put(mine.withColumn("left", left).filter("left > 0").select("cid", rarest.alias("e")).select("cid", F.col("e.v").alias("v")), "entries")
     firsts = entries.groupBy("v").agg(F.min_by("cid", F.xxhash64("cid")).alias("family"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("v", "family")
     family = keep.put(entries.join(firsts, "v").select("family", "cid").distinct(), "family")
+    keep.drop("entries")
 
     sketches = classes.select("cid", "n", "sketch")
-    # The smallest family that two members have in common is the one in which they meet last.
-    families = family.groupBy("cid").agg(F.sort_array(F.collect_set("family")).alias("families"))
-    def blocks(members: DataFrame) -> DataFrame:
-        """members (family, cid, root) with sketches; a large family's parts meet in pairs."""
-        size_ = members.groupBy("family").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members")).filter("r0 <> r1").select("family", "members")
+
+    def blocks(members: DataFrame, several: Column, *more: str) -> DataFrame:
+        """members (family, cid, more) of the families for which `several` holds; a large family's parts meet in pairs."""
+        size_ = members.groupBy("family").agg(several.alias("several"), F.count(F.lit(1)).alias("members")).filter("several").select("family", "members")
         parts = F.ceil(F.col("members") / block).cast("int")
         rows_ = members.join(size_, "family").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        rows_ = rows_.withColumn("other", other).select("family", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", "root")
-        rows_ = rows_.join(sketches, "cid").join(families, "cid").select("family", "p", "q", "part", "cid", "root", "n", "sketch", "families")
-        return rows_.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q", "cid")
-
-    # First each member with those that are most like it, which joins nearly all that belong together.
-    close = blocks(family.withColumn("root", F.col("cid"))).mapInArrow(_meet(percent, True), "a long, b long").distinct()
-    links = _confirmed(given, classes, keep.put(close, "close"), keep, size, percent, "1")
+        return rows_.withColumn("other", other).select("family", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "cid", *more)
+
+    def gathered(members: DataFrame) -> DataFrame:
+        return members.repartition("family", "p", "q").sortWithinPartitions("family", "p", "q", "cid")
+
+    # First each member with those that are most like it by their lists, which joins nearly all that belongs together.
+    light = gathered(blocks(family, F.count(F.lit(1)) > 1).join(listed, "cid").select("family", "p", "q", "part", "cid", "n", "low"))
+    met = keep.put(light.mapInArrow(_meet_lists(percent), "whole boolean, a long, b long").distinct(), "met")
+    close = met.filter("whole").select("a", "b")
+    side = lambda x: sketches.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = close.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    links = _confirmed(given, classes, keep.put(both.mapInArrow(_passing(percent), "a long, b long"), "close"), keep, size, percent, "1")
     reached = keep.put(components(links, keep, "first"), "reached")
-    # Then, in families that hold several components yet, all pairs across them.
-    marked = family.join(reached, F.col("cid") == F.col("node"), "left").select("family", "cid", F.coalesce("root", "cid").alias("root"))
-    across = blocks(marked).mapInArrow(_meet(percent, False), "a long, b long").distinct()
+    # Then, where a block had more pairs than it gave and holds several components yet, all pairs across them.
+    held = met.filter("NOT whole").select(F.col("a").alias("family"), F.col("b").alias("cid"))
+    marked = held.join(reached, F.col("cid") == F.col("node"), "left").select("family", "cid", F.coalesce("root", "cid").alias("root"))
+    # The smallest family that two members have in common is the one that gives their pair.
+    families = held.groupBy("cid").agg(F.sort_array(F.collect_set("family")).alias("families"))
+    full = blocks(marked, F.min("root") < F.max("root"), "root").join(sketches, "cid").join(families, "cid")
+    full = gathered(full.select("family", "p", "q", "part", "cid", "root", "n", "sketch", "families"))
+    across = full.mapInArrow(_meet(percent), "a long, b long").distinct()
     again = _confirmed(given, classes, keep.put(across, "across"), keep, size, percent, "2")
     every = keep.put(components(links.unionByName(again), keep, "all"), "every")
 
@@ -199,83 +214,138 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCE
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _meet(percent: float, closest: bool):
-    """Pairs within a family's block whose sketches pass: if closest, each member's with the most similar other and with
-    the family's first, else all of different components, each in one family only."""
+def _shared(rows: np.ndarray, cols: np.ndarray, sk: np.ndarray) -> np.ndarray:
+    """How many values each of rows has in common with each of cols (sk: values, filled up with the largest number)."""
     fill = np.iinfo(np.int32).max
+    if len(rows) * len(cols) <= 256:
+        return ((sk[rows][:, None, :, None] == sk[cols][None, :, None, :]) & (sk[rows] != fill)[:, None, :, None]).sum((2, 3))
+    # A product of 0/1 tables, some values at a time.
+    value, at = np.unique(sk, return_inverse=True)
+    at = at.reshape(sk.shape)
+    many = np.bincount(at.ravel(), minlength=len(value)) > 1
+    many[value == fill] = False
+    place = np.cumsum(many) - 1
+    member, column = np.nonzero(many[at])
+    spot = place[at[member, column]]
+    order = np.argsort(spot, kind="stable")
+    member, spot = member[order], spot[order]
+    shared = np.zeros((len(rows), len(cols)), np.float32)
+    step = 1024
+    for lo in range(0, int(many.sum()), step):
+        x, y = np.searchsorted(spot, (lo, lo + step))
+        t = np.zeros((len(sk), step), np.float32)
+        t[member[x:y], spot[x:y] - lo] = 1
+        shared += t[rows] @ t[cols].T
+    return shared
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], take) -> Iterator[tuple]:
+    """(family, p, q) and the columns, as take makes arrays of them, of each block; blocks come one after another."""
+    key, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
+        rest = take(batch)
+        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for a, b in zip([0, *cut], [*cut, len(keys)], strict=True):
+            if tuple(keys[a]) != key:
+                if held:
+                    yield key, [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*held, strict=True)]
+                key, held = tuple(keys[a]), []
+            held.append([x[a:b] for x in rest])
+    if held:
+        yield key, [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*held, strict=True)]
+
+
+def _numbers(batch: pa.RecordBatch, lo: int, hi: int) -> list[np.ndarray]:
+    return [batch.column(i).to_numpy(zero_copy_only=False) for i in range(lo, hi)]
+
+
+def _meet_lists(percent: float):
+    """Pairs (whole, a, b) within a block that share enough of their lowest values. Where there are over four a member,
+    only each member's with the most similar other and with the family's first, and rows (not whole, family, member) for
+    all that have a pair."""
+    fill = np.iinfo(np.int32).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (family, p, q), (part, cid, n, low) in _blocks(batches, lambda b: [*_numbers(b, 3, 6), _matrix(b.column(6), LISTED)]):
+            rows, cols = np.flatnonzero(part == p), np.flatnonzero(part == q)
+            if not len(rows) or not len(cols):
+                continue
+            shared = _shared(rows, cols, low)
+            least = np.ceil(SHARED * (low != fill).sum(1))
+            need = np.maximum(least[rows][:, None], least[cols][None])
+            i, j = np.nonzero(shared + 0.5 >= need)
+            near = (shared / need)[i, j]
+            i, j = rows[i], cols[j]
+            ok = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            if p == q:
+                ok &= i < j
+            i, j, near = i[ok], j[ok], near[ok]
+            if not len(i):
+                continue
+            some = np.zeros(0, np.int64)
+            if len(i) > 4 * len(cid):
+                some = cid[np.unique(np.concatenate([i, j]))]
+                best = np.zeros(len(i), bool)
+                for a in (i, j):
+                    order = np.lexsort((-near, a))
+                    best[order[np.concatenate(([True], a[order][1:] != a[order][:-1]))]] = True
+                best |= (cid[i] == family) | (cid[j] == family)
+                i, j = i[best], j[best]
+            i, j = cid[i], cid[j]
+            whole = np.arange(len(i) + len(some)) < len(i)
+            a = np.concatenate([np.minimum(i, j), np.full(len(some), family, np.int64)])
+            b = np.concatenate([np.maximum(i, j), some])
+            yield pa.RecordBatch.from_arrays([pa.array(whole), pa.array(a), pa.array(b)], ["whole", "a", "b"])
+
+    return run
+
+
+def _passing(percent: float):
+    """Pairs (a, b) of rows (a, b, sizes, sketches) whose estimate passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, na, nb = _numbers(batch, 0, 4)
+            ok = likely(_matrix(batch.column(4), RETAINED), _matrix(batch.column(5), RETAINED), na, nb, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], ["a", "b"])
+
+    return run
+
 
-    def candidates(rows: np.ndarray, cols: np.ndarray, n: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pairs that share enough values to pass, and their share of the least they need."""
-        if len(rows) * len(cols) <= 2304:
-            i, j = np.meshgrid(rows, cols, indexing="ij")
-            return i.ravel(), j.ravel(), np.zeros(i.size)
-        # Shared values of all pairs as a product of 0/1 tables, some values at a time.
-        value, at = np.unique(sk, return_inverse=True)
-        at = at.reshape(sk.shape)
-        many = np.bincount(at.ravel(), minlength=len(value)) > 1
-        many[value == fill] = False
-        place = np.cumsum(many) - 1
-        shared = np.zeros((len(rows), len(cols)), np.float32)
-        for lo in range(0, int(many.sum()), 2048):
-            t = np.zeros((len(sk), 2048), np.float32)
-            r, c = np.nonzero(many[at] & (place[at] >= lo) & (place[at] < lo + 2048))
-            t[r, place[at[r, c]] - lo] = 1
-            shared += t[rows] @ t[cols].T
+def _meet(percent: float):
+    """Pairs of different components within a block whose sketches pass, each in one family only."""
+
+    def pairs(family: int, p: int, q: int, part, cid, root, n, sk, families):
+        rows, cols = np.flatnonzero(part == p), np.flatnonzero(part == q)
+        if not len(rows) or not len(cols):
+            return None
         union = (n[rows][:, None] + n[cols][None]) / 1.8
         whole = (n[rows] <= RETAINED)[:, None] & (n[cols] <= RETAINED)[None]
         error = np.where(whole, 0.0, SLACK * np.sqrt(0.16 / RETAINED * np.maximum(0.02, 1 - RETAINED / np.maximum(union, RETAINED))))
         need = np.maximum(1, (percent / 100 - error) * np.where(whole, np.floor(union), np.minimum(RETAINED, np.floor(union))) - 1)
-        i, j = np.nonzero(shared + 0.5 >= need)
-        return rows[i], cols[j], (shared / need)[i, j]
-
-    def pairs(family: int, p: int, q: int, part, cid, root, n, sk, families):
-        rows, cols = (np.flatnonzero(part == p), np.flatnonzero(part == q))
-        i, j, near = candidates(rows, cols, n, sk)
-        ok = (root[i] != root[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        i, j = np.nonzero((_shared(rows, cols, sk) + 0.5 >= need) & (root[rows][:, None] != root[cols][None]))
+        i, j = rows[i], cols[j]
         if p == q:
-            ok &= i < j
-        i, j, near = i[ok], j[ok], near[ok]
-        if closest and len(i) > 4 * len(cid):
-            best = np.zeros(len(i), bool)
-            for a in (i, j):
-                order = np.lexsort((-near, a))
-                best[order[np.concatenate(([True], a[order][1:] != a[order][:-1]))]] = True
-            best |= (cid[i] == family) | (cid[j] == family)
-            i, j = i[best], j[best]
+            i, j = i[i < j], j[i < j]
         if not len(i):
             return None
-        ok = np.concatenate([likely(sk[i[c : c + 65536]], sk[j[c : c + 65536]], n[i[c : c + 65536]], n[j[c : c + 65536]], percent) for c in range(0, len(i), 65536)])
+        ok = np.concatenate([likely(sk[i[c : c + 8192]], sk[j[c : c + 8192]], n[i[c : c + 8192]], n[j[c : c + 8192]], percent) for c in range(0, len(i), 8192)])
         i, j = i[ok], j[ok]
-        if not closest and len(i):
-            lowest = np.empty(len(i), np.int64)
-            for c in range(0, len(i), 4096):
-                x, y = families[i[c : c + 4096]], families[j[c : c + 4096]]
-                both = (x[:, :, None] == y[:, None, :]).any(2) & (x != -1)
-                lowest[c : c + 4096] = np.where(both, x, np.iinfo(np.int64).max).min(1)
-            i, j = i[lowest == family], j[lowest == family]
-        i, j = cid[i], cid[j]
+        lowest = np.empty(len(i), np.int64)
+        for c in range(0, len(i), 4096):
+            x, y = families[i[c : c + 4096]], families[j[c : c + 4096]]
+            both = (x[:, :, None] == y[:, None, :]).any(2) & (x != -1)
+            lowest[c : c + 4096] = np.where(both, x, np.iinfo(np.int64).max).min(1)
+        i, j = cid[i[lowest == family]], cid[j[lowest == family]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
-
-        def close():
-            return pairs(*key, *(np.concatenate(x) for x in zip(*held, strict=True)))
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)], 1)
-            rest = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3, 7)] + [_matrix(batch.column(7), RETAINED), _matrix(batch.column(8), LISTED, np.int64, -1)]
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            for a, b in zip([0, *cut], [*cut, len(keys)], strict=True):
-                if tuple(keys[a]) != key:
-                    if held and (found := close()) is not None:
-                        yield found
-                    key, held = tuple(keys[a]), []
-                held.append([x[a:b] for x in rest])
-        if held and (found := close()) is not None:
-            yield found
+        for key, columns in _blocks(batches, lambda b: [*_numbers(b, 3, 7), _matrix(b.column(7), RETAINED), _matrix(b.column(8), LISTED, np.int64, -1)]):
+            if (found := pairs(*key, *columns)) is not None:
+                yield found
 
     return run
 
@@ -290,28 +360,22 @@ def _confirmed(given: DataFrame, classes: DataFrame, pairs: DataFrame, keep: Wri
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.filter(passes(shared.value, batch.column(2)))
-            for at in range(0, wanted.num_rows, 1024):
-                part = wanted.slice(at, 1024)
+            for at in range(0, wanted.num_rows, PART):
+                part = wanted.slice(at, PART)
                 sets = shingle_sets([b"" if x is None else x for x in part.column(1).cast(pa.large_binary()).to_pylist()], size)
                 d = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "d1", "d2", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["doc", "d1", "d2", "set"])
 
-    sets = given.select(F.col("doc_id").alias("doc"), "text", filter_place("doc_id")).mapInArrow(read, "doc long, d1 long, d2 long, set binary")
+    sets = given.select(F.col("doc_id").alias("doc"), "text", filter_place("doc_id")).mapInArrow(read, "doc long, d1 long, d2 long, set array<long>")
     sets = sets.join(needed, (sets["d1"] == needed["d1"]) & (sets["d2"] == needed["d2"]) & sets["doc"].eqNullSafe(needed["doc"])).select("cid", "set")
     sets = keep.put(sets.groupBy("cid").agg(F.any_value("set").alias("set")), f"sets-{name}")
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                same = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                ok.append(100 * same >= percent * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb")
-    return keep.put(both.mapInArrow(check, "a long, b long"), f"links-{name}")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("same"), (F.size("sa") + F.size("sb")).alias("sizes"))
+    links = keep.put(both.filter(100 * F.col("same") >= F.lit(percent) * (F.col("sizes") - F.col("same"))).select("a", "b"), f"links-{name}")
+    keep.drop(f"sets-{name}")
+    return links
 
 
 def kept_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
