@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -164,14 +165,22 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCE
 
     # Inverted lists of the values that more than one class has; a class's rarest.
     listed = classes.select("cid", "n", F.expr(f"slice(sketch, 1, {LISTED})").alias("low"))
-    values = listed.select("cid", F.size("low").alias("of"), F.explode("low").alias("v"))
+    values = listed.select("cid", "n", F.size("low").alias("of"), F.explode("low").alias("v"))
     often = values.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    mine = values.join(often, "v").groupBy("cid", "of").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("found"))
+    mine = values.join(often, "v").groupBy("cid", "n", "of").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("found"))
     left = F.expr(f"greatest(0, CAST(of - ceil({SHARED} * of) + 1 AS int) - (of - size(found)))")
     rarest = F.explode(F.expr("slice(found, 1, left)"))
-    entries = keep.put(mine.withColumn("left", left).filter("left > 0").select("cid", rarest.alias("e")).select("cid", F.col("e.v").alias("v")), "entries")
-    firsts = entries.groupBy("v").agg(F.min_by("cid", F.xxhash64("cid")).alias("family"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("v", "family")
-    family = keep.put(entries.join(firsts, "v").select("family", "cid").distinct(), "family")
+    mine = mine.withColumn("left", left).filter("left > 0")
+    # Sizes in steps, at least as far apart as those of linked sets may be: a link leads to the same or the next step.
+    step = F.least(F.lit(60), F.floor(F.log("n") / max(0.2, 1.001 * log(100 / percent)))).cast("int")
+    entries = keep.put(mine.select("cid", step.alias("step"), rarest.alias("e")).select("cid", "step", F.col("e.v").alias("v")), "entries")
+    steps = entries.groupBy("v", "step").agg(F.min(F.struct(F.xxhash64("cid").alias("h"), "cid")).alias("first"), F.count(F.lit(1)).alias("c"))
+    own = F.expr("shiftleft(1L, step)")
+    firsts = steps.groupBy("v").agg(F.min("first").alias("first"), F.bit_or(own).alias("there"), F.bit_or(F.when(F.col("c") > 1, own).otherwise(0)).alias("twice"))
+    firsts = firsts.filter("twice <> 0 OR bit_count(there) > 1").select("v", F.col("first.cid").alias("family"), "there", "twice")
+    # A class stays in a list only if the list has another whose size allows a link.
+    partner = F.expr("(twice & shiftleft(1L, step)) <> 0 OR (there & (shiftleft(1L, step + 1) | shiftright(shiftleft(1L, step), 1))) <> 0")
+    family = keep.put(entries.join(firsts, "v").filter(partner).select("family", "cid").distinct(), "family")
     keep.drop("entries")
 
     sketches = classes.select("cid", "n", "sketch")
