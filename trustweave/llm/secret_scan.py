@@ -108,7 +108,11 @@ def all_spans(text: str, model: MarkovModel, threshold: float = THRESHOLD) -> li
 def sample_texts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", rows: int = SAMPLE, most: int = SAMPLE_BYTES) -> list[str]:
     """Whole texts of the first rows documents by md5 of the id with 1 to most bytes: rows * most bytes at most."""
     some = docs.filter(F.octet_length(text).between(1, most)).select(F.col(id_column).alias("i"), F.col(text).alias("t"))
-    return [r["t"] for r in some.orderBy(F.md5(F.col("i").cast("string")), "i", "t").limit(rows).collect()]
+    order = F.md5(F.col("i").cast("string"))
+    # Ids first, so that tasks send only those of their first rows, and texts only of ids that are in.
+    ids = some.select("i").orderBy(order, "i").limit(rows).distinct().withColumnRenamed("i", "_i")
+    some = some.join(F.broadcast(ids), F.col("i").eqNullSafe(F.col("_i")), "left_semi")
+    return [r["t"] for r in some.orderBy(order, "i", "t").limit(rows).collect()]
 
 
 def scan(docs: DataFrame, model: MarkovModel, id_column: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
