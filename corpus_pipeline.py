@@ -19,8 +19,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that stand on more than a tenth of their source's documents; every document stays."""
-    out = drop_boilerplate(docs, "source", "text")
+    """Texts without the lines that stand on more than a tenth of their source's distinct texts; every document stays.
+    Copies count once, so that a group of them comes whole to the near-duplicates however large it is."""
+    out = drop_boilerplate(docs, "source", "text", copies=False)
     text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 

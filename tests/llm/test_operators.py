@@ -297,3 +297,16 @@ def test_pipeline(spark):
     a, b = (sorted(map(tuple, corpus_pipeline.run(spark, D).collect())) for _ in range(2))
     assert a == b and len(a) == sizes[4]
     assert a[0][2] != hashlib.sha256(b"").hexdigest()
+
+
+def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{D}/documents.parquet' ORDER BY doc_id").fetchall()
+    copied = "\n".join(" ".join(f"w{i}x{k}" for k in range(40)) for i in range(3))
+    group = {i for i, _ in rows[::3]}
+    docs = spark.createDataFrame([(i, copied if i in group else t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    cleaned = corpus_pipeline.lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).filter(F.col("doc_id").isin(group))
+    assert {r["text"] for r in cleaned.collect()} == {copied}
+    got = [r for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r["doc_id"] in group]
+    assert [(r["doc_id"], r["decoded_sha256"]) for r in got] == [(min(group), hashlib.sha256(copied.encode()).hexdigest())]

@@ -27,14 +27,18 @@ def line_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """(hkey, host_pages, bad): for each host its pages and the hashes of lines that stand on more than ratio of them.
 
     pages: rows (hkey, lines). A page counts once however often it repeats a line. The lines of a host are counted
     before they are shuffled, and no host can have more boilerplate lines than its mean lines a page / ratio.
+    Without copies, pages of a host with the same lines in the same order are one page.
     """
+    pages = pages.select("hkey", F.transform("lines", lambda x: F.xxhash64(x)).alias("hs"))
+    if not copies:
+        pages = Written(pages.sparkSession, "distinct").put(pages.distinct(), "pages")
     totals = pages.groupBy("hkey").agg(F.count(F.lit(1)).alias("host_pages"))
-    each = pages.select("hkey", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("h"))
+    each = pages.select("hkey", F.explode(F.array_distinct("hs")).alias("h"))
     counts = each.groupBy("hkey", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > F.lit(ratio * min_pages))
     bad = (
         counts.join(maybe_broadcast(totals), "hkey")
@@ -45,18 +49,19 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
     return totals.join(bad, "hkey", "left")
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
     """pages with host_pages, n_lines, n_dropped (long) and kept_text added; all its rows and columns stay.
 
     A line is boilerplate if it stands on more than ratio of its host's pages, and the host has min_pages or more.
     Null or empty text: no lines, kept_text empty. Null host: the pages without one form a host. A page that
-    repeats a line counts once for it and loses all its copies; repeated rows are pages of their own. A text of
-    which every line goes is empty, its row stays. Added names overwrite columns of the same name.
+    repeats a line counts once for it and loses all its copies; repeated rows are pages of their own, but
+    without copies texts of a host with the same lines count as one page. A text of which every line goes is empty, its
+    row stays. Added names overwrite columns of the same name.
     """
     spark = pages.sparkSession
     hkey = F.when(F.col(host).isNull(), "N").otherwise(F.concat(F.lit("S"), F.col(host)))
     rows = pages.withColumns({"_hkey": hkey, "_lines": line_list(F.col(text))})
-    found = Written(spark, "lines").put(boilerplate(rows.select(F.col("_hkey").alias("hkey"), F.col("_lines").alias("lines")), ratio, min_pages), "hosts")
+    found = Written(spark, "lines").put(boilerplate(rows.select(F.col("_hkey").alias("hkey"), F.col("_lines").alias("lines")), ratio, min_pages, copies), "hosts")
     found = found.select(F.col("hkey").alias("_hkey"), F.col("host_pages").alias("_pages"), F.coalesce("bad", F.array().cast("array<bigint>")).alias("_bad"))
     rows = rows.join(maybe_broadcast(found), "_hkey", "left")
     rows = rows.withColumn("_kept", F.expr("CASE WHEN size(_bad) = 0 THEN _lines ELSE filter(_lines, x -> NOT array_contains(_bad, xxhash64(x))) END"))
