@@ -299,6 +299,13 @@ def test_pipeline(spark):
     assert a[0][2] != hashlib.sha256(b"").hexdigest()
 
 
+def test_quality_target_counts_all_trusted_rows(spark):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    labels = docs.selectExpr("doc_id", "1 AS quality", "CASE WHEN doc_id < 10 THEN 1 END AS toxic")
+    assert quality_rules.trusted_texts(docs, labels).distinct().count() == 30_000 - 10
+    assert quality_rules.trusted_texts(docs, labels.unionByName(labels)).count() == 30_000 - 10
+
+
 def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{D}/documents.parquet' ORDER BY doc_id").fetchall()
     copied = "\n".join(" ".join(f"w{i}x{k}" for k in range(40)) for i in range(3))

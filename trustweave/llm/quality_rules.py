@@ -7,14 +7,12 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Written, words
+from .common import WORD, Written, maybe_broadcast, words
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 #: Buckets of hashed n-grams, added count a bucket, and the least mean log ratio a document keeps its place with.
 BUCKETS, SMOOTHING, THRESHOLD = 16384, 1.0, -0.08
-#: Most trusted documents whose counts make the target.
-MAX_TRUSTED = 20_000
 
 
 def pair_hashes(w: str) -> Column:
@@ -93,13 +91,11 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", bucke
     return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
-def trusted_texts(docs: DataFrame, labels: DataFrame, most: int = MAX_TRUSTED) -> DataFrame:
-    """Texts of labelled documents of quality 1 that aren't toxic: the first `most` by md5 of the id, so the ids
-    that are sent to all executors have a proven bound. Rows held out for judging (crc32 mod 5 = 0) are left out."""
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL AND crc32(CAST(CAST(doc_id AS string) AS binary)) % 5 <> 0")
-    ids = good.select("doc_id").distinct().orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts of all labelled documents of quality 1 that aren't toxic."""
+    ids = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     ids = Written(docs.sparkSession, "trusted").put(ids, "ids")
-    return docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text")
+    return docs.join(maybe_broadcast(ids), "doc_id", "left_semi").select("text")
 
 
 def op5(spark, sf_dir):
