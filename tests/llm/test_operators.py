@@ -176,6 +176,17 @@ def test_secrets(spark):
     assert secret_scan.base_spans("0a" * 15 + "0") == []
 
 
+def test_secrets_behind_names_and_keys():
+    draw = random.Random(5)
+    names = ["connection", "string", "for", "the", "reporting", "server", "ordinary", "identifier", "name", "of", "host", "user"]
+    model = secret_scan.train(secret_scan.random_strings(), secret_scan.identifiers([" ".join(draw.choices(names, k=400)) for _ in range(20)]))
+    key, access = "".join(draw.choices(secret_scan.ALPHABET[:62], k=32)), "AKIA" + "A1" * 6
+    name = "connection_string_for_the_reporting_server=" * 2
+    assert secret_scan.all_spans(name + key, model) == [(3, len(name), len(name) + 32)]
+    assert secret_scan.all_spans(f"{access}/{name}{key}", model) == [(1, 0, 16), (3, 17 + len(name), 49 + len(name))]
+    assert secret_scan.all_spans(name, model) == []
+
+
 def test_mixing_targets(spark):
     rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(100, "a"), (5, "b"), (50, "c"), (40, "c"), (60, None), (0, "d")])]
     got = {r["source"]: r for r in mixing.source_targets(frame(spark, rows).select("source", F.coalesce("source", F.lit("")).alias("skey"), mixing.n_words(F.col("text")).alias("size"))).collect()}

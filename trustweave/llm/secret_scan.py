@@ -94,14 +94,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
+def random_parts(run: str, model: MarkovModel, threshold: float) -> list[tuple[int, int]]:
+    """(start, end) of what looks random in run: all of it, or else the rows of pieces between = and / whose steps lie
+    most above the threshold (all maximal ones, in one pass), of MIN_RUN or more characters."""
+    if len(run) < MIN_RUN:
+        return []
+    if model.score(run) >= threshold:
+        return [(0, len(run))]
+    edge = [0, *sorted({x for m in re.finditer("[=/]+", run) for x in m.span()} - {0, len(run)}), len(run)]
+    if len(edge) < 3:
+        return []
+    at = _index(run)
+    total = np.concatenate(([0.0], np.cumsum(model.ratio[np.concatenate(([len(ALPHABET)], at[:-1])), at] - threshold)))
+    held: list[tuple[int, int]] = []
+    for a, b in zip(edge, edge[1:]):
+        while total[b] > total[a]:
+            j = len(held) - 1
+            while j >= 0 and total[held[j][0]] >= total[a]:
+                j -= 1
+            if j < 0 or total[held[j][1]] >= total[b]:
+                held.append((a, b))
+                break
+            a = held[j][0]
+            del held[j:]
+    return [(a, b) for a, b in held if b - a >= MIN_RUN and model.score(run[a:b]) >= threshold]
+
+
 def all_spans(text: str, model: MarkovModel, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    """The base spans, and the runs of MIN_RUN or more characters that overlap none of them and look random."""
+    """The base spans, and what looks random of the runs outside of them."""
     base = base_spans(text)
     more = []
     for run in RUN.finditer(text):
-        a, b = run.span()
-        if b - a >= MIN_RUN and not any(x[1] < b and a < x[2] for x in base) and model.score(run[0]) >= threshold:
-            more.append((3, a, b))
+        a, end = run.span()
+        for x, y in sorted((x, y) for _, x, y in base if x < end and a < y) + [(end, end)]:
+            more += [(3, a + p, a + q) for p, q in random_parts(text[a:x], model, threshold)]
+            a = max(a, y)
     return sorted(base + more, key=lambda s: (s[1], s[0])) if more else base
 
 
