@@ -48,6 +48,18 @@ class Written:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns named in0, in1, ..., so that no working name meets one of them, and the new name of each."""
+    names = {c: f"in{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def back(df: DataFrame, names: dict[str, str], added: list[str]) -> DataFrame:
+    """The columns put aside under their own names again, then the added ones, which replace those of the same name."""
+    new = {a.lower() for a in added}
+    return df.select(*(F.col(v).alias(k) for k, v in names.items() if k.lower() not in new), *added)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether df has no more than limit rows; reads no more than it must to tell."""
     return df.limit(limit + 1).count() <= limit

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, maybe_broadcast, n_words
+from .common import Written, aside, back, maybe_broadcast, n_words
 
 #: Most times a document is taken.
 EPOCHS = 3
@@ -20,14 +20,15 @@ def source_targets(sized: DataFrame, weights: DataFrame | None = None, epochs: i
 
     One row for each source: sorted by capacity over weight, the first source that its share fits fixes the
     level for it and all after it; those before are at capacity.
-    weights: rows (source, weight); by default 1, 2, 3, repeating, over the sources in code-point order, null last.
+    weights: rows (source, weight), the largest of a source named more than once, zero for one not named or null; by
+    default 1, 2, 3, repeating, over the sources in code-point order, null last.
     """
     by = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
     if weights is None:
         at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
         by = by.withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), (at % len(WEIGHTS) + 1).cast("int")))
     else:
-        w = weights.select(F.col("source").alias("_s"), F.col("weight").cast("double").alias("weight"))
+        w = weights.groupBy(F.col("source").alias("_s")).agg(F.max(F.col("weight").cast("double")).alias("weight"))
         by = by.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0.0, ["weight"])
     by = by.withColumn("cap", F.when(F.col("weight") > 0, F.col("source_size") * epochs).otherwise(F.lit(0)))
     order = Window.orderBy((F.col("cap") / F.when(F.col("weight") > 0, F.col("weight"))).asc_nulls_first(), F.col("source").asc_nulls_last())
@@ -45,8 +46,14 @@ def source_targets(sized: DataFrame, weights: DataFrame | None = None, epochs: i
     return by.select("skey", "source", "source_size", "weight", target.alias("target"))
 
 
-def _cutoff(queue: DataFrame, budget: int) -> tuple | None:
-    """The last (finish, skey, h, doc_id, epoch) whose running total is within budget; None if all are.
+#: What a row queues by; rows that agree in all of it are repeats, told apart by a number.
+PLACE = ("h", "id", "size", "digest")
+#: The order of all finish times.
+ORDER = ("finish", "skey", *PLACE, "copy", "epoch")
+
+
+def _cutoff(queue: DataFrame, budget: int) -> DataFrame | None:
+    """One row: the first place in ORDER at which the running total is beyond budget; None if it never is.
 
     Finish times are cut into bins, the bin where the budget ends into bins again; only what is left of
     it after two rounds, about the bins' square part of the rows, is put in order at once.
@@ -64,64 +71,91 @@ def _cutoff(queue: DataFrame, budget: int) -> tuple | None:
         if hit[0]["bin"] >= BINS * 4:
             break
         lo, width = lo + hit[0]["bin"] * width, width / BINS
-    order = ["finish", "skey", "h", F.col("doc_id").asc_nulls_first(), "epoch"]
-    run = queue.withColumn("run", F.sum("size").over(Window.orderBy(*order)))
-    first = run.filter(F.col("run") > budget - used).orderBy(*order).limit(1).collect()
-    return tuple(first[0][c] for c in ("finish", "skey", "h", "doc_id", "epoch")) if first else None
+    run = queue.withColumn("run", F.sum("size").over(Window.orderBy(*ORDER)))
+    return run.filter(F.col("run") > budget - used).select(F.struct(*ORDER).alias("cut")).orderBy("cut").limit(1)
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: int = EPOCHS, text: str = "text", bins: int | None = None) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row of docs.
+def _source_key(source: Column) -> Column:
+    return F.when(source.isNull(), "N").otherwise(F.concat(F.lit("S"), source))
 
-    Documents of a source queue in the order of md5(doc_id); a document's virtual finish time in pass e is
-    (e times its source's size + words queued up to and with it) / target. All finish times are put in one order
-    and cut where the words reach the budget, the sum of all sizes. taken: size times the passes that are in.
 
-    Null text or no words: size 0, taken 0. Null source: a source of its own, last. Null doc_id: queues by md5 of
-    the empty string. Rows repeated in full queue one after the other. Columns other than doc_id, source and the
-    text are not read. No rows: no rows. Budget zero: nothing is taken.
-    """
-    spark = docs.sparkSession
-    keep = Written(spark, "mix")
-    h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = keep.put(
-        docs.select(
-            "doc_id", F.col("source"), F.when(F.col("source").isNull(), "N").otherwise(F.concat(F.lit("S"), "source")).alias("skey"), n_words(F.col(text)).alias("size"), h.alias("h")
-        ),
-        "sized",
-    )
-    targets = keep.put(source_targets(sized, weights, epochs), "targets")
+def _place(doc_id: Column, text: Column) -> list[Column]:
+    """PLACE of a row; where there is no id, the text deals rows over the queue."""
+    h = F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("")))
+    return [h.alias("h"), doc_id.alias("id"), n_words(text).alias("size"), F.xxhash64(text).alias("digest")]
+
+
+def _mixed(docs: DataFrame, keep: Written, weights: DataFrame | None, epochs: int, text: str, bins: int | None) -> DataFrame:
+    """(skey, source, *PLACE, copy, source_size, target, e0, e1, ...) for each row; e: whether that pass takes it."""
+    own = docs.select(_source_key(F.col("source")).alias("skey"), "source", *_place(F.col("doc_id"), F.col(text)))
+    # Repeats are one row with a count until they have their places.
+    sized = keep.put(own.groupBy(*own.columns).agg(F.count(F.lit(1)).alias("n")), "sized")
+    targets = keep.put(source_targets(sized.withColumn("size", F.col("size") * F.col("n")), weights, epochs), "targets")
     total = targets.agg(F.sum("source_size").alias("n")).collect()[0]["n"] or 0
     if bins is None:  # so many that a bin of all rows has some hundred
         bins = min(65536, max(16, 1 << max(0, sized.count() // 512).bit_length()))
     bucket = F.floor(F.conv(F.substring("h", 1, 4), 16, 10).cast("int") / (65536 // bins)).cast("int")
-    sized = sized.withColumn("bucket", bucket)
-    sums = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("s"))
+    sized = sized.withColumn("bucket", bucket).withColumn("words", F.col("size") * F.col("n"))
+    sums = sized.groupBy("skey", "bucket").agg(F.sum("words").alias("s"))
     before = F.coalesce(F.sum("s").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = sums.select("skey", "bucket", before.alias("before"))
-    inside = F.sum("size").over(Window.partitionBy("skey", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    order = ["h", F.col("id").asc_nulls_first(), "size", "digest"]
+    inside = F.sum("words").over(Window.partitionBy("skey", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     queued = (
         sized.withColumn("inside", inside)
         .join(offsets, ["skey", "bucket"])
         .join(maybe_broadcast(targets.select("skey", "source_size", "target")), "skey")
-        .select("doc_id", "source", "skey", "size", "h", "source_size", "target", (F.col("inside") + F.col("before")).alias("cum"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        .withColumn("cum", F.col("inside") + F.col("before") - (F.col("n") - F.col("copy")) * F.col("size"))
     )
-    queued = keep.put(queued, "queued")
-    finish = lambda e: (e * F.col("source_size") + F.col("cum")).cast("double") / F.col("target")
-    passes = F.least(F.lit(epochs), F.ceil(F.col("target") / F.col("source_size"))).cast("int")
+    queued = keep.put(queued.select("skey", "source", *PLACE, "copy", "source_size", "target", "cum"), "queued")
+    finish = lambda e: F.try_divide((e * F.col("source_size") + F.col("cum")).cast("double"), F.col("target"))
+    passes = F.least(F.lit(epochs), F.ceil(F.try_divide(F.col("target"), F.col("source_size")))).cast("int")
     live = queued.filter("size > 0 AND target > 0")
     each = live.withColumn("epoch", F.explode(F.sequence(F.lit(0), passes - 1))).withColumn("finish", finish(F.col("epoch")))
-    cut = _cutoff(each.select("finish", "skey", "h", "doc_id", "epoch", "size"), total)
-    if cut is None:
-        inn = lambda e: F.lit(True)
-    else:  # before the first that no longer fits
-        no_id = F.lit(cut[3]).isNull()
-        own = F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))))
-        there = F.struct(F.when(no_id, F.lit(-(2**63))).otherwise(F.lit(cut[3]).cast("long")))
-        inn = lambda e: F.struct(finish(e), "skey", "h", own, e) < F.struct(F.lit(cut[0]), F.lit(cut[1]), F.lit(cut[2]), there, F.lit(cut[4]))
-    took = sum(F.when((F.lit(e) < passes) & inn(F.lit(e)), 1).otherwise(0) for e in range(epochs))
-    taken = F.when((F.col("size") > 0) & (F.col("target") > 0), F.col("size") * took).otherwise(0).cast("long")
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    cut = _cutoff(each.select(*ORDER), total)
+    rows, within = queued, lambda e: F.lit(True)
+    if cut is not None:  # one row: the first that no longer fits
+        rows = queued.join(F.broadcast(keep.put(cut, "cut")), F.lit(True), "left")
+        within = lambda e: F.coalesce(F.struct(finish(e).alias("finish"), "skey", *PLACE, "copy", e.alias("epoch")) < F.col("cut"), F.lit(True))
+    there = (F.col("size") > 0) & (F.col("target") > 0)
+    takes = [F.coalesce(there & (F.lit(e) < passes) & within(F.lit(e)), F.lit(False)).alias(f"e{e}") for e in range(epochs)]
+    return rows.select("skey", "source", *PLACE, "copy", "source_size", "target", *takes)
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, epochs: int = EPOCHS, text: str = "text", bins: int | None = None) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for each row of docs.
+
+    Documents of a source queue in the order of md5(doc_id); a document's virtual finish time in pass e is
+    (e times its source's size + words queued up to and with it) / target. All finish times are put in one order
+    and cut where the words reach the budget, the sum of all sizes. taken: size times the passes that are in.
+
+    Null text or no words: size 0, taken 0. Null source: a source of its own, last. doc_id of any type that has an
+    order and a text form; null doc_id: queues by md5 of the text. Rows repeated in full queue one after the other. Columns other than doc_id, source and the text are not read. No rows: no rows. Budget zero:
+    nothing is taken.
+    """
+    found = _mixed(docs, Written(docs.sparkSession, "mix"), weights, epochs, text, bins)
+    times = sum(F.col(f"e{e}").cast("long") for e in range(epochs))
+    return found.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, epochs: int = EPOCHS, text: str = "text", bins: int | None = None) -> DataFrame:
+    """The rows of docs, with all their columns and no other, each as often as the mix of mix_sources takes it.
+
+    A source's queue is cut at one place a pass, so a row of a source tells by its own place whether a pass takes it:
+    texts are read once and never shuffled. Rows that agree in source, doc_id and text are in or out of a pass
+    together, in where the first of them is. Nulls, no rows and a budget of zero: as mix_sources.
+    """
+    keep = Written(docs.sparkSession, "mixed")
+    found = _mixed(docs, keep, weights, epochs, text, bins)
+    ends = found.groupBy("skey").agg(*(F.max(F.when(F.col(f"e{e}"), F.struct(*PLACE))).alias(f"end{e}") for e in range(epochs)))
+    ends = keep.put(ends, "ends")
+    rows, names = aside(docs)
+    doc_id, source, body = (F.col(names[c]) for c in ("doc_id", "source", text))
+    rows = rows.withColumns({"skey": _source_key(source), "place": F.struct(*_place(doc_id, body))}).filter("place.size > 0")
+    times = sum(F.coalesce(F.col("place") <= F.col(f"end{e}"), F.lit(False)).cast("int") for e in range(epochs))
+    rows = rows.join(maybe_broadcast(ends), "skey").withColumn("times", times).filter("times > 0")
+    return back(rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))), names, [])
 
 
 def op8(spark, sf_dir):
@@ -131,7 +165,7 @@ def op8(spark, sf_dir):
 
 OP8_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS h,
          CASE WHEN source IS NULL THEN 'N' ELSE 'S' || source END AS skey,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
