@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Written, maybe_broadcast, words
+from .common import WORD, aside, back, words
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
@@ -30,7 +31,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     })
     docs = docs.withColumns({
         "n_words": F.size("_words").cast("long"),
-        "word_chars": F.expr("aggregate(_words, 0L, (n, w) -> n + length(w))"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
         "n_dup_lines": F.expr("CAST(CASE WHEN size(_lines) < 2 THEN 0 ELSE size(_lines) - size(array_distinct(_lines)) END AS bigint)"),
         "_pairs": pair_hashes("_words"),
     }).drop("_lines")
@@ -68,34 +69,41 @@ def log_ratios(target: dict[int, int], raw: dict[int, int], buckets: int = BUCKE
     return [log((target.get(b, 0) + smoothing) / t) - log((raw.get(b, 0) + smoothing) / r) for b in range(buckets)]
 
 
-def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD) -> DataFrame:
+def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", buckets: int = BUCKETS, smoothing: float = SMOOTHING, threshold: float = THRESHOLD, counts: bool = True) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept added.
 
     trusted: rows (text); raw counts come from every row of docs. llr is the mean, over a document's hashed words and pairs
-    of words, of log p_target - log p_raw; kept is false if base_failed, else llr >= threshold.
+    of words, of log p_target - log p_raw; kept is false if base_failed, else llr >= threshold. Without counts, only
+    n_words, base_failed, llr and kept are added.
 
     Null or empty text: no words, so base_failed. Repeated rows count as often as they stand there and get the same
     verdict. No trusted rows: the target is uniform over the buckets. Added names overwrite columns of the same
-    name; all other columns stay. Windows and lines are compared within a text only.
+    name; all other columns stay, whatever they are called. Windows and lines are compared within a text only.
     """
     raw = bucket_counts(docs.select(words(F.col(text)).alias("_words")), buckets)
     target = bucket_counts(trusted.select(words(F.col("text")).alias("_words")), buckets)
-    spark = docs.sparkSession
-    # One row with the table, at most buckets doubles, so that plans do not carry it as that many literals.
-    ratios = spark.createDataFrame([(log_ratios(target, raw, buckets, smoothing),)], "_ratios array<double>")
-    rows = base_counts(docs, text).withColumn("_grams", ngram_buckets("_words", "_pairs", buckets)).drop("_words", "_pairs")
-    rows = rows.join(F.broadcast(ratios))
-    rows = rows.withColumn(
-        "llr", F.expr("CASE WHEN size(_grams) = 0 THEN 0D ELSE aggregate(_grams, 0D, (a, b) -> a + get(_ratios, b)) / size(_grams) END")
-    ).drop("_grams", "_ratios")
-    return rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    rows, names = aside(docs)
+    # One literal, made from a string while the query is planned: nothing is joined to the rows.
+    rows = base_counts(rows, names[text]).withColumns({
+        "_grams": ngram_buckets("_words", "_pairs", buckets),
+        "_ratios": F.from_json(F.lit(json.dumps(log_ratios(target, raw, buckets, smoothing))), "array<double>"),
+    })
+    rows = rows.withColumn("llr", F.expr("CASE WHEN size(_grams) = 0 THEN 0D ELSE aggregate(_grams, 0D, (a, b) -> a + get(_ratios, b)) / size(_grams) END"))
+    rows = rows.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+    added = ["n_words", *(["word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"] if counts else []), "base_failed", "llr", "kept"]
+    # A filter on what is added must not be pushed below, where each use of a count would count again: no filter on
+    # what a generator makes passes it.
+    return back(rows.select(*names.values(), F.inline(F.array(F.struct(*added)))), names, added)
 
 
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of all labelled documents of quality 1 that aren't toxic."""
-    ids = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    ids = Written(docs.sparkSession, "trusted").put(ids, "ids")
-    return docs.join(maybe_broadcast(ids), "doc_id", "left_semi").select("text")
+    """Texts of all labelled documents of quality 1 that aren't toxic: a target should hold nothing one would not keep.
+
+    Null doc_id or quality: not trusted; null toxic: not toxic. A document labelled twice counts once. The size of the
+    ids decides how Spark joins them.
+    """
+    ids = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id")
+    return docs.join(ids, "doc_id", "left_semi").select("text")
 
 
 def op5(spark, sf_dir):
