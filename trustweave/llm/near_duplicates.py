@@ -7,10 +7,10 @@ from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written, filter_bits, filter_place, mix, passes, prefix_hash, span_hash
+from .common import Written, aside, back, filter_bits, filter_place, mix, passes, prefix_hash, span_hash
 from .components import components
 
 #: Words of a shingle and percent of the union that a link takes, unless a contract says otherwise.
@@ -127,18 +127,19 @@ def _sketch_rows(size: int):
                 sets = shingle_sets([b"" if x is None else x for x in part.column(1).cast(pa.large_binary()).to_pylist()], size)
                 d = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([bottom(s) for s in sets], pa.list_(pa.int32()))],
-                    ["doc_id", "n", "d1", "d2", "sketch"],
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array([bottom(s) for s in sets], pa.list_(pa.int32()))],
+                    ["doc_id", "digest", "n", "d1", "d2", "sketch"],
                 )
 
     return run
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCENT, text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs.
+    """(doc_id, n_shingles, component_id, kept, digest, first) for each row of docs.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their shingle sets; component_id is the
     smallest doc_id that links lead to, kept is whether that is the document's own. Links are confirmed on the full sets.
+    digest: a hash of the text; first: whether no row of the group has a smaller (doc_id, digest), null ids last.
 
     Documents with the same set make a class, and only classes are compared. The lowest values of a sketch make
     inverted lists; of a document's lists its rarest count, so many that a linked pair has one in common. The lists of
@@ -156,10 +157,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCE
     spark = docs.sparkSession
     keep = Written(spark, "near")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketched = keep.put(given.mapInArrow(_sketch_rows(size), "doc_id long, n long, d1 long, d2 long, sketch array<int>"), "sketched")
-    merged = sketched.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
+    named = given.withColumn("digest", F.xxhash64("text"))
+    sketched = keep.put(named.mapInArrow(_sketch_rows(size), "doc_id long, digest long, n long, d1 long, d2 long, sketch array<int>"), "sketched")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    merged = sketched.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("doc"), F.min(place).alias("place"), F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"))
     classes = keep.put(merged.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    rows = keep.put(sketched.select("doc_id", "n", "d1", "d2"), "rows")
+    rows = keep.put(sketched.select("doc_id", "digest", "n", "d1", "d2"), "rows")
     keep.drop("sketched")
     some = rows.filter("n > 0")
 
@@ -215,12 +218,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCE
     again = _confirmed(given, classes, keep.put(across, "across"), keep, size, percent, "2")
     every = keep.put(components(links.unionByName(again), keep, "all"), "every")
 
-    of = classes.select("cid", "d1", "d2", "doc").join(every, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    lowest = of.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = of.join(lowest, "root").select("d1", "d2", "component_id")
-    linked = some.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    of = classes.select("cid", "d1", "d2", "doc", "place").join(every, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    lowest = of.groupBy("root").agg(F.min("doc").alias("component_id"), F.min("place").alias("lowest"))
+    of = of.join(lowest, "root").select("d1", "d2", "component_id", "lowest")
+    linked = some.join(of, ["d1", "d2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "digest", (place == F.col("lowest")).alias("first"))
+    alone = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "digest", F.lit(True).alias("first"))
+    out = linked.unionByName(alone)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "digest", "first")
 
 
 def _shared(rows: np.ndarray, cols: np.ndarray, sk: np.ndarray) -> np.ndarray:
@@ -387,12 +391,19 @@ def _confirmed(given: DataFrame, classes: DataFrame, pairs: DataFrame, keep: Wri
     return links
 
 
-def kept_documents(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs whose document its group keeps; of rows that repeat a kept doc_id, one."""
-    kept = found.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id IS NULL"))
+def kept_documents(docs: DataFrame, found: DataFrame, text: str = "text") -> DataFrame:
+    """The first row of docs of each group that near_duplicates found in it, with all its columns and no other.
+
+    Rows without words are groups of their own; of rows that repeat doc_id and text, one stays, null ids too.
+    """
+    at = lambda i, h: {"id": F.coalesce(i, F.lit(0)), "none": i.isNull(), "hash": h}
+    key = ["id", "none", "hash"]
+    first = found.filter("first").select(*(c.alias(n) for n, c in at(F.col("doc_id"), F.col("digest")).items())).distinct()
+    rows, names = aside(docs)
+    rows = rows.withColumns(at(F.col(names["doc_id"]).cast("long"), F.xxhash64(names[text]))).join(first, key, "left_semi")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*key))
+    return back(rows.withColumn("nth", nth).filter("nth = 1"), names, [])
 
 
 def op7(spark, sf_dir):
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2)
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2).drop("digest", "first")
