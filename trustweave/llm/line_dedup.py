@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, maybe_broadcast
+from .common import Written, aside, back, maybe_broadcast
 
-#: Share of a host's pages above which a line is boilerplate, and the least pages that make a share meaningful.
-RATIO, MIN_PAGES = 0.1, 10
+#: Share of a host's pages above which a line is boilerplate, and the pages it must stand on more than: what stands on
+#: one page only is repeated nowhere, and would be all of a host that has but a few.
+RATIO, FLOOR = 0.1, 1
 #: Text of a page: scripts, styles and comments go, other tags end a line.
 DROP = r"(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->"
 
@@ -27,8 +28,9 @@ def line_list(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
-    """(hkey, host_pages, bad): for each host its pages and the hashes of lines that stand on more than ratio of them.
+def boilerplate(pages: DataFrame, ratio: float = RATIO, floor: int = FLOOR, copies: bool = True) -> DataFrame:
+    """(hkey, host_pages, bad): for each host its pages and the hashes of lines that stand on more than ratio of them
+    and on more than floor.
 
     pages: rows (hkey, lines). A page counts once however often it repeats a line. The lines of a host are counted
     before they are shuffled, and no host can have more boilerplate lines than its mean lines a page / ratio.
@@ -39,38 +41,29 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAG
         pages = Written(pages.sparkSession, "distinct").put(pages.distinct(), "pages")
     totals = pages.groupBy("hkey").agg(F.count(F.lit(1)).alias("host_pages"))
     each = pages.select("hkey", F.explode(F.array_distinct("hs")).alias("h"))
-    counts = each.groupBy("hkey", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > F.lit(ratio * min_pages))
-    bad = (
-        counts.join(maybe_broadcast(totals), "hkey")
-        .filter((F.col("host_pages") >= min_pages) & (F.col("n") > F.lit(ratio) * F.col("host_pages")))
-        .groupBy("hkey")
-        .agg(F.sort_array(F.collect_list("h")).alias("bad"))
-    )
+    counts = each.groupBy("hkey", "h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > floor)
+    bad = counts.join(maybe_broadcast(totals), "hkey").filter(F.col("n") > F.lit(ratio) * F.col("host_pages"))
+    bad = bad.groupBy("hkey").agg(F.sort_array(F.collect_list("h")).alias("bad"))
     return totals.join(bad, "hkey", "left")
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES, copies: bool = True) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, floor: int = FLOOR, copies: bool = True) -> DataFrame:
     """pages with host_pages, n_lines, n_dropped (long) and kept_text added; all its rows and columns stay.
 
-    A line is boilerplate if it stands on more than ratio of its host's pages, and the host has min_pages or more.
+    A line is boilerplate if it stands on more than ratio of its host's pages and on more than floor pages.
     Null or empty text: no lines, kept_text empty. Null host: the pages without one form a host. A page that
     repeats a line counts once for it and loses all its copies; repeated rows are pages of their own, but
     without copies texts of a host with the same lines count as one page. A text of which every line goes is empty, its
     row stays. Added names overwrite columns of the same name.
     """
-    spark = pages.sparkSession
-    hkey = F.when(F.col(host).isNull(), "N").otherwise(F.concat(F.lit("S"), F.col(host)))
-    rows = pages.withColumns({"_hkey": hkey, "_lines": line_list(F.col(text))})
-    found = Written(spark, "lines").put(boilerplate(rows.select(F.col("_hkey").alias("hkey"), F.col("_lines").alias("lines")), ratio, min_pages, copies), "hosts")
-    found = found.select(F.col("hkey").alias("_hkey"), F.col("host_pages").alias("_pages"), F.coalesce("bad", F.array().cast("array<bigint>")).alias("_bad"))
-    rows = rows.join(maybe_broadcast(found), "_hkey", "left")
-    rows = rows.withColumn("_kept", F.expr("CASE WHEN size(_bad) = 0 THEN _lines ELSE filter(_lines, x -> NOT array_contains(_bad, xxhash64(x))) END"))
-    return rows.withColumns({
-        "host_pages": F.col("_pages"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dropped": (F.size("_lines") - F.size("_kept")).cast("long"),
-        "kept_text": F.array_join("_kept", "\n"),
-    }).drop("_hkey", "_lines", "_pages", "_bad", "_kept")
+    rows, names = aside(pages)
+    site = F.col(names[host])
+    rows = rows.withColumns({"hkey": F.when(site.isNull(), "N").otherwise(F.concat(F.lit("S"), site)), "lines": line_list(F.col(names[text]))})
+    found = Written(pages.sparkSession, "lines").put(boilerplate(rows.select("hkey", "lines"), ratio, floor, copies), "hosts")
+    rows = rows.join(maybe_broadcast(found.withColumn("bad", F.coalesce("bad", F.array().cast("array<bigint>")))), "hkey", "left")
+    rows = rows.withColumn("kept", F.expr("CASE WHEN size(bad) = 0 THEN lines ELSE filter(lines, x -> NOT array_contains(bad, xxhash64(x))) END"))
+    added = {"n_lines": F.size("lines").cast("long"), "n_dropped": (F.size("lines") - F.size("kept")).cast("long"), "kept_text": F.array_join("kept", "\n")}
+    return back(rows.withColumns(added), names, ["host_pages", *added])
 
 
 def op4(spark, sf_dir):
@@ -86,7 +79,7 @@ WITH p AS (SELECT row_number() OVER () AS rid, page_id, lower(regexp_extract(url
 t AS (SELECT host, count(*) AS host_pages FROM p GROUP BY host),
 x AS (SELECT DISTINCT rid, host, unnest(lines) AS line FROM p),
 b AS (SELECT x.host, x.line FROM x JOIN t ON x.host IS NOT DISTINCT FROM t.host GROUP BY x.host, x.line, host_pages
-      HAVING host_pages >= 10 AND count(*) > 0.1::DOUBLE * host_pages),
+      HAVING count(*) > 1 AND count(*) > 0.1::DOUBLE * host_pages),
 a AS (SELECT host, list(line) AS bad FROM b GROUP BY host)
 SELECT page_id, p.host, host_pages, CAST(len(lines) AS BIGINT) AS n_lines,
   CAST(len(list_filter(lines, lambda y: list_contains(coalesce(bad, []), y))) AS BIGINT) AS n_dropped,
