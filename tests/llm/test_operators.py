@@ -271,9 +271,106 @@ def _chain(parts):
 
 def test_line_dedup(spark):
     rows = [(i, f"common\n own {i}\n\n x{i} \ncommon", "h") for i in range(12)] + [(50, "common\nhere", "small"), (51, None, None), (52, "common", "h")]
+    rows += [(60, "menu\nhere", "tiny"), (61, "menu\nthere", "tiny"), (62, "else", "tiny")]
     got = {r["doc_id"]: r for r in line_dedup.drop_boilerplate(frame(spark, rows), "source", "text").collect()}
     assert got[3]["kept_text"] == "own 3\nx3" and got[3]["n_dropped"] == 2 and got[3]["host_pages"] == 13
     assert got[50]["kept_text"] == "common\nhere" and got[51]["kept_text"] == "" and got[52]["kept_text"] == ""
+    assert [got[i]["kept_text"] for i in (60, 61, 62)] == ["here", "there", "else"]
+
+
+CLASH = ["_lines", "_hkey", "_bad", "_kept", "_ratios", "_words", "_pairs", "_grams", "_windows", "_sorted", "_id", "_times", "hkey", "lines", "bad", "kept_text", "skey", "place", "copy", "times", "id", "hash", "nth", "in0", "N_Words", "first", "digest"]
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, odd):
+    """Odd rows with a column for each working name, and what is in it."""
+    docs = frame(spark, odd).select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in CLASH))
+    return docs, [(*r, None, r[2] and None, 7) for r in odd]
+
+
+def values(rows, columns):
+    return sorted((tuple(r[c] for c in columns) for r in rows), key=str)
+
+
+def test_working_names_meet_no_column(spark, odd, clashing):
+    docs, _ = clashing
+    own = lambda out: [c for c in docs.columns if c.lower() not in out]
+    plain = frame(spark, odd).select("doc_id", "text", "source")
+    cases = [
+        (quality_rules.quality_rules(docs, docs.select("text"), buckets=64, counts=False), quality_rules.quality_rules(plain, plain.select("text"), buckets=64), {"n_words", "llr", "kept", "base_failed"}),
+        (line_dedup.drop_boilerplate(docs, "source", "text"), line_dedup.drop_boilerplate(plain, "source", "text"), {"host_pages", "n_lines", "n_dropped", "kept_text"}),
+        (near_duplicates.kept_documents(docs, near_duplicates.near_duplicates(docs, 2)), near_duplicates.kept_documents(plain, near_duplicates.near_duplicates(plain, 2)), set()),
+        (mixing.mixed_documents(docs), mixing.mixed_documents(plain), set()),
+    ]
+    for out, of, added in cases:
+        got = out.collect()
+        assert [c for c in out.columns if c.lower() not in added] == own(added)
+        assert values(got, ["doc_id", "text", "source", *added]) == values(of.collect(), ["doc_id", "text", "source", *added])
+        for c in set(CLASH) & set(own(added)):
+            assert all(r[c] == f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for r in got), c
+
+
+def test_filters_do_not_repeat_the_counts(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    for kept in ("kept", "n_words > 60 AND n_repeat_words < 10 AND kept"):
+        plan = quality_rules.quality_rules(docs, docs.select("text")).filter(kept)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") <= 3 and plan.count("xxhash64") <= 4
+
+
+def test_mixing_takes_rows_at_their_places(spark):
+    draw = random.Random(4)
+    rows = [(i, "w " * draw.randint(0, 9) + str(i), draw.choice("abc")) for i in range(300)]
+    rows += [(None, f"w {i}", "a") for i in range(50)] + [(7, "same text here", "b")] * 40 + [(8, None, "c"), (8, "", None), (9, "x y z", None)]
+    docs = frame(spark, rows)
+    counts = {}
+    for r in mixing.mix_sources(docs).collect():
+        assert r["taken"] <= 3 * r["size"]
+        counts[r["source"], r["doc_id"], r["size"]] = counts.get((r["source"], r["doc_id"], r["size"]), 0) + r["taken"]
+    got = {}
+    for r in mixing.mixed_documents(docs).collect():
+        k = (r["source"], r["doc_id"], len(WORD.findall(r["text"])))
+        got[k] = got.get(k, 0) + k[2]
+    # Repeats that stand where a queue is cut are taken alike.
+    assert {k: v for k, v in got.items() if k[1] != 7} == {k: v for k, v in counts.items() if v and k[1] != 7}
+    total, took = sum(len(WORD.findall(t or "")) for _, t, _ in rows), sum(counts.values())
+    assert total - 12 <= took <= total and 0 <= sum(got.values()) - took <= 40 * 3
+
+
+def test_mixing_by_names_and_weights(spark):
+    docs = frame(spark, [(i, "w w", "ab"[i % 2]) for i in range(40)]).withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    weights = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 1.0), ("c", 9.0)], "source string, weight double")
+    got = mixing.mix_sources(docs, weights).collect()
+    by = {s: sum(r["taken"] for r in got if r["source"] == s) for s in "ab"}
+    assert len(got) == 40 and {r["target"] for r in got} == {60.0, 20.0} and by == {"a": 60, "b": 20}
+    assert {r["doc_id"] for r in got} == {f"d{i}" for i in range(40)}
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_and_empty_tables(spark, odd, clashing, name, tmp_path):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    spark.createDataFrame([(4, 1, None), (None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, _ = clashing
+    base = ["doc_id", "text", "lang", "source", "n_chars"]
+    plain = docs.select(base)
+    got, few = stage(spark, docs, str(tmp_path)), stage(spark, plain, str(tmp_path))
+    assert few.columns == (base if name != "sentencepiece" else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    assert got.columns == (docs.columns if name != "sentencepiece" else few.columns)
+    rows = few.collect()
+    assert values(got.collect(), few.columns) == values(rows, few.columns)
+    assert stage(spark, plain.limit(0), str(tmp_path)).count() == 0
+    texts = {(i, t): len(WORD.findall(t or "")) for i, t, _ in odd}
+    if name == "quality rules":
+        assert {r["doc_id"] for r in rows} <= {None, 4, 5, 6, 8, 9}
+    elif name == "line dedup":
+        assert values(rows, ["doc_id"]) == values([{"doc_id": i} for i, _, _ in odd], ["doc_id"])
+    elif name == "near-duplicates":  # 5, its copy and the copy without an id are one, 6 a near copy; 3 and 10 differ by case
+        assert sorted(r["doc_id"] for r in rows) == [0, 1, 2, 3, 4, 5, 7, 8]
+    elif name == "source mixing":
+        took = sum(texts[r["doc_id"], r["text"]] for r in rows)
+        assert took <= sum(len(WORD.findall(t or "")) for _, t, _ in odd) + 2 * 120
+        assert all(n > 0 for (i, t), n in texts.items() if any(r["doc_id"] == i and r["text"] == t for r in rows))
+    else:
+        assert len(rows) == len(odd) and {r["n_tokens"] for r in rows if r["doc_id"] in (0, 1)} == {2}
 
 
 def test_classifier_on_held_out_rows(spark):
