@@ -8,12 +8,14 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, aside, back, words
+from .common import WORD, aside, back, maybe_broadcast, words
 
 #: Characters that count as symbols.
 SYMBOLS = r"[#*$%&|<>]"
 #: Buckets of hashed n-grams, added count a bucket, and the least mean log ratio a document keeps its place with.
 BUCKETS, SMOOTHING, THRESHOLD = 16384, 1.0, -0.08
+#: Ids, of eight bytes each, that are sent to the texts at most.
+IDS = 1_000_000
 
 
 def pair_hashes(w: str) -> Column:
@@ -99,11 +101,11 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", bucke
 def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Texts of all labelled documents of quality 1 that aren't toxic: a target should hold nothing one would not keep.
 
-    Null doc_id or quality: not trusted; null toxic: not toxic. A document labelled twice counts once. The size of the
-    ids decides how Spark joins them.
+    Null doc_id or quality: not trusted; null toxic: not toxic. A document labelled twice counts once. Up to IDS
+    ids are sent to the texts; beyond, the join shuffles.
     """
-    ids = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(ids, "doc_id", "left_semi").select("text")
+    ids = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    return docs.join(maybe_broadcast(ids, IDS), "doc_id", "left_semi").select("text")
 
 
 def op5(spark, sf_dir):
