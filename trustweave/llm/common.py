@@ -70,6 +70,11 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+def broadcast_bytes() -> int:
+    """Bytes up to which a written side whose bytes were counted may be broadcast."""
+    return 32 << 20
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
