@@ -111,6 +111,55 @@ def test_near_duplicates(spark, odd, size, monkeypatch):
     assert len(ids) == len(set(ids))
 
 
+def cut(text):
+    """Places of sentences as (begin, end, words), word by word."""
+    out, begin, count, found = [], 0, [], list(WORD.finditer(text))
+    for k, m in enumerate(found):
+        count.append(m.group())
+        behind = found[k + 1].start() if k + 1 < len(found) else len(text)
+        b = m.group().encode()
+        if m.group()[-1] in ".!?" or "\n" in text[m.end() : behind] or (7 * len(b) + b[-1]) % 32 == 0 or len(count) == 16 or k + 1 == len(found):
+            out.append((begin, behind, count))
+            begin, count = behind, []
+    return out
+
+
+def without_spans(rows, least):
+    """(doc_id, sentences, removed, kept) by brute force; rows in the order in which places keep a span."""
+    place, spans, cuts = {}, [], [cut(t or "") for _, t in rows]
+    for i, c in enumerate(cuts):
+        runs = {p: next((q for q in range(p + 2, len(c) + 1) if sum(len(x[2]) for x in c[p:q]) >= least), None) for p in range(len(c))}
+        ends = next((p for p in range(len(c) - 2, -1, -1) if sum(len(x[2]) for x in c[p:]) >= least), None)
+        for p, q in sorted({(p, q) for p, q in runs.items() if q} | ({(ends, len(c))} if ends is not None else set())):
+            w = tuple(w for x in c[p:q] for w in x[2])
+            spans.append((i, p, q, w))
+            place.setdefault(w, (i, p, q))
+    gone = {(i, k) for i, p, q, w in spans if place[w] != (i, p, q) for k in range(p, q)}
+    return [(d, len(c), [k for k in range(len(c)) if (i, k) in gone], "".join((t or "")[a:b] for k, (a, b, _) in enumerate(c) if (i, k) not in gone) if any((i, k) in gone for k in range(len(c))) else t or "") for i, ((d, t), c) in enumerate(zip(rows, cuts, strict=True))]
+
+
+@pytest.mark.parametrize("hot", [1024, 4])
+def test_substring_dedup(spark, odd, hot, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    draw = random.Random(6)
+    words = ["".join(draw.choices("abcdefghé", k=draw.randint(1, 7))) + draw.choice(["", "", "", "", ",", ".", "!"]) for _ in range(500)]
+    passage = draw.choices(words, k=200)
+    rows = [(i, t) for i, t, _ in odd if i not in (None, 5)] + [(70, "z " * 300), (71, "z\t" * 300)]
+    for i in range(100, 160):
+        a = draw.randint(0, 150)
+        rows.append((i, draw.choice(["", " ", "\n"]) + draw.choice([" ", "  ", "\n"]).join(draw.choices(words, k=draw.randint(0, 80)) + passage[a : a + draw.randint(20, 60)] + draw.choices(words, k=draw.randint(0, 30)))))
+    rows += [(200 + i, " ".join(passage)) for i in range(30)] + [(-1, "Few words. Twice."), (-2, "Few words. Twice.")]
+    rows.sort()
+    docs = frame(spark, [(i, t, "s") for i, t in rows])
+    got = [tuple(r) for r in substring_dedup.drop_repeated_spans(docs, 12).select("doc_id", "n_sentences", "removed", "kept_text").collect()]
+    expected = without_spans(rows, 12)
+    assert sorted(got) == sorted(expected)
+    assert sum(len(r[2]) > 0 for r in expected) > 60 and {r[0]: r[3] for r in got}[229] == ""
+    # Rows without an id come first; rows that repeat id and text are one document.
+    twice = frame(spark, [(None, " ".join(passage), "s"), (3, " ".join(passage), "s"), (3, " ".join(passage), "s")])
+    assert sorted(len(r["removed"]) > 0 for r in substring_dedup.drop_repeated_spans(twice).collect()) == [False, True, True]
+
+
 @pytest.mark.parametrize("hot", [50_000, 1])
 def test_suffix_dedup(spark, odd, hot):
     draw = random.Random(3)

@@ -14,7 +14,7 @@ from .common import WORD, aside, back, maybe_broadcast, words
 SYMBOLS = r"[#*$%&|<>]"
 #: Buckets of hashed n-grams, added count a bucket, and the least mean log ratio a document keeps its place with.
 BUCKETS, SMOOTHING, THRESHOLD = 16384, 1.0, -0.08
-#: Ids, of eight bytes each, that are sent to the texts at most.
+#: Ids that are sent to the texts at most.
 IDS = 1_000_000
 
 
@@ -104,7 +104,7 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null doc_id or quality: not trusted; null toxic: not toxic. A document labelled twice counts once. Up to IDS
     ids are sent to the texts; beyond, the join shuffles.
     """
-    ids = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    ids = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
     return docs.join(maybe_broadcast(ids, IDS), "doc_id", "left_semi").select("text")
 
 
