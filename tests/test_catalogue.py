@@ -29,9 +29,8 @@ def test_same_rows(spark, sql, name):
         assert ((a[c] == b[c]) | (a[c].isna() & b[c].isna())).all(), c
 
 
-@pytest.mark.parametrize("name", ["teacher_scores", "targets", "student_weights", "grad_hist", "predictions_landmark"])
-def test_runs(spark, name):
-    assert catalogue.queries()[name](spark, D).count() > 0
+def test_every_query_has_sql():
+    assert set(catalogue.queries()) == set(catalogue.oracle_sql())
 
 
 def test_untrusted_labels_are_not_read(spark):
@@ -39,5 +38,5 @@ def test_untrusted_labels_are_not_read(spark):
 
     v, t = catalogue.views(spark, D), catalogue.trusted(spark, D)
     features = v.select("id", "view_a", "view_b", "joint")
-    plan = fit_teacher(features, t, 10).probabilities(features)._jdf.queryExecution().executedPlan().toString()
+    plan = fit_teacher(features, t).probabilities(features)._jdf.queryExecution().executedPlan().toString()
     assert "label" not in plan.split("ReadSchema")[-1]

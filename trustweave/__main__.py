@@ -6,19 +6,20 @@ import argparse
 import inspect
 import json
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from . import __version__
-from .config import Config, LinearConfig
+from .config import STUDENTS, Config
 from .functions import exprs
 from .operators import audit, pipeline
 from .sources.synthetic import problem
 
 
 def info(_) -> dict:
-    return {"version": __version__, "fit": str(inspect.signature(pipeline.fit)), "architectures": ["kmeans", "landmark"], "default": Config().architecture, "takes_untrusted_labels": False, "passed": True}
+    return {"version": __version__, "fit": str(inspect.signature(pipeline.fit)), "architectures": list(STUDENTS), "default": Config().student, "takes_untrusted_labels": False, "passed": True}
 
 
 def run_audit(seed: int) -> dict:
@@ -27,15 +28,14 @@ def run_audit(seed: int) -> dict:
     text = labels.select("id", F.col("label").cast("string").alias("label"))
     marked = labels.join(trusted.select("id", F.lit(True).alias("t")), "id", "left").select("id", exprs.sentinel(F.col("label"), F.col("t").isNotNull()).alias("label"))
     out = {}
-    for name in ("kmeans", "landmark"):
-        c = Config(config.n_classes, name, config.feature, config.teacher, config.student, config.kmeans, config.kmeans_teacher, config.linear_student)
-        out[name] = audit.mutation_audit(features, trusted, text, marked, c).to_dict()
+    for name in STUDENTS:
+        out[name] = audit.mutation_audit(features, trusted, text, marked, replace(config, student=name)).to_dict()
     return out | {"passed": all(x["passed"] for x in out.values())}
 
 
 def run_federated(seed: int) -> dict:
     rows = audit.federated_problem(SparkSession.builder.getOrCreate(), seed)
-    plain, weighted = audit.federated_audit(rows, 1.0), audit.federated_audit(rows, LinearConfig().ridge, weight="w")
+    plain, weighted = audit.federated_audit(rows, 1.0), audit.federated_audit(rows, Config().linear_ridge, weight="w")
     return {"max_weight_diff": plain, "max_weight_diff_trusted_weighted": weighted, "passed": plain < 1e-10 and weighted < 1e-10}
 
 

@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ColorConfig, PatchConfig
+from ..config import Features
 from ..functions.checks import check_vectors
+from ..functions.exprs import let
 from .arrays import lists, matrix, with_array
 from .sampling import patch_places
 from .solve import zca
@@ -20,6 +21,8 @@ from .stats import column_moments
 #: Weights of red, green and blue in a grey value.
 GREY = (0.299, 0.587, 0.114)
 PIXELS, SIDE, CELLS, BINS = 3072, 32, 8, 9
+#: Images whose patches are encoded at once.
+IMAGES = 100
 
 
 def from_bytes(images: DataFrame, pixels: str = "pixels") -> DataFrame:
@@ -29,9 +32,9 @@ def from_bytes(images: DataFrame, pixels: str = "pixels") -> DataFrame:
 
 def from_rows(images: DataFrame, pixels: str = "pixels") -> DataFrame:
     """Row, column, channel order as channel, row, column."""
-    order = F.array(*[F.lit(p * 3 + c) for c in range(3) for p in range(SIDE * SIDE)])
-    p = F.col(pixels)
-    return images.withColumn(pixels, F.transform(order, lambda i: F.get(p, i)))
+    each, n = F.sequence(F.lit(0), F.lit(PIXELS - 1)), SIDE * SIDE
+    from_place = lambda j: (F.pmod(j, F.lit(n)) * 3 + F.floor(j / n)).cast("int")
+    return images.withColumn(pixels, let(F.col(pixels), lambda p: F.transform(each, lambda j: F.get(p, from_place(j)))))
 
 
 def gradient_histogram(x: np.ndarray, eps: float = 1e-12) -> np.ndarray:
@@ -74,11 +77,11 @@ class ColorModel:
         return f.withColumn("joint", F.transform(F.concat("view_a", "view_b"), lambda x: (x / F.sqrt(F.lit(2.0))).cast("float").cast("double")))
 
 
-def fit_color(images: DataFrame, config: ColorConfig | None = None) -> ColorModel:
-    config = config or ColorConfig()
+def fit_color(images: DataFrame, config: Features | None = None) -> ColorModel:
+    config = config or Features()
     check_vectors(images, ["pixels"], {"pixels": PIXELS})
     mean, std = column_moments(with_array(images.select("id", "pixels"), "c", ["pixels"], block_means), "c")
-    return ColorModel(mean, std + config.color_floor, config.normalization_eps)
+    return ColorModel(mean, std + config.color_floor, config.unit_floor)
 
 
 @dataclass(frozen=True)
@@ -88,7 +91,7 @@ class PatchModel:
     centroids: np.ndarray
     feature_mean: np.ndarray
     feature_scale: np.ndarray
-    config: PatchConfig
+    config: Features
 
     @property
     def n_features(self) -> int:
@@ -96,13 +99,13 @@ class PatchModel:
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """How much nearer than the mean each centroid is, summed over the patches of each quadrant."""
-        n = self.config.patch_size
+        n = self.config.patch_side
         grid = SIDE + 1 - n
         half = grid // 2
         c2 = (self.centroids * self.centroids).sum(1)
         out = np.empty((len(x), self.n_features), np.float32)
         for i, p in enumerate(all_patches(x, n)):
-            w = (patch_norm(p, self.config.patch_norm_eps) - self.patch_mean) @ self.whitening
+            w = (patch_norm(p, self.config.patch_floor) - self.patch_mean) @ self.whitening
             d = np.sqrt(np.maximum((w * w).sum(1)[:, None] + c2 - 2 * w @ self.centroids.T, 0))
             near = np.maximum(d.mean(1, keepdims=True) - d, 0).reshape(grid, grid, -1)
             out[i] = np.concatenate([near[r, c].sum((0, 1)) for r in (slice(None, half), slice(half, None)) for c in (slice(None, half), slice(half, None))])
@@ -115,7 +118,7 @@ class PatchModel:
             m = shared.value
             return _unit((np.sqrt(m.encode(x).astype(float)) - m.feature_mean) / m.feature_scale, 1e-12)
 
-        return with_array(images.select("id", "pixels"), "joint", ["pixels"], make, self.config.chunk_size).drop("pixels")
+        return with_array(images.select("id", "pixels"), "joint", ["pixels"], make, IMAGES).drop("pixels")
 
 
 def patch_norm(p: np.ndarray, eps: float) -> np.ndarray:
@@ -148,15 +151,15 @@ def lloyd(points: np.ndarray, start: np.ndarray, iterations: int, seed: int = 0,
     return c
 
 
-def sample_patches(images: DataFrame, config: PatchConfig) -> np.ndarray:
-    """patch_samples normalised patches on the driver: drawn places of images numbered in the order of their ids by ranges.
+def sample_patches(images: DataFrame, config: Features) -> np.ndarray:
+    """normalised patches on the driver: drawn places of images numbered in the order of their ids by ranges.
 
-    Rows go to the driver as drawn patches only (patch_samples * 3 * patch_size^2 floats), never as images."""
+    Rows go to the driver as drawn patches only (patches * 3 * patch_side^2 floats), never as images."""
     n = images.count()
     if not n:
         raise ValueError("there are no images")
-    size = config.patch_size
-    places = patch_places(n, config.patch_samples, SIDE + 1 - size, config.seed)
+    size = config.patch_side
+    places = patch_places(n, config.patches, SIDE + 1 - size, config.seed)
     spark = images.sparkSession
     parts = images.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).orderBy("lo").collect()
     lows = np.array([r["lo"] for r in parts])
@@ -188,19 +191,19 @@ def sample_patches(images: DataFrame, config: PatchConfig) -> np.ndarray:
 
     rows = dealt.mapInArrow(run, "at long, patch array<float>").toArrow()
     p = matrix(rows["patch"].combine_chunks(), np.float32)[np.argsort(rows["at"].to_numpy())]
-    return patch_norm(p, config.patch_norm_eps)
+    return patch_norm(p, config.patch_floor)
 
 
-def fit_patches(images: DataFrame, config: PatchConfig | None = None) -> PatchModel:
-    config = config or PatchConfig()
+def fit_patches(images: DataFrame, config: Features | None = None) -> PatchModel:
+    config = config or Features()
     p = sample_patches(images, config).astype(float)
     mean = p.mean(0)
-    white = zca(np.cov(p - mean, rowvar=False), config.zca_eps).astype(np.float32)
+    white = zca(np.cov(p - mean, rowvar=False), config.whitening_floor).astype(np.float32)
     points = ((p - mean) @ white).astype(np.float32)
     start = points[np.random.default_rng(config.seed).choice(len(points), config.centroids, replace=False)]
-    centroids = lloyd(points, start, config.iterations, config.seed)
+    centroids = lloyd(points, start, config.rounds, config.seed)
     one = PatchModel(mean.astype(np.float32), white, centroids, np.zeros(4 * config.centroids), np.ones(4 * config.centroids), config)
     shared = images.sparkSession.sparkContext.broadcast(one)
-    raw = with_array(images.select("id", "pixels"), "f", ["pixels"], lambda x: np.sqrt(shared.value.encode(x).astype(float)), config.chunk_size)
+    raw = with_array(images.select("id", "pixels"), "f", ["pixels"], lambda x: np.sqrt(shared.value.encode(x).astype(float)), IMAGES)
     m, s = column_moments(raw.select("f"), "f")
-    return PatchModel(one.patch_mean, white, centroids, m, s + config.standardize_floor, config)
+    return PatchModel(one.patch_mean, white, centroids, m, s + config.scale_floor, config)

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Config
+from ..config import Config, Features
 from ..functions import exprs
 from ..functions.checks import check_trusted, check_vectors
-from .features import ColorModel, PatchModel, fit_color, fit_patches
+from .features import PIXELS, ColorModel, PatchModel, fit_color, fit_patches
 from .student import Student, build_targets, fit_landmark, fit_linear, target_digest
 from .teacher import Teacher, fit_teacher
 
@@ -28,7 +28,6 @@ class Model:
     trusted_labels: np.ndarray | None = None
     color: ColorModel | None = None
     patches: PatchModel | None = None
-    extra: dict = field(default_factory=dict)
 
     def predict(self, features: DataFrame) -> DataFrame:
         check_vectors(features, ["joint"], {"joint": self.student.width})
@@ -47,6 +46,7 @@ class Model:
         """Only what the student reads; other views are not computed."""
         if self.color is None:
             raise RuntimeError("the model was not fitted on images")
+        check_vectors(images, ["pixels"], {"pixels": PIXELS})
         return self.patches.transform(images) if self.patches else self.color.transform(images).select("id", "joint")
 
     def predict_images(self, images: DataFrame) -> DataFrame:
@@ -62,12 +62,11 @@ def fit(features: DataFrame, trusted: DataFrame, config: Config | None = None, l
     f = features.select("id", *(F.col(v).cast("array<double>").alias(v) for v in ("view_a", "view_b", "joint")))
     t = trusted.select("id", "label")
     check_vectors(f, ["view_a", "view_b", "joint"])
-    check_trusted(t, f, config.n_classes)
-    blend = config.kmeans_teacher if config.architecture == "kmeans" else None
-    teacher = fit_teacher(f, t, config.n_classes, config.teacher, blend)
-    targets = build_targets(teacher.probabilities(f), t, config.n_classes).select("id", "joint", "q").persist()
+    check_trusted(t, f, config.classes)
+    teacher = fit_teacher(f, t, config)
+    targets = build_targets(teacher.probabilities(f), t, config.classes).select("id", "joint", "q").persist()
     try:
-        student = fit_linear(targets, config.linear_student, trusted=t) if blend else fit_landmark(targets, config.student, landmark_ids=landmark_ids)
+        student = fit_linear(targets, config, trusted=t) if config.student == "linear" else fit_landmark(targets, config, landmark_ids=landmark_ids)
         digest = target_digest(targets)
     finally:
         targets.unpersist()
@@ -75,23 +74,23 @@ def fit(features: DataFrame, trusted: DataFrame, config: Config | None = None, l
     return Model(config, teacher, student, digest, np.array([r["id"] for r in rows]), np.array([int(r["label"]) for r in rows]))
 
 
-def image_views(images: DataFrame, config: Config, color: ColorModel | None = None, patches: PatchModel | None = None):
+def image_views(images: DataFrame, config: Config, how: Features | None = None, color: ColorModel | None = None, patches: PatchModel | None = None):
     """(features, color, patches); what isn't given is fitted on the images."""
-    color = color or fit_color(images, config.feature)
+    color = color or fit_color(images, how)
     views = color.transform(images)
-    if config.architecture != "kmeans":
+    if not config.joint_teacher:
         return views, color, None
-    patches = patches or fit_patches(images, config.kmeans)
+    patches = patches or fit_patches(images, how)
     return views.drop("joint").join(patches.transform(images), "id"), color, patches
 
 
-def fit_images(images: DataFrame, trusted: DataFrame, config: Config | None = None) -> Model:
+def fit_images(images: DataFrame, trusted: DataFrame, config: Config | None = None, how: Features | None = None) -> Model:
     """images: (id, pixels of 3 * 32 * 32 in channel, row, column order, from 0 to 1)."""
     config = config or Config()
-    features, color, patches = image_views(images, config)
+    features, color, patches = image_views(images, config, how)
     features = features.persist()
     try:
         m = fit(features, trusted, config)
     finally:
         features.unpersist()
-    return Model(m.config, m.teacher, m.student, m.target_digest, m.trusted_ids, m.trusted_labels, color, patches)
+    return replace(m, color=color, patches=patches)

@@ -39,11 +39,6 @@ def landmarks(df: DataFrame, m: int, seed: int) -> DataFrame:
     return sample(df.select("id", "joint"), m, seed).orderBy("id")
 
 
-def random_split(df: DataFrame, parts: int, seed: int) -> DataFrame:
-    """df and client: shares that differ by a row at most in expectation, without putting all rows in one order."""
-    return df.withColumn("client", F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(parts)).cast("int"))
-
-
 def equal_split(df: DataFrame, parts: int, seed: int) -> DataFrame:
     """(id, client) with shares that differ by a row at most; for tables whose ids one task can sort."""
     return df.select("id", (F.ntile(parts).over(Window.orderBy(*shuffled(seed))) - 1).alias("client"))

@@ -10,12 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.checks import check_statistics
+from ..functions.checks import check_statistics, check_weights
 from .arrays import matrix
 from .solve import ridge_solve
 
-#: Buckets that rows are summed up in, and rows a product takes.
-BUCKETS, CHUNK = 16, 1024
+#: Rows a bucket has about (more, if the matrices are wide: then that many times their width), rows a product takes, and
+#: how many sums one level of the tree adds up.
+ROWS, WIDE, CHUNK, BRANCHES = 4096, 8, 1024, 16
 
 
 @dataclass(frozen=True)
@@ -40,30 +41,40 @@ class RidgeStatistics:
         return cls(a, values[cells:].reshape(width, -1), n)
 
 
-def partial_statistics(df: DataFrame, phi: str, q: str, weight: str | None = None, client: str | None = None, buckets: int = BUCKETS, chunk: int = CHUNK) -> DataFrame:
-    """(client, bucket, width, n, packed): sums of w phi phi' and w phi q' of the rows of each bucket of ids.
+_PARTIAL = "client long, bucket long, width int, n long, packed array<double>"
+
+
+def _emit(key: tuple, total: RidgeStatistics) -> pa.RecordBatch:
+    client, bucket = key
+    return pa.RecordBatch.from_arrays([pa.array([client], pa.int64()), pa.array([bucket], pa.int64()), pa.array([len(total.a)], pa.int32()), pa.array([total.n]), pa.array([total.packed()], pa.list_(pa.float64()))], ["client", "bucket", "width", "n", "packed"])
+
+
+def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch | None]]:
+    """Runs of rows with the same first two columns; (key, None) ends each."""
+    key = None
+    for batch in batches:
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
+        cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+        for lo, hi in zip([0, *cut], [*cut, len(keys)], strict=True):
+            if lo == hi:
+                continue
+            now = tuple(keys[lo].tolist())
+            if key is not None and key != now:
+                yield key, None
+            key = now
+            yield key, batch.slice(lo, hi - lo)
+    if key is not None:
+        yield key, None
 
-    Rows are summed in the order of their ids, `chunk` at a time, so the sums are the same to the last bit however
-    the rows are partitioned. A task holds one chunk and one matrix. Every row is shuffled once, none is gathered.
-    """
-    rows = df.select(
-        (F.col(client) if client else F.lit(0)).cast("long").alias("client"),
-        F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket"),
-        "id",
-        F.col(phi).cast("array<double>").alias("phi"),
-        F.col(q).cast("array<double>").alias("q"),
-        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"),
-    )
 
+def _sum_rows(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, have, total = None, [], 0, None
+        held, have, total = [], 0, None
 
-        def add(last: bool):
+        def add(everything: bool):
             nonlocal held, have, total
-            if not held:
-                return
             x, y, w = (np.concatenate(z) for z in zip(*held, strict=True))
-            end = len(x) if last else len(x) // chunk * chunk
+            end = len(x) if everything else len(x) // chunk * chunk
             for at in range(0, end, chunk):
                 s = slice(at, min(at + chunk, end))
                 xw = x[s] * w[s, None]
@@ -72,38 +83,76 @@ def partial_statistics(df: DataFrame, phi: str, q: str, weight: str | None = Non
                 total = part if total is None else total + part
             held, have = ([(x[end:], y[end:], w[end:])], len(x) - end) if end < len(x) else ([], 0)
 
-        def out():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([len(total.a)], pa.int32()), pa.array([total.n]), pa.array([total.packed()], pa.list_(pa.float64()))],
-                ["client", "bucket", "width", "n", "packed"],
-            )
-
-        for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
-            cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
-            for lo, hi in zip([0, *cut], [*cut, len(keys)], strict=True):
-                if lo == hi:
-                    continue
-                if key != tuple(keys[lo]):
+        for key, part in _by_key(batches):
+            if part is None:
+                if held:
                     add(True)
-                    if total is not None:
-                        yield out()
-                    key, total = tuple(keys[lo]), None
-                part = batch.slice(lo, hi - lo)
-                held.append((matrix(part.column(3)), matrix(part.column(4)), part.column(5).to_numpy(zero_copy_only=False)))
-                have += hi - lo
-                if have >= chunk:
-                    add(False)
-        add(True)
-        if total is not None:
-            yield out()
-
-    dealt = rows.repartition("client", "bucket").sortWithinPartitions("client", "bucket", "id")
-    return dealt.mapInArrow(run, "client long, bucket int, width int, n long, packed array<double>")
+                yield _emit(key, total)
+                held, have, total = [], 0, None
+                continue
+            held.append((matrix(part.column(3)), matrix(part.column(4)), part.column(5).to_numpy(zero_copy_only=False)))
+            have += part.num_rows
+            if have >= chunk:
+                add(False)
+
+    return run
+
+
+def _sum_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(client, parent bucket) of sums in the order of their buckets."""
+    total = None
+    for key, part in _by_key(batches):
+        if part is None:
+            yield _emit(key, total)
+            total = None
+            continue
+        for packed, width, n in zip(part.column(5), part.column(3), part.column(4), strict=True):
+            s = RidgeStatistics.unpack(packed.values.to_numpy(zero_copy_only=False), width.as_py(), n.as_py())
+            total = s if total is None else total + s
+
+
+def partial_statistics(df: DataFrame, phi: str, q: str, weight: str | None = None, client: str | None = None, rows: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(client, bucket, width, n, packed): sums of w phi phi' and w phi q' of each client, in BRANCHES buckets at most.
+
+    The ids' hashes deal a client's rows to as many buckets as it has times `rows` rows, so tasks grow with the input. A
+    bucket's rows are summed in the order of their ids, `chunk` at a time, and buckets in a tree of BRANCHES, always the
+    same one: the sums are the same to the last bit however the rows are partitioned. A task holds a chunk and a matrix;
+    every row is shuffled once, and what a level of the tree shuffles is a BRANCHES-th of the level below.
+
+    rows: rows a bucket has about; by default ROWS, or WIDE times the width. No rows give no rows.
+    """
+    each = df.select(
+        (F.col(client) if client else F.lit(0)).cast("long").alias("client"),
+        "id",
+        F.col(phi).cast("array<double>").alias("phi"),
+        F.col(q).cast("array<double>").alias("q"),
+        (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"),
+    )
+    if rows is None:
+        first = each.select(F.size("phi").alias("n")).limit(1).collect()
+        rows = max(ROWS, WIDE * first[0]["n"]) if first else ROWS
+    if client is None:
+        deepest = int(np.ceil(np.log2(max(each.count() / rows, 1))))
+        dealt = each.withColumn("level", F.lit(deepest))
+    else:
+        sizes = each.groupBy("client").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.ceil(F.log2(F.greatest(F.col("n") / rows, F.lit(1.0)))).cast("int")).drop("n")
+        deepest = sizes.agg(F.max("level").alias("d")).collect()[0]["d"] or 0
+        dealt = each.join(sizes, "client")
+    hashed = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    dealt = dealt.select("client", F.pmod(hashed, F.expr("shiftleft(1L, level)")).alias("bucket"), "id", "phi", "q", "w")
+    out = dealt.repartition("client", "bucket").sortWithinPartitions("client", "bucket", "id").mapInArrow(_sum_rows(chunk), _PARTIAL)
+    while deepest > np.log2(BRANCHES):
+        # Buckets with the same lower bits are added; clients with fewer buckets stay as they are.
+        deepest -= int(np.log2(BRANCHES))
+        parent = F.pmod("bucket", F.lit(1 << deepest)).alias("parent")
+        out = out.select("client", parent, "bucket", "width", "n", "packed").repartition("client", "parent").sortWithinPartitions("client", "parent", "bucket").mapInArrow(_sum_sums, _PARTIAL)
+    return out
 
 
 def client_statistics(df: DataFrame, phi: str, q: str, weight: str | None = None, client: str | None = None, **more) -> dict[int, RidgeStatistics]:
-    """Statistics of each client: its buckets' sums in order, one at a time on the driver."""
+    """Statistics of each client: its buckets' sums in order, one at a time on the driver. Weights must be positive."""
+    if weight:
+        check_weights(df, weight)
     out: dict[int, RidgeStatistics] = {}
     for r in partial_statistics(df, phi, q, weight, client, **more).orderBy("client", "bucket").toLocalIterator():
         s = RidgeStatistics.unpack(np.array(r["packed"]), r["width"], r["n"])
@@ -131,16 +180,6 @@ def central_ridge(df: DataFrame, phi: str, q: str, ridge: float, weight: str | N
     return combine([statistics(df, phi, q, weight)], ridge)
 
 
-def gram_table(df: DataFrame, vector: str, weight: str | None = None, client: str | None = None) -> DataFrame:
-    """(client, i, j, v), i <= j: the same sums as a table, in DataFrame functions only."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    group = [F.col(client).alias("client")] if client else []
-    v = F.col(vector)
-    cells = F.flatten(F.transform(v, lambda x, i: F.transform(F.slice(v, i + 1, F.size(v)), lambda y, j: F.struct(i.alias("i"), (i + j).alias("j"), (x * y).alias("p")))))
-    each = df.select(*group, w.alias("w"), F.explode(cells).alias("c"))
-    return each.groupBy(*(["client"] if client else []), F.col("c.i").alias("i"), F.col("c.j").alias("j")).agg(F.sum(F.col("w") * F.col("c.p")).alias("v"))
-
-
 def column_moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
     """Mean and population standard deviation of each place of the vectors."""
     rows = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()

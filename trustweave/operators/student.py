@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import LandmarkConfig, LinearConfig
+from ..config import Config
 from ..functions import exprs
 from .arrays import collected, with_array
 from .kernels import landmark_map, rbf
@@ -52,9 +52,12 @@ class Student:
 
 
 def build_targets(probabilities: DataFrame, trusted: DataFrame, n_classes: int, p: str = "p", out: str = "q") -> DataFrame:
-    """Rows with q: the label's vector where it is trusted, else the teacher's probabilities; and is_trusted."""
+    """Rows with q: the label's vector where it is trusted, else the teacher's probabilities; and is_trusted.
+
+    A vector of probabilities of any other length than the classes is refused by the first row that has one."""
     t = trusted.select("id", F.col("label").alias("_label"))
-    q = F.coalesce(F.when(F.col("_label").isNotNull(), exprs.one_hot(F.col("_label").cast("int"), n_classes)), F.col(p))
+    fits = F.when(F.size(p) == n_classes, F.col(p)).otherwise(F.raise_error(F.concat(F.lit(f"a teacher must give {n_classes} values; it gave "), F.size(p))).cast(probabilities.schema[p].dataType))
+    q = F.coalesce(F.when(F.col("_label").isNotNull(), exprs.one_hot(F.col("_label").cast("int"), n_classes)), fits)
     return probabilities.join(t, "id", "left").withColumn(out, q).withColumn("is_trusted", F.col("_label").isNotNull()).drop("_label")
 
 
@@ -65,28 +68,28 @@ def target_digest(targets: DataFrame, q: str = "q") -> str:
     return hashlib.sha256(f"{r['s']}|{r['x']}|{r['n']}".encode()).hexdigest()
 
 
-def fit_linear(targets: DataFrame, config: LinearConfig | None = None, joint: str = "joint", q: str = "q", trusted: DataFrame | None = None, shared=None) -> Student:
+def fit_linear(targets: DataFrame, config: Config | None = None, joint: str = "joint", q: str = "q", trusted: DataFrame | None = None, shared=None) -> Student:
     """Ridge weights with trusted rows counted trusted_weight times: the sums over all rows, which `shared` may bring along
     from another fit on the same rows and targets, and a correction from the trusted rows."""
-    config = config or LinearConfig()
+    config = config or Config()
     total = shared or statistics(targets, joint, q)
     if trusted is not None and config.trusted_weight != 1.0:
         part = statistics(only_trusted(targets, trusted), joint, q)
         extra = config.trusted_weight - 1.0
-        return Student(ridge_solve(total.a + extra * part.a, total.b + extra * part.b, config.ridge))
-    return Student(ridge_solve(total.a, total.b, config.ridge))
+        return Student(ridge_solve(total.a + extra * part.a, total.b + extra * part.b, config.linear_ridge))
+    return Student(ridge_solve(total.a, total.b, config.linear_ridge))
 
 
-def fit_landmark(targets: DataFrame, config: LandmarkConfig | None = None, joint: str = "joint", q: str = "q", landmark_ids: list[int] | None = None) -> Student:
-    config = config or LandmarkConfig()
+def fit_landmark(targets: DataFrame, config: Config | None = None, joint: str = "joint", q: str = "q", landmark_ids: list[int] | None = None) -> Student:
+    config = config or Config(student="landmark")
     if landmark_ids is None:
-        chosen = landmarks(targets.withColumn("joint", F.col(joint)), config.landmark_count, config.landmark_seed)
+        chosen = landmarks(targets.withColumn("joint", F.col(joint)), config.landmarks, config.landmark_seed)
     else:
-        if len(landmark_ids) != config.landmark_count or len(set(landmark_ids)) != len(landmark_ids):
+        if len(landmark_ids) != config.landmarks or len(set(landmark_ids)) != len(landmark_ids):
             raise ValueError("landmark ids must be unique and as many as the settings say")
         chosen = targets.filter(F.col("id").isin([int(x) for x in landmark_ids])).select("id", F.col(joint).alias("joint")).orderBy("id")
     ids, marks = collected(chosen, "id", "joint")
-    if len(ids) != config.landmark_count:
+    if len(ids) != config.landmarks:
         raise ValueError("a landmark id is not among the rows")
     total = statistics(landmark_map(targets.select("id", joint, q), marks, config.landmark_gamma, joint), "phi", q)
-    return Student(ridge_solve(total.a, total.b, config.ridge), ids, marks, config.landmark_gamma)
+    return Student(ridge_solve(total.a, total.b, config.landmark_ridge), ids, marks, config.landmark_gamma)

@@ -6,14 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..config import BlendConfig, TwoViewConfig
+from ..config import Config
 from .arrays import collected, with_array
 from .kernels import rbf
 from .solve import ridge_solve
 
 #: Trusted rows that are gathered, at most; the kernel matrix on the driver is of their square.
-MAX_TRUSTED = 20_000
+MAX_TRUSTED, MAX_BYTES = 20_000, 4 << 30
+VIEWS = ("view_a", "view_b", "joint")
 
 
 def _dual(v: np.ndarray, y: np.ndarray, gamma: float, ridge: float) -> np.ndarray:
@@ -28,24 +30,21 @@ def _softmax(raw: np.ndarray, temperature: float) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Teacher:
-    """Fitted teacher. anchors and alphas by view: view_a, view_b and, in a blend, joint."""
+    """Fitted teacher. anchors and alphas by view: view_a, view_b and, if it blends, joint."""
 
-    n_classes: int
+    config: Config
     anchors: dict[str, np.ndarray]
     alphas: dict[str, np.ndarray]
-    two_view: TwoViewConfig
-    blend: BlendConfig | None = None
 
     @property
     def views(self) -> list[str]:
         return list(self.anchors)
 
     def _raw(self, *views: np.ndarray) -> np.ndarray:
-        t = self.two_view
-        gammas = [t.gamma_view_a, t.gamma_view_b] + ([self.blend.gamma] if self.blend else [])
-        one = [rbf(v, self.anchors[n], g) @ self.alphas[n] for v, n, g in zip(views, self.anchors, gammas, strict=True)]
-        raw = t.view_a_weight * one[0] + (1 - t.view_a_weight) * one[1]
-        return self.blend.weight * one[2] + (1 - self.blend.weight) * raw if self.blend else raw
+        c = self.config
+        one = [rbf(v, self.anchors[n], _settings(c)[n][0]) @ self.alphas[n] for v, n in zip(views, self.anchors, strict=True)]
+        raw = c.share_a * one[0] + (1 - c.share_a) * one[1]
+        return c.share_joint * one[2] + (1 - c.share_joint) * raw if "joint" in self.anchors else raw
 
     def scores(self, df: DataFrame, out: str = "raw") -> DataFrame:
         """df and the raw score of each class."""
@@ -53,30 +52,36 @@ class Teacher:
         return with_array(df, out, self.views, lambda *v: shared.value._raw(*v))
 
     def probabilities(self, df: DataFrame, out: str = "p") -> DataFrame:
-        t = (self.blend or self.two_view).temperature
+        t = self.config.joint_temperature if "joint" in self.anchors else self.config.temperature
         shared = df.sparkSession.sparkContext.broadcast(self)
         return with_array(df, out, self.views, lambda *v: _softmax(shared.value._raw(*v), t))
 
     def state(self) -> dict[str, np.ndarray]:
-        out = {f"teacher_{k}_anchor": v for k, v in self.anchors.items()}
-        names = {"view_a": "a", "view_b": "b", "joint": "joint"}
-        return out | {f"teacher_alpha_{names[k]}": v for k, v in self.alphas.items()}
+        return {f"anchor_{k}": v for k, v in self.anchors.items()} | {f"alpha_{k}": v for k, v in self.alphas.items()}
 
     @classmethod
-    def from_state(cls, state: dict[str, np.ndarray], n_classes: int, two_view: TwoViewConfig, blend: BlendConfig | None) -> Teacher:
-        views = {"view_a": "a", "view_b": "b"} | ({"joint": "joint"} if blend else {})
-        return cls(n_classes, {k: state[f"teacher_{k}_anchor"] for k in views}, {k: state[f"teacher_alpha_{s}"] for k, s in views.items()}, two_view, blend)
-
-
-def fit_teacher(features: DataFrame, trusted: DataFrame, n_classes: int, two_view: TwoViewConfig | None = None, blend: BlendConfig | None = None) -> Teacher:
-    """From the trusted rows only, which come to the driver in the order of their ids; at most MAX_TRUSTED."""
-    two_view = two_view or TwoViewConfig()
-    views = ["view_a", "view_b"] + (["joint"] if blend else [])
-    rows = features.select("id", *views).join(trusted.select("id", "label"), "id").limit(MAX_TRUSTED + 1).orderBy("id")
-    *vectors, label = collected(rows, *views, "label")
-    if not 0 < len(label) <= MAX_TRUSTED:
+    def from_state(cls, state: dict[str, np.ndarray], config: Config) -> Teacher:
+        views = [v for v in VIEWS if f"anchor_{v}" in state]
+        return cls(config, {v: state[f"anchor_{v}"] for v in views}, {v: state[f"alpha_{v}"] for v in views})
+
+
+def _settings(c: Config) -> dict[str, tuple[float, float]]:
+    """Gamma and ridge of each view."""
+    return {"view_a": (c.gamma_a, c.teacher_ridge), "view_b": (c.gamma_b, c.teacher_ridge), "joint": (c.gamma_joint, c.joint_ridge)}
+
+
+def fit_teacher(features: DataFrame, trusted: DataFrame, config: Config | None = None) -> Teacher:
+    """From the trusted rows only, which come to the driver in the order of their ids; at most MAX_TRUSTED, and at most
+    MAX_BYTES of anchors, which every task that scores holds, and of a kernel matrix."""
+    config = config or Config()
+    views = VIEWS if config.joint_teacher else VIEWS[:2]
+    rows = features.select("id", *views).join(trusted.select("id", "label"), "id")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(sum(F.size(v).cast("long") for v in views)).alias("cells")).collect()[0]
+    if not 0 < size["n"] <= MAX_TRUSTED:
         raise ValueError(f"there must be 1 to {MAX_TRUSTED} trusted rows")
-    y = np.eye(n_classes)[label.astype(int)]
-    settings = [(two_view.gamma_view_a, two_view.ridge), (two_view.gamma_view_b, two_view.ridge)] + ([(blend.gamma, blend.ridge)] if blend else [])
-    alphas = {n: _dual(v, y, g, r) for n, v, (g, r) in zip(views, vectors, settings, strict=True)}
-    return Teacher(n_classes, dict(zip(views, vectors, strict=True)), alphas, two_view, blend)
+    if 8 * max(size["cells"], size["n"] ** 2) > MAX_BYTES:
+        raise ValueError(f"the trusted rows' views or their kernel matrix have over {MAX_BYTES} bytes")
+    *vectors, label = collected(rows.orderBy("id"), *views, "label")
+    y = np.eye(config.classes)[label.astype(int)]
+    alphas = {n: _dual(v, y, *_settings(config)[n]) for n, v in zip(views, vectors, strict=True)}
+    return Teacher(config, dict(zip(views, vectors, strict=True)), alphas)

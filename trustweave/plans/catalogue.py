@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import Config, LandmarkConfig
+from ..config import Config
 from ..functions import exprs
 from ..operators import audit, features, kernels, pipeline, sampling, stats
-from ..operators.student import build_targets, fit_linear
+from ..operators.arrays import collected
+from ..operators.student import build_targets, fit_landmark, fit_linear
 from ..operators.teacher import fit_teacher
+from ..sources import images, model_store
+from . import experiments
 
 SEED, PER_CLASS, LANDMARKS = 7, 5, 16
 
@@ -56,13 +62,61 @@ def entropy(spark, sf_dir):
 
 
 def standardize_pop(spark, sf_dir):
-    rows = views(spark, sf_dir).select("id", F.posexplode("e").alias("i", "x"))
-    moments = rows.groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    return rows.join(F.broadcast(moments), "i").select("id", "i", (F.round((F.col("x") - F.col("m")) / (F.col("s") + 0.01), 6) + 0.0).alias("x"))  # a row a dimension
+    m, d = stats.column_moments(views(spark, sf_dir), "e")
+    numbers = lambda x: F.array(*map(F.lit, x.tolist()))
+    return _places(views(spark, sf_dir).select("id", exprs.standardize(F.col("e"), numbers(m), numbers(d + 0.01)).alias("x")), "x")
+
+
+def blend_views(spark, sf_dir):
+    return _places(views(spark, sf_dir).select("id", exprs.blend(F.col("view_a"), F.col("view_b"), 0.75).alias("x")), "x")
+
+
+def sqrt_places(spark, sf_dir):
+    return _places(views(spark, sf_dir).select("id", exprs.square_root(F.transform("e", F.abs)).alias("x")), "x")
+
+
+def patch_norm(spark, sf_dir):
+    return _places(views(spark, sf_dir).select("id", exprs.patch_normalize(F.transform("e", lambda x: x * 255)).alias("x")), "x")
+
+
+def _known(spark, sf_dir):
+    """(id, label, t): t is whether the row is trusted."""
+    t = trusted(spark, sf_dir).select("id", F.lit(True).alias("t"))
+    return views(spark, sf_dir).select("id", "label").join(t, "id", "left").withColumn("t", F.coalesce("t", F.lit(False)))
+
+
+def flipped_labels(spark, sf_dir):
+    return _known(spark, sf_dir).select("id", exprs.flipped(F.col("label"), 10, ~F.col("t")).alias("label"))
+
+
+def sentinel_labels(spark, sf_dir):
+    return _known(spark, sf_dir).select("id", exprs.sentinel(F.col("label"), F.col("t")).alias("label"))
+
+
+def payload(spark, sf_dir):
+    """Bytes of what a client sends, by the classes that the table has."""
+    classes = views(spark, sf_dir).select("label").distinct().count()
+    return spark.createDataFrame([(w, n, exprs.payload_bytes(w, classes, n)) for w in (64, 880, 6400) for n in (4, 8)], "width int, bytes_each int, bytes long")
+
+
+def label_bincount(spark, sf_dir):
+    return stats.label_counts(views(spark, sf_dir), "label", 12)
+
+
+def gather_trusted(spark, sf_dir):
+    return _places(sampling.only_trusted(views(spark, sf_dir), trusted(spark, sf_dir)), "joint")
+
+
+def loose_sample(spark, sf_dir):
+    return sampling.sample(views(spark, sf_dir).select("id", "label"), 32, 11)
+
+
+def equal_split(spark, sf_dir):
+    return sampling.equal_split(views(spark, sf_dir), 7, SEED)
 
 
 def _marks(spark, sf_dir):
-    return views(spark, sf_dir).select("id", F.col("joint").alias("v")).orderBy(*sampling.shuffled(SEED)).limit(LANDMARKS)
+    return sampling.landmarks(views(spark, sf_dir), LANDMARKS, SEED).select("id", F.col("joint").alias("v"))
 
 
 def landmark_sample(spark, sf_dir):
@@ -87,40 +141,55 @@ def untrusted_anti(spark, sf_dir):
     return sampling.untrusted(views(spark, sf_dir).select("id", "label"), trusted(spark, sf_dir))
 
 
+def _cells(spark, parts, right: bool = False):
+    """(client, i, j, v) of the upper triangles, or of the right-hand sides, of statistics by client."""
+    rows = []
+    for k, s in sorted(parts.items()):
+        cells = np.ndindex(s.b.shape) if right else zip(*np.triu_indices(len(s.a)), strict=True)
+        rows += [(k, int(i), int(j), float((s.b if right else s.a)[i, j])) for i, j in cells]
+    return spark.createDataFrame(rows, "client long, i int, j int, v double").withColumn("v", F.round("v", 6) + 0.0)
+
+
+def _with_targets(spark, sf_dir):
+    return views(spark, sf_dir).withColumn("q", exprs.one_hot(F.col("label"), 10)).withColumn("client", F.pmod("id", F.lit(4)))
+
+
 def gram_upper(spark, sf_dir):
-    return stats.gram_table(views(spark, sf_dir), "joint").select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+    return _cells(spark, {0: stats.statistics(_with_targets(spark, sf_dir), "joint", "q")}).drop("client")
 
 
 def gram_weighted(spark, sf_dir):
     t = trusted(spark, sf_dir).select("id", F.lit(True).alias("t"))
-    rows = views(spark, sf_dir).join(t, "id", "left").withColumn("w", exprs.row_weight(F.coalesce("t", F.lit(False)), 10.0))
-    return stats.gram_table(rows, "joint", "w").select("i", "j", (F.round("v", 6) + 0.0).alias("v"))
+    rows = _with_targets(spark, sf_dir).join(t, "id", "left").withColumn("w", exprs.row_weight(F.coalesce("t", F.lit(False)), 10.0))
+    return _cells(spark, {0: stats.statistics(rows, "joint", "q", "w")}).drop("client")
 
 
 def client_gram(spark, sf_dir):
-    rows = views(spark, sf_dir).withColumn("client", F.pmod("id", F.lit(4)))
-    return stats.gram_table(rows, "view_b", None, "client").select("client", "i", "j", (F.round("v", 6) + 0.0).alias("v"))
+    return _cells(spark, stats.client_statistics(_with_targets(spark, sf_dir), "view_b", "q", None, "client"))
 
 
 def client_gram_sum(spark, sf_dir):
-    rows = views(spark, sf_dir).withColumn("client", F.pmod("id", F.lit(4)))
-    return stats.gram_table(rows, "view_b", None, "client").groupBy("i", "j").agg((F.round(F.sum("v"), 6) + 0.0).alias("v"))
+    """The clients' sums added up, packed and unpacked on the way."""
+    parts = stats.client_statistics(_with_targets(spark, sf_dir), "view_b", "q", None, "client", rows=40)
+    total = sum((stats.RidgeStatistics.unpack(p.packed(), 32, p.n) for _, p in sorted(parts.items())), start=stats.RidgeStatistics(np.zeros((32, 32)), np.zeros((32, 10)), 0))
+    return _cells(spark, {0: total}).drop("client")
 
 
 def rhs_targets(spark, sf_dir):
-    rows = views(spark, sf_dir).select(F.posexplode("joint").alias("i", "x"), "label")
-    return rows.groupBy("i", F.col("label").alias("c")).agg((F.round(F.sum("x"), 6) + 0.0).alias("v"))
+    return _cells(spark, {0: stats.statistics(_with_targets(spark, sf_dir), "joint", "q")}, True).select("i", F.col("j").alias("c"), "v")
 
 
 def lineitem_gram(spark, sf_dir):
-    """One pass of batch products over lineitem: 4 x 4 sums and a right-hand side by return flag."""
+    """Batch products over lineitem: 4 x 4 sums and a right-hand side by return flag. All values are whole numbers (cents and
+    hundredths), so every engine and machine gives the same sums."""
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     flags = F.array(*[F.when(F.col("l_returnflag") == x, 1.0).otherwise(0.0) for x in "ANR"])
-    phi = F.array("l_quantity", F.col("l_extendedprice") / 100000, "l_discount", "l_tax")
-    rows = rows.select(F.col("l_orderkey").alias("id"), phi.alias("phi"), flags.alias("q"))
+    whole = lambda c, by: F.round(F.col(c) * by)
+    phi = F.array(whole("l_quantity", 1), F.floor(F.col("l_extendedprice") / 100).cast("double"), whole("l_discount", 100), whole("l_tax", 100))
+    rows = rows.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey").alias("id"), phi.alias("phi"), flags.alias("q"))
     s = stats.statistics(rows, "phi", "q")
     m = np.concatenate([s.a, s.b], 1)
-    return spark.createDataFrame([(i, j, round(float(m[i, j]), 3)) for i in range(4) for j in range(7)], "i int, j int, v double")
+    return spark.createDataFrame([(i, j, float(m[i, j])) for i in range(4) for j in range(7)], "i int, j int, v double")
 
 
 def documents_labels(spark, sf_dir):
@@ -137,23 +206,120 @@ def apportion(spark, sf_dir):
     return sampling.apportion(shares).select("label", "client", "count")
 
 
+def _shares(spark):
+    return spark.createDataFrame([(c, k, (k + 1) / 10) for c in range(10) for k in range(4)], "label int, client int, p double")
+
+
 def client_counts(spark, sf_dir):
-    labels = views(spark, sf_dir).select("id", "label")
-    p = spark.createDataFrame([(c, k, (k + 1) / 10) for c in range(10) for k in range(4)], "label int, client int, p double")
-    return sampling.owners(labels, p, SEED).groupBy("client", "label").agg(F.count(F.lit(1)).alias("n"))
+    return client_owners(spark, sf_dir).groupBy("client", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def client_owners(spark, sf_dir):
+    return sampling.owners(views(spark, sf_dir).select("id", "label"), _shares(spark), SEED)
+
+
+def cumulative_cuts(spark, sf_dir):
+    return sampling.owners(views(spark, sf_dir).select("id", "label"), _shares(spark), SEED, exact=False)
+
+
+def largest_clients(spark, sf_dir):
+    return sampling.largest_clients(cumulative_cuts(spark, sf_dir), 2)
+
+
+def _scored(spark, sf_dir, clients: int):
+    return views(spark, sf_dir).select(F.pmod("id", F.lit(clients)).alias("client"), exprs.argmax(F.slice("e", 1, 10)).alias("prediction"), "label")
+
+
+def client_accuracy(spark, sf_dir):
+    return experiments.client_accuracy(_scored(spark, sf_dir, 7)).withColumn("accuracy", F.round("accuracy", 6))
 
 
 def worst_client(spark, sf_dir):
-    rows = views(spark, sf_dir).select((F.pmod("id", F.lit(7))).alias("client"), exprs.argmax(F.slice("e", 1, 10)).alias("prediction"), "label")
-    by = rows.groupBy("client").agg(exprs.accuracy(F.col("prediction"), F.col("label")).alias("a"))
-    return by.agg(F.round(F.min("a"), 6).alias("worst"), F.round(F.var_samp("a"), 6).alias("variance"), F.count(F.lit(1)).alias("clients"))
+    by = experiments.client_accuracy(_scored(spark, sf_dir, 7))
+    return by.agg(F.round(F.min("accuracy"), 6).alias("worst"), F.round(F.var_samp("accuracy"), 6).alias("variance"), F.count(F.lit(1)).alias("clients"))
 
 
 def participation(spark, sf_dir):
-    rows = views(spark, sf_dir).select(F.pmod("id", F.lit(10)).alias("client"), exprs.argmax(F.slice("e", 1, 10)).alias("prediction"), "label")
-    by = rows.groupBy("client").agg(exprs.accuracy(F.col("prediction"), F.col("label")).alias("accuracy"))
-    rates = by.withColumn("rate", F.explode(F.array(F.lit(5), F.lit(8), F.lit(10)))).filter("client < rate")
-    return rates.groupBy("rate").agg(F.round(F.avg("accuracy"), 6).alias("mean_accuracy"), F.round(F.min("accuracy"), 6).alias("min_accuracy"))
+    """Mean accuracy of the clients that take part in each of three repeats, summed up by rate."""
+    by = experiments.client_accuracy(_scored(spark, sf_dir, 10))
+    results = None
+    for rate in (0.5, 0.8, 1.0):
+        for repeat in range(3):
+            one = by.join(sampling.active_clients(by.select("client"), rate, repeat, SEED), "client").agg(F.avg("accuracy").alias("accuracy")).withColumn("rate", F.lit(rate))
+            results = one if results is None else results.unionByName(one)
+    return experiments.participation_summary(results).select("rate", F.round("mean_accuracy", 6).alias("mean_accuracy"), F.round("min_accuracy", 6).alias("min_accuracy"))
+
+
+def agreement(spark, sf_dir):
+    pick = lambda a: views(spark, sf_dir).select("id", exprs.argmax(F.slice("e", a, 10)).alias("prediction"))
+    return experiments.agreement(pick(1), pick(11)).select(F.round("agreement", 6).alias("agreement"))
+
+
+def _class_means(spark, sf_dir):
+    rows = views(spark, sf_dir).groupBy("label").agg(F.avg(F.get("e", F.lit(0))).alias("left"), F.avg(F.get("e", F.lit(1))).alias("right"))
+    return rows.select(F.pmod("label", F.lit(2)).alias("per_class"), F.col("label").alias("seed"), "left", "right")
+
+
+def result_mismatches(spark, sf_dir):
+    a = _class_means(spark, sf_dir)
+    b = a.withColumn("left", F.when(F.col("seed") < 3, F.col("left") + 1).otherwise(F.col("left") + 1e-12))
+    return experiments.mismatches(a, b, ["per_class", "seed"], "left").select("per_class", "seed", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
+
+
+def paired_summary(spark, sf_dir):
+    s = experiments.summary(_class_means(spark, sf_dir), "left", "right")
+    return s.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes))
+
+
+def centroid_update(spark, sf_dir):
+    """One round of the clustering, from the first eight rows."""
+    x = collected(views(spark, sf_dir).orderBy("id"), "joint")[0]
+    c = features.lloyd(x, x[:8], 1)
+    return spark.createDataFrame([(k, i, round(float(c[k, i]), 6) + 0.0) for k, i in np.ndindex(c.shape)], "centroid int, i int, x double")
+
+
+def image_layout(spark, sf_dir):
+    """Bytes by row, column and channel as values by channel, row and column, summed up with their places."""
+    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"))
+    raw = ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(3071)), lambda p: F.pmod(F.col("id") * 31 + p * p * 7 + p * 13, F.lit(256)).cast("int")).alias("pixels"))
+    made = features.from_rows(features.from_bytes(raw))
+    return made.select("id", F.round(exprs.total(F.transform("pixels", lambda x, i: x * i)), 4).alias("s"))
+
+
+def _folder(spark, name: str) -> str:
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='trustweave-')}"
+    return f"{at}/{name}-{uuid.uuid4().hex}"
+
+
+def image_records(spark, sf_dir):
+    """Six files of four records of a formula, written and read as values and as labels only."""
+    at = _folder(spark, "images")
+    jvm = spark.sparkContext._jvm
+    for f, name in enumerate([*images.TRAIN, *images.TEST]):
+        path = jvm.org.apache.hadoop.fs.Path(f"{at}/{name}")
+        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+        record = lambda r: bytes([(f + r) % 10, *((f * 37 + r * 11 + k * k) % 256 for k in range(3072))])  # noqa: B023, E731
+        out.write(bytearray(b"".join(map(record, range(4)))))
+        out.close()
+    rows = images.read_folder(spark, at).select("id", "split", "file", "record", F.round(exprs.total(F.transform("pixels", lambda x: x.cast("double"))), 3).alias("s"))
+    return rows.join(images.read_labels(spark, at).select("id", "label"), "id").drop("id")
+
+
+def csv_round_trip(spark, sf_dir):
+    at = _folder(spark, "csv")
+    images.write_csv(spark.read.parquet(f"{sf_dir}/labels.parquet"), at)
+    return images.read_csv(spark, at, "doc_id long, quality int, toxic int")
+
+
+def cached_features(spark, sf_dir):
+    """Block means written on the first call and read on the second, which must not make them again."""
+    at = _folder(spark, "cache")
+
+    def again():
+        raise RuntimeError("made twice")
+
+    images.cached(spark, at, lambda: block_mean(spark, sf_dir))
+    return images.cached(spark, at, again)
 
 
 def _pixels(spark, sf_dir):
@@ -177,66 +343,123 @@ def color_stats(spark, sf_dir):
 
 
 def grad_hist(spark, sf_dir):
-    return features.fit_color(_pixels(spark, sf_dir)).transform(_pixels(spark, sf_dir)).select("id", F.round(exprs.total(F.col("view_a")), 4).alias("s"))
+    return features.fit_color(_pixels(spark, sf_dir)).transform(_pixels(spark, sf_dir)).select("id", F.round(exprs.total(F.col("view_a")), 3).alias("s"))
 
 
-def _config(**more):
-    return Config(student=LandmarkConfig(landmark_count=64), **more)
+LANDMARK = Config(student="landmark", landmarks=64)
+
+
+def _classes(df: DataFrame, v: str, *more: str) -> DataFrame:
+    """A row for each class of vector v."""
+    return df.select("id", *more, F.posexplode(v).alias("c", v)).withColumn(v, F.round(v, 6) + 0.0)
+
+
+def _features(spark, sf_dir):
+    return views(spark, sf_dir).select("id", "view_a", "view_b", "joint")
 
 
 def teacher_scores(spark, sf_dir):
-    v = views(spark, sf_dir)
-    teacher = fit_teacher(v, trusted(spark, sf_dir), 10, blend=Config().kmeans_teacher)
-    return teacher.scores(v.select("id", "view_a", "view_b", "joint")).select("id", F.transform("raw", lambda x: F.round(x, 6)).alias("raw"))
+    v = _features(spark, sf_dir)
+    return _classes(fit_teacher(v, trusted(spark, sf_dir)).scores(v), "raw")
+
+
+def teacher_scores_two_views(spark, sf_dir):
+    v = _features(spark, sf_dir)
+    return _classes(fit_teacher(v, trusted(spark, sf_dir), LANDMARK).scores(v), "raw")
+
+
+def teacher_probabilities(spark, sf_dir):
+    v = _features(spark, sf_dir)
+    return _classes(pipeline.fit(v, trusted(spark, sf_dir)).teacher_probabilities(v), "p")
 
 
 def targets(spark, sf_dir):
-    v, t = views(spark, sf_dir), trusted(spark, sf_dir)
-    teacher = fit_teacher(v, t, 10, blend=Config().kmeans_teacher)
-    return build_targets(teacher.probabilities(v.select("id", "view_a", "view_b", "joint")), t, 10).select("id", "is_trusted", F.transform("q", lambda x: F.round(x, 6)).alias("q"))
+    v, t = _features(spark, sf_dir), trusted(spark, sf_dir)
+    return _classes(build_targets(fit_teacher(v, t).probabilities(v), t, 10), "q", "is_trusted")
+
+
+def _weights(spark, w):
+    return spark.createDataFrame([(i, c, round(float(w[i, c]), 6) + 0.0) for i, c in np.ndindex(w.shape)], "i int, c int, w double")
 
 
 def student_weights(spark, sf_dir):
-    v = views(spark, sf_dir).withColumn("q", exprs.one_hot(F.col("label"), 10)).select("id", "joint", "q")
-    w = fit_linear(v, trusted=trusted(spark, sf_dir)).weights
-    return spark.createDataFrame([(i, j, round(float(w[i, j]), 6)) for i in range(w.shape[0]) for j in range(w.shape[1])], "i int, c int, w double")
+    return _weights(spark, fit_linear(_with_targets(spark, sf_dir), trusted=trusted(spark, sf_dir)).weights)
+
+
+def central_weights(spark, sf_dir):
+    return _weights(spark, stats.central_ridge(_with_targets(spark, sf_dir), "joint", "q", 1.0))
+
+
+def landmark_features(spark, sf_dir):
+    marks = sampling.landmarks(views(spark, sf_dir), 64, LANDMARK.landmark_seed)
+    rows = kernels.landmark_map(_features(spark, sf_dir), collected(marks, "joint")[0], LANDMARK.landmark_gamma)
+    return _places(rows, "phi")
+
+
+def landmark_weights(spark, sf_dir):
+    return _weights(spark, fit_landmark(_with_targets(spark, sf_dir), LANDMARK).weights)
 
 
 def predictions(spark, sf_dir):
-    v = views(spark, sf_dir).select("id", "view_a", "view_b", "joint")
+    v = _features(spark, sf_dir)
     return pipeline.fit(v, trusted(spark, sf_dir)).predict(v).select("id", "prediction")
 
 
 def predictions_landmark(spark, sf_dir):
-    v = views(spark, sf_dir).select("id", "view_a", "view_b", "joint")
-    return pipeline.fit(v, trusted(spark, sf_dir), _config(architecture="landmark")).predict(v).select("id", "prediction")
+    v = _features(spark, sf_dir)
+    return pipeline.fit(v, trusted(spark, sf_dir), LANDMARK).predict(v).select("id", "prediction")
+
+
+def stored_model(spark, sf_dir):
+    """Scores of a model that was saved and loaded by its fingerprint."""
+    v, at = _features(spark, sf_dir), _folder(spark, "model")
+    mark = model_store.save(spark, pipeline.fit(v, trusted(spark, sf_dir)), at)
+    return _classes(model_store.load(spark, at, mark).scores(v), "scores")
+
+
+def monitoring(spark, sf_dir):
+    v, t = _features(spark, sf_dir), trusted(spark, sf_dir)
+    clients = spark.range(10).select(F.col("id").alias("client"), (F.col("id") < 8).alias("active"))
+    m = experiments.monitoring(v, pipeline.fit(v, t), t, views(spark, sf_dir).select("id", "label"), clients)
+    names = ["class_coverage", "disagreement", "worst_class", "worst_accuracy", "participation"]
+    return spark.createDataFrame([tuple(round(m[n], 6) if isinstance(m[n], float) else m[n] for n in names)], "class_coverage double, disagreement double, worst_class int, worst_accuracy double, participation double")
 
 
 def mutation_audit(spark, sf_dir):
-    v, t = views(spark, sf_dir), trusted(spark, sf_dir)
-    labels = v.select("id", F.col("label").cast("string").alias("label"))
-    other = labels.join(t.select("id", F.lit(True).alias("t")), "id", "left").select("id", exprs.sentinel(F.col("label"), F.col("t").isNotNull()).alias("label"))
+    """Two fits whose untrusted labels differ, with how many of these do."""
+    v, t = _features(spark, sf_dir), trusted(spark, sf_dir)
+    labels = _known(spark, sf_dir).select("id", F.col("label").cast("string").alias("label"))
+    other = sentinel_labels(spark, sf_dir)
     r = audit.mutation_audit(v, t, labels, other, Config())
-    return spark.createDataFrame([(r.target_max_diff, r.student_weight_max_diff, r.passed)], "target_max_diff double, weight_max_diff double, passed boolean")
+    mutated = labels.join(other.select("id", F.col("label").alias("o")), "id").filter("label <> o").count()
+    return spark.createDataFrame([(mutated, r.target_max_diff, r.student_weight_max_diff, r.target_hash_a == r.target_hash_b and r.weight_hash_a == r.weight_hash_b, r.passed)], "mutated long, target_max_diff double, weight_max_diff double, same_digests boolean, passed boolean")
 
 
 def federated_audit(spark, sf_dir):
-    v = views(spark, sf_dir).select("id", F.col("joint").alias("phi"), exprs.one_hot(F.col("label"), 10).alias("q"), F.pmod("id", F.lit(7)).alias("client"))
-    d = audit.federated_audit(v, 1.0)
-    return spark.createDataFrame([(round(d, 6), d < 1e-10)], "max_weight_diff double, passed boolean")
+    """Weights out of the sums of seven clients, and out of all rows at once."""
+    rows = _with_targets(spark, sf_dir).withColumn("client", F.pmod("id", F.lit(7)))
+    parts = stats.client_statistics(rows, "joint", "q", None, "client")
+    federated, central = stats.combine([parts[k] for k in sorted(parts)], 1.0), stats.central_ridge(rows, "joint", "q", 1.0)
+    d = audit.federated_audit(rows, 1.0, "joint")
+    both = _weights(spark, federated).withColumnRenamed("w", "federated").join(_weights(spark, central).withColumnRenamed("w", "central"), ["i", "c"])
+    return both.withColumn("max_weight_diff", F.lit(round(d, 9)))
 
 
 def client_sizes(spark, sf_dir):
-    """Events by user as a client's rows: smallest, largest, clients, and those that hold no purchase."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
-    by = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("event_type") == "purchase").cast("long")).alias("k"))
-    return by.agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("clients"), F.sum((F.col("k") == 0).cast("long")).alias("without"))
+    """Customers as clients, orders as their rows: smallest, largest, clients, and those without a row."""
+    clients = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("client"))
+    owned = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("client"))
+    by = experiments.client_sizes(owned, clients)
+    return by.agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("clients"), F.sum((F.col("n") == 0).cast("long")).alias("without"))
 
 
 _NAMES = [
-    row_normalize, joint_concat, softmax_t, onehot, argmax_first, entropy, standardize_pop, landmark_sample, rbf_landmarks, nearest_centroid, first_m_per_class, untrusted_anti,
-    gram_upper, gram_weighted, client_gram, client_gram_sum, rhs_targets, lineitem_gram, documents_labels, apportion, client_counts, worst_client, participation, block_mean, color_stats,
-    grad_hist, teacher_scores, targets, student_weights, predictions, predictions_landmark, mutation_audit, federated_audit, client_sizes,
+    row_normalize, joint_concat, softmax_t, onehot, argmax_first, entropy, standardize_pop, blend_views, sqrt_places, patch_norm, flipped_labels, sentinel_labels, payload, label_bincount,
+    gather_trusted, loose_sample, equal_split, landmark_sample, rbf_landmarks, nearest_centroid, first_m_per_class, untrusted_anti, gram_upper, gram_weighted, client_gram, client_gram_sum,
+    rhs_targets, lineitem_gram, documents_labels, apportion, client_counts, client_owners, cumulative_cuts, largest_clients, client_accuracy, worst_client, participation, agreement,
+    result_mismatches, paired_summary, centroid_update, block_mean, color_stats, image_layout, image_records, csv_round_trip, cached_features, grad_hist, teacher_scores,
+    teacher_scores_two_views, teacher_probabilities, targets, student_weights, central_weights, landmark_features, landmark_weights, predictions, predictions_landmark, stored_model,
+    monitoring, mutation_audit, federated_audit, client_sizes,
 ]
 
 
@@ -265,6 +488,78 @@ def _gram(v, client="", weight="1.0", source="v"):
 g AS (SELECT {'a.client, ' if client else ''}a.i AS i, b.i AS j, sum(a.w * a.x * b.x) AS v FROM p a JOIN p b ON a.id = b.id AND a.i <= b.i GROUP BY {k and 'a.client, '}a.i, b.i)"""
 
 
+def _distance(x, y):
+    return f"list_sum(list_transform(list_zip({x}, {y}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def _solved(name, rows):
+    """CTEs that solve a system of positive definite rows (i, row with its right-hand sides behind) by elimination."""
+    return f"""{name}_g(k, m) AS (SELECT 0, (SELECT list(row ORDER BY i) FROM {rows}) UNION ALL
+  SELECT k + 1, list_transform(m, lambda r, p: CASE WHEN p = k + 1 THEN list_transform(r, lambda x: x / r[k + 1])
+    ELSE list_transform(list_zip(r, m[k + 1]), lambda z: z[1] - r[k + 1] / m[k + 1][k + 1] * z[2]) END) FROM {name}_g WHERE k < len(m)),
+{name} AS (SELECT unnest(range(1, len(m) + 1)) AS i, unnest(list_transform(m, lambda r: r[len(m) + 1:])) AS x FROM {name}_g WHERE k = len(m))"""
+
+
+def _teacher(n="", known="t", blend=True):
+    """CTEs of a teacher fitted on table known (id, label): raw scores s{n}, probabilities p{n}, targets q{n} (id, c, ...)."""
+    parts = [f"tr{n} AS (SELECT row_number() OVER (ORDER BY id) AS i, {known}.label AS y, view_a, view_b, joint FROM {known} JOIN v USING (id))"]
+    for view, gamma in (("view_a", 4.0), ("view_b", 0.25), ("joint", 0.5))[: 3 if blend else 2]:
+        k = f"{view}{n}"
+        parts.append(f"k_{k} AS (SELECT a.i AS i, a.y AS y, b.i AS j, exp(-{gamma}::DOUBLE * {_distance(f'a.{view}', f'b.{view}')}) + CASE WHEN a.i = b.i THEN 0.1::DOUBLE ELSE 0 END AS k FROM tr{n} a, tr{n} b)")
+        parts.append(f"r_{k} AS (SELECT i, list_concat(list(k ORDER BY j), list_transform(range(10), lambda c: CASE WHEN c = any_value(y) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)) AS row FROM k_{k} GROUP BY i)")
+        parts.append(_solved(f"a_{k}", f"r_{k}"))
+        parts.append(f"e_{k} AS (SELECT v.id, exp(-{gamma}::DOUBLE * {_distance(f'v.{view}', f'tr.{view}')}) AS k, a.x AS x FROM v, tr{n} tr JOIN a_{k} a USING (i))")
+        parts.append(f"s_{k} AS (SELECT id, c, sum(k * x[c + 1]) AS s FROM e_{k}, (SELECT unnest(range(10)) AS c) GROUP BY id, c)")
+    two = "0.75::DOUBLE * a.s + 0.25::DOUBLE * b.s"
+    joint = f" JOIN s_joint{n} j USING (id, c)" if blend else ""
+    parts.append(f"s{n} AS (SELECT id, c, {f'0.5::DOUBLE * j.s + 0.5::DOUBLE * ({two})' if blend else two} AS raw FROM s_view_a{n} a JOIN s_view_b{n} b USING (id, c){joint})")
+    parts.append(f"x{n} AS (SELECT id, c, exp((raw - max(raw) OVER (PARTITION BY id)) / {0.05 if blend else 0.1}::DOUBLE) AS x FROM s{n})")
+    parts.append(f"p{n} AS (SELECT id, c, x / sum(x) OVER (PARTITION BY id) AS p FROM x{n})")
+    parts.append(f"q{n} AS (SELECT p.id, c, k.id IS NOT NULL AS is_trusted, CASE WHEN k.id IS NULL THEN p ELSE CASE WHEN k.label = c THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS q FROM p{n} p LEFT JOIN {known} k ON k.id = p.id)")
+    return ", ".join(parts)
+
+
+_HOT = "h AS (SELECT id, c, CASE WHEN c = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS q FROM e, (SELECT unnest(range(10)) AS c))"
+_MAP = f"""lm AS (SELECT joint AS a, id FROM v ORDER BY md5('29002:' || id), id LIMIT 64),
+lk AS (SELECT v.id, list(exp(-0.5::DOUBLE * {_distance('v.joint', 'lm.a')}) ORDER BY lm.id) AS k FROM v, lm GROUP BY v.id),
+f AS (SELECT v.id, list_transform(list_concat(joint, k), lambda x: x / sqrt(2.0::DOUBLE)) AS joint FROM v JOIN lk USING (id))"""
+
+
+def _student(n="", q="q", rows="v", ridge=0.03, weight="CASE WHEN id IN (SELECT id FROM t) THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END", by=""):
+    """CTEs of the weights w{n} (i, x) and predictions y{n} of a ridge regression of table q (id, c, q); by: sums of groups of
+    rows first."""
+    group = f"{by}, " if by else ""
+    k = f"{by} AS g, " if by else ""
+    cells = f"SELECT {k}a.i AS i, b.i AS j, sum(a.w * a.x * b.x) AS v FROM d{n} a JOIN d{n} b USING (id) GROUP BY {group}a.i, b.i"
+    right = f"SELECT {k}i, c, sum(w * x * q) AS v FROM d{n} JOIN {q} USING (id) GROUP BY {group}i, c"
+    return f"""d{n} AS (SELECT id, {weight} AS w, unnest(joint) AS x, generate_subscripts(joint, 1) AS i FROM {rows}),
+ga{n} AS (SELECT i, j, sum(v) AS v FROM ({cells}) GROUP BY i, j), gb{n} AS (SELECT i, c, sum(v) AS v FROM ({right}) GROUP BY i, c),
+gr{n} AS (SELECT i, list(v + CASE WHEN i = j THEN {ridge}::DOUBLE ELSE 0 END ORDER BY j) AS a FROM ga{n} GROUP BY i), gs{n} AS (SELECT i, list(v ORDER BY c) AS b FROM gb{n} GROUP BY i),
+gt{n} AS (SELECT i, list_concat(a, b) AS row FROM gr{n} JOIN gs{n} USING (i)), {_solved(f"sw{n}", f"gt{n}")},
+z{n} AS (SELECT id, c, sum(d.x * w.x[c + 1]) AS s FROM d{n} d JOIN sw{n} w USING (i), (SELECT unnest(range(10)) AS c) GROUP BY id, c),
+y{n} AS (SELECT id, CAST(c AS INT) AS prediction FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY s DESC, c) AS rk FROM z{n}) WHERE rk = 1)"""
+
+
+def _by_class(table, v, more=""):
+    return f"SELECT id, {more}CAST(c AS INT) AS c, round({v}, 6) + 0.0 AS {v} FROM {table}"
+
+
+def _each_weight(n="", name="w"):
+    return f"SELECT CAST(i - 1 AS INT) AS i, CAST(c AS INT) AS c, round(x[c + 1], 6) + 0.0 AS {name} FROM sw{n}, (SELECT unnest(range(10)) AS c)"
+
+
+_GREY = """p AS (SELECT vec_id AS id, unnest(range(1024)) AS k FROM embeddings),
+g AS (SELECT id, k // 32 AS r, k % 32 AS c, CAST(0.299 AS FLOAT) * CAST(((id * 31 + k * k * 7 + k * 13) % 256) / 255.0::DOUBLE AS FLOAT)
+  + CAST(0.587 AS FLOAT) * CAST(((id * 31 + (k + 1024) * (k + 1024) * 7 + (k + 1024) * 13) % 256) / 255.0::DOUBLE AS FLOAT)
+  + CAST(0.114 AS FLOAT) * CAST(((id * 31 + (k + 2048) * (k + 2048) * 7 + (k + 2048) * 13) % 256) / 255.0::DOUBLE AS FLOAT) AS x FROM p),
+n AS (SELECT id, r, c, lead(x) OVER (PARTITION BY id, r ORDER BY c) - lag(x) OVER (PARTITION BY id, r ORDER BY c) AS dx,
+  lead(x) OVER (PARTITION BY id, c ORDER BY r) - lag(x) OVER (PARTITION BY id, c ORDER BY r) AS dy FROM g),
+d AS (SELECT id, (r - 1) // 4 AS r, (c - 1) // 4 AS c, sqrt(CAST(dx * dx + dy * dy AS DOUBLE)) AS s, CAST(atan2(CAST(dy AS DOUBLE), CAST(dx AS DOUBLE)) AS FLOAT) AS a
+  FROM n WHERE r BETWEEN 1 AND 30 AND c BETWEEN 1 AND 30),
+b AS (SELECT id, r, c, s, least(CAST(floor((CASE WHEN a < 0 THEN a + pi() ELSE a END) * (9 / pi())) AS INT), 8) AS bin FROM d),
+h AS (SELECT id, r, c, bin, sqrt(sum(s)) AS h FROM b GROUP BY id, r, c, bin)"""
+
+
 _ARGMAX = "list_position(e[1:10], list_max(e[1:10])) - 1"
 _PIX = "p AS (SELECT vec_id AS id, unnest(range(3072)) AS k FROM embeddings), q AS (SELECT id, k // 1024 * 16 + (k % 1024 // 32) // 8 * 4 + (k % 32) // 8 AS i, ((id * 31 + k * k * 7 + k * 13) % 256) / 255.0::DOUBLE AS x FROM p), b AS (SELECT id, i, avg(x) AS x FROM q GROUP BY id, i)"
 
@@ -272,6 +567,9 @@ _PIX = "p AS (SELECT vec_id AS id, unnest(range(3072)) AS k FROM embeddings), q
 def oracle_sql():
     own = "list_position(list_transform(e, lambda x: round(x, 1)), list_max(list_transform(e, lambda x: round(x, 1)))) - 1"
     deal = f"WITH {_E}, s AS (SELECT label, count(*) AS n FROM e GROUP BY label), c AS (SELECT label, n, client, n * ((client + 1) / 10.0::DOUBLE) AS raw FROM s, (SELECT unnest(range(4)) AS client)), f AS (SELECT *, CAST(floor(raw) AS BIGINT) AS whole FROM c), r AS (SELECT *, n - sum(whole) OVER (PARTITION BY label) AS rest, row_number() OVER (PARTITION BY label ORDER BY raw - whole DESC, client) AS rk FROM f), d AS (SELECT label, CAST(client AS INT) AS client, CAST(whole + CASE WHEN rk <= rest THEN 1 ELSE 0 END AS BIGINT) AS count FROM r) "
+    owned = ", s2 AS (SELECT label, client, count, coalesce(sum(count) OVER (PARTITION BY label ORDER BY client ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo FROM d), k AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || id), id) - 1 AS rk FROM e), o AS (SELECT id, k.label, client FROM k JOIN s2 ON s2.label = k.label AND rk >= lo AND rk < lo + count) "
+    cuts = f"WITH {_E}, s AS (SELECT label, count(*) AS n FROM e GROUP BY label), c AS (SELECT label, n, CAST(client AS INT) AS client, sum((client + 1) / 10.0::DOUBLE) OVER (PARTITION BY label ORDER BY client) AS p FROM s, (SELECT unnest(range(4)) AS client)), h AS (SELECT *, CASE WHEN client = 3 THEN n ELSE CAST(floor(p * n) AS BIGINT) END AS hi FROM c), s2 AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY label ORDER BY client), 0) AS lo FROM h), k AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('7:' || id), id) - 1 AS rk FROM e), o AS (SELECT id, k.label, client FROM k JOIN s2 ON s2.label = k.label AND rk >= lo AND rk < hi) "
+    means = f"WITH {_E}, cm AS (SELECT label % 2 AS per_class, label AS seed, avg(e[1]) AS l, avg(e[2]) AS r FROM e GROUP BY label)"
     return {
         "row_normalize": _each("view_a"),
         "joint_concat": _each("joint"),
@@ -280,6 +578,16 @@ def oracle_sql():
         "argmax_first": f"WITH {_E} SELECT id, CAST({own} AS INT) AS place FROM e",
         "entropy": f"WITH {_E} SELECT id, round(-list_sum(list_transform(list_filter(list_transform(e, lambda x: x * x), lambda y: y > 0), lambda z: z * ln(z))) / ln(64), 6) AS h FROM e",
         "standardize_pop": f"WITH {_E}, x AS (SELECT id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS i FROM e), a AS (SELECT i, avg(x) AS m, stddev_pop(x) AS s FROM x GROUP BY i) SELECT id, CAST(i AS INT) AS i, round((x - m) / (s + 0.01::DOUBLE), 6) + 0.0 AS x FROM x JOIN a USING (i)",
+        "blend_views": _each("list_transform(list_zip(view_a, view_b), lambda z: 0.75::DOUBLE * z[1] + 0.25::DOUBLE * z[2])"),
+        "sqrt_places": _each("list_transform(e, lambda x: sqrt(abs(x)))"),
+        "patch_norm": f"WITH {_E}, c AS (SELECT id, list_transform(e, lambda x: x * 255 - list_avg(e) * 255) AS c FROM e), x AS (SELECT id, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)) / 64 + 10.0::DOUBLE)) AS c FROM c), y AS (SELECT id, unnest(c) AS x, generate_subscripts(c, 1) - 1 AS i FROM x) SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM y",
+        "flipped_labels": f"WITH {_E} SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN label ELSE 9 - label END AS label FROM e",
+        "sentinel_labels": f"WITH {_E} SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN CAST(label AS VARCHAR) ELSE 'NOT-FOR-TRAINING' END AS label FROM e",
+        "payload": "SELECT CAST(w AS INT) AS width, CAST(n AS INT) AS bytes_each, CAST((w * (w + 1) // 2 + w * (SELECT count(DISTINCT label) FROM embeddings)) * n AS BIGINT) AS bytes FROM (SELECT unnest([64, 880, 6400]) AS w), (SELECT unnest([4, 8]) AS n)",
+        "label_bincount": "SELECT CAST(c AS INT) AS label, (SELECT count(*) FROM embeddings WHERE label = c) AS n FROM (SELECT unnest(range(12)) AS c)",
+        "gather_trusted": f"WITH {_E}, x AS (SELECT id, unnest(joint) AS x, generate_subscripts(joint, 1) - 1 AS i FROM v WHERE id IN (SELECT id FROM t)) SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM x",
+        "loose_sample": f"WITH {_E} SELECT id, label FROM e ORDER BY md5('11:' || id), id LIMIT 32",
+        "equal_split": f"WITH {_E} SELECT id, CAST(ntile(7) OVER (ORDER BY md5('7:' || id), id) - 1 AS INT) AS client FROM e",
         "landmark_sample": f"WITH {_E} SELECT id FROM m",
         "rbf_landmarks": f"WITH {_E}, d AS (SELECT v.id, m.id AS anchor, {_D2} AS d2 FROM v, m) SELECT id, anchor, round(d2, 6) AS d2, round(exp(-0.5 * d2), 6) AS k FROM d",
         "nearest_centroid": f"WITH {_E}, d AS (SELECT v.id, m.id AS anchor, {_D2} AS d2 FROM v, m) SELECT id, centroid, round(d2, 6) AS d2 FROM (SELECT id, anchor AS centroid, d2, row_number() OVER (PARTITION BY id ORDER BY d2, anchor) AS rk FROM d) WHERE rk = 1",
@@ -291,16 +599,55 @@ def oracle_sql():
         "client_gram": f"WITH {_E}, {_gram('view_b', 'id % 4')} SELECT client, CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(v, 6) + 0.0 AS v FROM g",
         "client_gram_sum": f"WITH {_E}, {_gram('view_b')} SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(v, 6) + 0.0 AS v FROM g",
         "rhs_targets": f"WITH {_E}, x AS (SELECT label, unnest(joint) AS x, generate_subscripts(joint, 1) - 1 AS i FROM v) SELECT CAST(i AS INT) AS i, label AS c, round(sum(x), 6) + 0.0 AS v FROM x GROUP BY i, label",
-        "lineitem_gram": "WITH r AS (SELECT [l_quantity, l_extendedprice / 100000, l_discount, l_tax] AS f, l_returnflag AS g FROM lineitem), x AS (SELECT list_concat(f, [CASE WHEN g = 'A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN g = 'N' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN g = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END]) AS y FROM r) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, round(sum(y[i + 1] * y[j + 1]), 3) AS v FROM x, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(7)) AS j) GROUP BY i, j",
+        "lineitem_gram": "WITH r AS (SELECT [round(l_quantity), floor(l_extendedprice / 100), round(l_discount * 100), round(l_tax * 100)] AS f, l_returnflag AS g FROM lineitem), x AS (SELECT list_concat(f, [CASE WHEN g = 'A' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN g = 'N' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN g = 'R' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END]) AS y FROM r) SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j, sum(y[i + 1] * y[j + 1]) AS v FROM x, (SELECT unnest(range(4)) AS i), (SELECT unnest(range(7)) AS j) GROUP BY i, j",
         "documents_labels": "SELECT source, count(*) AS n, count(quality) AS labelled, CAST(coalesce(sum(quality), 0) AS BIGINT) AS good FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source",
         "apportion": deal + "SELECT label, client, count FROM d",
         "client_counts": deal + "SELECT client, label, count AS n FROM d WHERE count > 0",
+        "client_owners": deal + owned + "SELECT id, label, client FROM o",
+        "cumulative_cuts": cuts + "SELECT id, label, client FROM o",
+        "largest_clients": cuts + "SELECT client, count(*) AS n FROM o GROUP BY client ORDER BY n DESC, client LIMIT 2",
+        "client_accuracy": f"WITH {_E} SELECT id % 7 AS client, count(*) AS n, round(avg(CASE WHEN {_ARGMAX} = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS accuracy FROM e GROUP BY 1",
         "worst_client": f"WITH {_E}, x AS (SELECT id % 7 AS client, avg(CASE WHEN {_ARGMAX} = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS a FROM e GROUP BY 1) SELECT round(min(a), 6) AS worst, round(var_samp(a), 6) AS variance, count(*) AS clients FROM x",
-        "participation": f"WITH {_E}, x AS (SELECT id % 10 AS client, avg(CASE WHEN {_ARGMAX} = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS a FROM e GROUP BY 1) SELECT CAST(rate AS INT) AS rate, round(avg(a), 6) AS mean_accuracy, round(min(a), 6) AS min_accuracy FROM x, (SELECT unnest([5, 8, 10]) AS rate) WHERE client < rate GROUP BY rate",
+        "participation": f"WITH {_E}, x AS (SELECT id % 10 AS client, avg(CASE WHEN {_ARGMAX} = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS a FROM e GROUP BY 1), r AS (SELECT rate, rep, a, row_number() OVER (PARTITION BY rate, rep ORDER BY md5('7:' || rep || ':' || client), client) AS rk, count(*) OVER (PARTITION BY rate, rep) AS n FROM x, (SELECT unnest([0.5::DOUBLE, 0.8::DOUBLE, 1.0::DOUBLE]) AS rate), (SELECT unnest(range(3)) AS rep)), pm AS (SELECT rate, rep, avg(a) AS a FROM r WHERE rk <= greatest(1, round_even(rate * n, 0)) GROUP BY rate, rep) SELECT rate, round(avg(a), 6) AS mean_accuracy, round(min(a), 6) AS min_accuracy FROM pm GROUP BY rate",
+        "agreement": f"WITH {_E} SELECT round(avg(CASE WHEN list_position(e[1:10], list_max(e[1:10])) = list_position(e[11:20], list_max(e[11:20])) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS agreement FROM e",
+        "result_mismatches": f"{means} SELECT per_class, seed, round(l, 6) AS a, round(l + 1, 6) AS b FROM cm WHERE seed < 3",
+        "paired_summary": f"""{means}, d AS (SELECT *, l - r AS d FROM cm), k AS (SELECT per_class, d, rank() OVER (PARTITION BY per_class ORDER BY abs(d)) AS rk FROM d),
+wr AS (SELECT per_class, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS plus, sum(rk) AS every FROM k GROUP BY per_class),
+a AS (SELECT per_class, b, sum(CASE WHEN (b >> CAST(rk - 1 AS INT)) & 1 = 1 THEN rk ELSE 0 END) AS s FROM k, (SELECT CAST(unnest(range(32)) AS INT) AS b) GROUP BY per_class, b),
+sr AS (SELECT per_class, least(1.0::DOUBLE, 2.0::DOUBLE * sum(CASE WHEN s <= least(plus, every - plus) THEN 1 ELSE 0 END) / 32) AS p FROM a JOIN wr USING (per_class) GROUP BY per_class),
+g AS (SELECT per_class, count(*) AS n, avg(l) AS lm, stddev_samp(l) AS ls, avg(r) AS rm, avg(d) AS gain, stddev_samp(d) AS sd, sum(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS wins,
+  sum(CASE WHEN d = 0 THEN 1 ELSE 0 END) AS ties, sum(CASE WHEN d < 0 THEN 1 ELSE 0 END) AS losses, max(l) AS top FROM d GROUP BY per_class),
+x AS (SELECT *, sd / sqrt(5) AS err, atan(gain / (sd / sqrt(5)) / 2) AS th, sqrt(4 * 0.975::DOUBLE * 0.025::DOUBLE) AS ra FROM g),
+y AS (SELECT *, 2 * sqrt(cos(acos(ra) / 3) / ra - 1) AS tq FROM x)
+SELECT per_class, n, round(lm, 6) AS left_mean, round(ls, 6) AS left_std, round(rm, 6) AS right_mean, round(gain, 6) AS gain, round(sd, 6) AS gain_std, round(gain - tq * err, 6) AS gain_low,
+  round(gain + tq * err, 6) AS gain_high, CAST(wins AS BIGINT) AS wins, CAST(ties AS BIGINT) AS ties, CAST(losses AS BIGINT) AS losses, round(top, 6) AS left_max,
+  round(1 - abs(sin(th)) * (1 + cos(th) * cos(th) / 2), 6) AS p_value, round(p, 6) AS signed_rank_p FROM y JOIN sr USING (per_class)""",
+        "centroid_update": f"WITH {_E}, c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, joint AS a FROM (SELECT id, joint FROM v ORDER BY id LIMIT 8)), d AS (SELECT v.id, k, joint, row_number() OVER (PARTITION BY v.id ORDER BY {_distance('joint', 'a')}, k) AS rk FROM v, c), x AS (SELECT k, unnest(joint) AS x, generate_subscripts(joint, 1) - 1 AS i FROM d WHERE rk = 1) SELECT CAST(k AS INT) AS centroid, CAST(i AS INT) AS i, round(avg(x), 6) + 0.0 AS x FROM x GROUP BY k, i",
+        "image_layout": "WITH p AS (SELECT vec_id AS id, unnest(range(3072)) AS i FROM embeddings), q AS (SELECT id, i, i % 1024 * 3 + i // 1024 AS k FROM p) SELECT id, round(sum(((id * 31 + k * k * 7 + k * 13) % 256) / 255.0::DOUBLE * i), 4) AS s FROM q GROUP BY id",
+        "image_records": "WITH f AS (SELECT unnest(range(6)) AS f), r AS (SELECT unnest(range(4)) AS r), k AS (SELECT unnest(range(3072)) AS k) SELECT CASE WHEN f < 5 THEN 'train' ELSE 'test' END AS split, CAST(f AS INT) AS file, r AS record, round(sum(CAST(CAST(((f * 37 + r * 11 + k * k) % 256) AS FLOAT) / CAST(255 AS FLOAT) AS DOUBLE)), 3) AS s, CAST((f + r) % 10 AS INT) AS label FROM f, r, k GROUP BY f, r",
+        "csv_round_trip": "SELECT doc_id, quality, toxic FROM labels",
+        "cached_features": f"WITH {_PIX} SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM b",
+        "grad_hist": f"WITH {_GREY}, u AS (SELECT id, greatest(sqrt(sum(h * h)), 1e-12) AS n, sum(h) AS s FROM h GROUP BY id) SELECT id, round(s / n, 3) AS s FROM u",
+        "teacher_scores": f"WITH RECURSIVE {_E}, {_teacher()} {_by_class('s', 'raw')}",
+        "teacher_scores_two_views": f"WITH RECURSIVE {_E}, {_teacher(blend=False)} {_by_class('s', 'raw')}",
+        "teacher_probabilities": f"WITH RECURSIVE {_E}, {_teacher()} {_by_class('p', 'p')}",
+        "targets": f"WITH RECURSIVE {_E}, {_teacher()} {_by_class('q', 'q', 'is_trusted, ')}",
+        "student_weights": f"WITH RECURSIVE {_E}, {_HOT}, {_student(q='h')} {_each_weight()}",
+        "central_weights": f"WITH RECURSIVE {_E}, {_HOT}, {_student(q='h', ridge=1.0, weight='1.0::DOUBLE')} {_each_weight()}",
+        "landmark_features": f"WITH {_E}, {_MAP}, x AS (SELECT id, unnest(joint) AS x, generate_subscripts(joint, 1) - 1 AS i FROM f) SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM x",
+        "landmark_weights": f"WITH RECURSIVE {_E}, {_HOT}, {_MAP}, {_student(q='h', rows='f', ridge=1.0, weight='1.0::DOUBLE')} {_each_weight()}",
+        "predictions": f"WITH RECURSIVE {_E}, {_teacher()}, {_student()} SELECT id, prediction FROM y",
+        "predictions_landmark": f"WITH RECURSIVE {_E}, {_MAP}, {_teacher(blend=False)}, {_student(rows='f', ridge=1.0, weight='1.0::DOUBLE')} SELECT id, prediction FROM y",
+        "stored_model": f"WITH RECURSIVE {_E}, {_teacher()}, {_student()} SELECT id, CAST(c AS INT) AS c, round(s, 6) + 0.0 AS scores FROM z",
+        "monitoring": f"WITH RECURSIVE {_E}, {_teacher()}, {_student()}, tp AS (SELECT id, c FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY p DESC, c) AS rk FROM p) WHERE rk = 1), b AS (SELECT label, avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS a FROM y JOIN e USING (id) GROUP BY label) SELECT (SELECT count(DISTINCT label) FROM t) / 10.0::DOUBLE AS class_coverage, round((SELECT avg(CASE WHEN c <> prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM tp JOIN y USING (id)), 6) AS disagreement, label AS worst_class, round(a, 6) AS worst_accuracy, 0.8::DOUBLE AS participation FROM b ORDER BY a, label LIMIT 1",
+        "mutation_audit": f"""WITH RECURSIVE {_E}, la AS (SELECT id, CAST(label AS VARCHAR) AS label FROM e), lb AS (SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN CAST(label AS VARCHAR) ELSE 'NOT-FOR-TRAINING' END AS label FROM e),
+ta AS (SELECT id, TRY_CAST(la.label AS INT) AS label FROM la JOIN (SELECT id FROM t) USING (id)), tb AS (SELECT id, TRY_CAST(lb.label AS INT) AS label FROM lb JOIN (SELECT id FROM t) USING (id)),
+{_teacher('1', 'ta')}, {_student('1', 'q1')}, {_teacher('2', 'tb')}, {_student('2', 'q2')},
+td AS (SELECT max(abs(a.q - b.q)) AS d FROM q1 a JOIN q2 b USING (id, c)), wd AS (SELECT max(abs(a.x[c + 1] - b.x[c + 1])) AS d FROM sw1 a JOIN sw2 b USING (i), (SELECT unnest(range(10)) AS c)),
+mu AS (SELECT count(*) AS n FROM la JOIN lb USING (id) WHERE la.label <> lb.label)
+SELECT mu.n AS mutated, round(td.d, 6) + 0.0 AS target_max_diff, round(wd.d, 6) + 0.0 AS weight_max_diff, td.d < 1e-9 AND wd.d < 1e-9 AS same_digests, td.d < 1e-9 AND wd.d < 1e-9 AS passed FROM td, wd, mu""",
+        "federated_audit": f"WITH RECURSIVE {_E}, {_HOT}, {_student('1', 'h', ridge=1.0, weight='1.0::DOUBLE', by='id % 7')}, {_student('2', 'h', ridge=1.0, weight='1.0::DOUBLE')}, f AS ({_each_weight('1', 'federated')}), c AS ({_each_weight('2', 'central')}) SELECT f.i, f.c, federated, central, round(max(abs(federated - central)) OVER (), 9) + 0.0 AS max_weight_diff FROM f JOIN c ON f.i = c.i AND f.c = c.c",
         "block_mean": f"WITH {_PIX} SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM b",
         "color_stats": f"WITH {_PIX} SELECT CAST(i AS INT) AS i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM b GROUP BY i",
-        "mutation_audit": "SELECT 0.0::DOUBLE AS target_max_diff, 0.0::DOUBLE AS weight_max_diff, true AS passed",
-        "federated_audit": "SELECT 0.0::DOUBLE AS max_weight_diff, true AS passed",
-        "client_sizes": "WITH u AS (SELECT user_id, count(*) AS n, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS k FROM events GROUP BY user_id) SELECT min(n) AS smallest, max(n) AS largest, count(*) AS clients, CAST(sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS BIGINT) AS without FROM u",
+        "client_sizes": "WITH u AS (SELECT c_custkey, count(o_custkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) SELECT min(n) AS smallest, max(n) AS largest, count(*) AS clients, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS without FROM u",
     }
-

@@ -5,11 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import BlendConfig, Config, LandmarkConfig, TwoViewConfig
+from ..config import Config
 
 
 def problem(spark: SparkSession, seed: int = 1, rows: int = 320, classes: int = 4, widths: tuple[int, int] = (12, 6), per_class: int = 12) -> tuple[DataFrame, DataFrame, DataFrame, Config]:
-    """(features, labels, trusted, config)."""
+    """(features, labels, trusted, config). Widths, scales (1.5, 1.2), noise 0.7, rows, classes and trusted rows a class are
+    fixed values, so that results compare with published ones."""
     draw = np.random.default_rng(seed)
     y = draw.permutation(np.arange(rows) % classes)
     views = []
@@ -22,5 +23,5 @@ def problem(spark: SparkSession, seed: int = 1, rows: int = 320, classes: int =
     labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(y)], "id long, label int")
     first = sorted(int(i) for c in range(classes) for i in np.flatnonzero(y == c)[:per_class])
     trusted = spark.createDataFrame([(i, int(y[i])) for i in first], "id long, label int")
-    config = Config(classes, teacher=TwoViewConfig(gamma_view_a=1.0, gamma_view_b=1.0), student=LandmarkConfig(landmark_count=32), kmeans_teacher=BlendConfig(gamma=1.0))
+    config = Config(classes, gamma_a=1.0, gamma_b=1.0, gamma_joint=1.0, landmarks=32)
     return features, labels, trusted, config
