@@ -203,12 +203,19 @@ def test_pieces(spark, odd):
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=piece_codec.default_model())
-    codec = piece_codec.ChunkCodec(piece_codec.default_model(), limit=50)
+    codec = piece_codec.ChunkCodec(piece_codec.default_model())
     assert codec.by_chunk
     texts = [t or "" for _, t, _ in odd] + ["  two  blanks ", " lead", "trail  ", "▁▁a ▁", "tab\tline\nend", "<s> </s> <unk>", "   ", "▁", "日本語 テキスト", "a" * 3000]
     for t, (ids, text) in zip(texts, codec.run(texts), strict=True):
         exact = sp.encode(t, add_bos=True, add_eos=True)
         assert piece_codec.ids_list(ids) == exact and text == sp.decode(exact), repr(t[:40])
+    # With a table of all chunks, of some of them and of none.
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    for limit in (piece_codec.TABLE, 100, 0):
+        got = {r["doc_id"]: r for r in piece_codec.encode_decode(frame(spark, rows), piece_codec.default_model(), limit=limit).collect()}
+        for i, t in enumerate(texts):
+            exact = sp.encode(t, add_bos=True, add_eos=True)
+            assert piece_codec.ids_list(got[i]["ids"]) == exact and got[i]["decoded"] == sp.decode(exact)
 
 
 def test_secrets(spark):

@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares, named by spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder the cluster shares, named by spark.checkpoint.dir. Where that is unset: on one machine, as in tests, a
+    folder of our own; on a cluster there is none that all can read, so it is refused."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='trustweave-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at
