@@ -186,7 +186,7 @@ def test_suffix_dedup(spark, odd, hot):
 
 
 @pytest.mark.parametrize("symbol", [4, 8])
-def test_transform(symbol):
+def test_transform(symbol, tmp_path):
     draw = random.Random(symbol)
     for _ in range(40):
         base = bytes(draw.choices(b"ab", k=50))
@@ -196,7 +196,7 @@ def test_transform(symbol):
             for s in range(len(r) - 15):
                 seen.setdefault(r[s : s + 16], []).append((i, s))
         expected = sorted(p for v in seen.values() if len(v) > 1 for p in v)
-        assert sorted((i, int(s)) for i, x in enumerate(suffix_dedup.repeated_starts(rows, 16, symbol)) for s in x) == expected
+        assert sorted((i, int(s)) for i, x in enumerate(suffix_dedup.repeated_starts(rows, f"file://{tmp_path}", 16, symbol)) for s in x) == expected
 
 
 def test_pieces(spark, odd):

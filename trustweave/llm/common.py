@@ -43,12 +43,17 @@ class Written:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(at)
+        path, system = self._system("")
+        system.deleteOnExit(path)  # results may be read as long as the session lives
         return self.spark.read.schema(df.schema).parquet(at)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        path, system = self._system(f"/{name}")
+        system.delete(path, True)
+
+    def _system(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}{name}")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

@@ -19,7 +19,7 @@ MARK = "▁"
 CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Most chunks that are sent to the tasks, characters of text that a task splits at a time, and the number of times from
 #: which chunks are not told apart by how often they stand there.
-TABLE, BLOCK, COUNTED = 500_000, 1 << 20, 10_000
+TABLE, BLOCK, COUNTED = 100_000, 1 << 20, 10_000
 
 
 class ChunkCodec:

@@ -8,14 +8,13 @@ row; rows with the same content need no comparison; the others are dealt out by
 
 from __future__ import annotations
 
-import hashlib
-import os
-import shutil
-import tempfile
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,28 +87,23 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, most: in
 
 
 class External:
-    """Arrays in files of their own, each written and read from end to end; a file keeps its room between rounds."""
+    """Arrays in files of their own below a folder that the cluster shares, each written and read from end to end."""
 
-    def __init__(self, *names: str):
-        self.at = tempfile.mkdtemp(prefix="collection-")
-        self.files = {x: open(os.path.join(self.at, x), "w+b", buffering=0) for x in names}  # noqa: SIM115
-        self.sizes = dict.fromkeys(names, 0)
+    def __init__(self, folder: str):
+        self.fs, base = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", folder))
+        self.at = f"{base}/collection-{uuid.uuid4().hex}"
+        self.fs.create_dir(self.at)
 
     def __setitem__(self, name: str, values: np.ndarray) -> None:
-        left = memoryview(np.ascontiguousarray(values)).cast("B") if len(values) else b""
-        self.files[name].seek(0)
-        while len(left):
-            left = left[self.files[name].write(left) :]
-        self.sizes[name] = len(values)
+        with self.fs.open_output_stream(f"{self.at}/{name}") as f:
+            f.write(np.ascontiguousarray(values).tobytes())
 
     def read(self, name: str, kind) -> np.ndarray:
-        self.files[name].seek(0)
-        return np.fromfile(self.files[name], kind, self.sizes[name])
+        with self.fs.open_input_stream(f"{self.at}/{name}") as f:
+            return np.frombuffer(f.read(), kind)
 
     def close(self) -> None:
-        for f in self.files.values():
-            f.close()
-        shutil.rmtree(self.at, ignore_errors=True)
+        self.fs.delete_dir(self.at)
 
 
 def symbols(data: bytes, width: int) -> np.ndarray:
@@ -143,7 +137,7 @@ def _range_least(table: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.
     return out
 
 
-def repeated_starts(rows: list[bytes], length: int = LENGTH, symbol: int = SYMBOL) -> list[np.ndarray]:
+def repeated_starts(rows: list[bytes], folder: str, length: int = LENGTH, symbol: int = SYMBOL) -> list[np.ndarray]:
     """For each row the starts of strings of that length that also start elsewhere in the rows.
 
     A row, read in symbols from each of its first `symbol` bytes, is so many documents. The transform begins with
@@ -165,7 +159,7 @@ def repeated_starts(rows: list[bytes], length: int = LENGTH, symbol: int = SYMBO
     docs = len(base)
     if not docs:
         return [np.zeros(0, np.int64) for _ in rows]
-    files = External("bwt", "lcp", "start", "entries")
+    files = External(folder)
     try:
         place = np.arange(docs)  # of each document's longest suffix so far
         column = base + symbol * (count - 1)  # where its next symbol stands
@@ -308,11 +302,13 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text:
     same = (F.col("tk") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_id"))
     pieces = keep.put(texts.join(lists, same).select("doc_id", "tk", "text", "rows").mapInArrow(cut, "h long, c long, rows long, doc_id long, tk long, lo int, bytes binary"), "pieces")
 
+    folder = keep.root
+
     def build(batches):
         rows_, last = [], None
 
         def close(held):
-            starts = repeated_starts([r[4] for r in held], length)
+            starts = repeated_starts([r[4] for r in held], folder, length)
             out = [(r[1], r[2], r[3] + lo, n) for r, s in zip(held, starts, strict=True) if r[0] == 1 for lo, n in _runs(s)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
             if out:
