@@ -40,7 +40,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     # Windows of three words by hash; where none comes twice, there is nothing to place.
     third = "zip_with(slice(_pairs, 1, size(_pairs) - 1), slice(_words, 3, size(_pairs) - 1), (p, c) -> xxhash64(p, c))"
     docs = docs.withColumn("_windows", F.expr(f"CASE WHEN size(_pairs) < 2 THEN CAST(array() AS array<bigint>) ELSE {third} END"))
-    docs = docs.withColumn("_sorted", F.expr("CASE WHEN size(array_distinct(_windows)) < size(_windows) THEN array_sort(transform(_windows, (h, i) -> struct(h, i))) END"))
+    docs = docs.withColumn("_sorted", F.expr("CASE WHEN size(array_distinct(_windows)) < size(_windows) THEN sort_array(transform(_windows, (h, i) -> struct(h, i))) END"))
     placed = (
         "CASE WHEN _sorted IS NULL THEN 0L ELSE CAST(size(array_distinct(flatten(transform(filter(zip_with(zip_with(_sorted, "
         "slice(_sorted, 2, size(_sorted)), (x, y) -> struct(x, y.h AS next)), concat(array(CAST(NULL AS struct<h: bigint, i: int>)), _sorted), "
