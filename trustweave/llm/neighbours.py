@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from .common import Written
 
-#: Trees, vectors that the trees are fitted on, how many of those a leaf has, and the part of all leaves of the
-#: forest that a query visits. On directions without any structure, the part decides the recall.
-TREES, SAMPLE, LEAF, VISIT, SEED = 16, 8192, 32, 0.12, 11
+#: Trees, vectors that the trees are fitted on, how many of those a leaf has, the part of all leaves of the forest that
+#: a query visits, and the vectors (counted once for each tree) that it meets at least where all have that many. On
+#: directions without any structure, part and least decide the recall: few vectors have many of them among the nearest.
+TREES, SAMPLE, LEAF, VISIT, LEAST, SEED = 16, 8192, 16, 0.03, 3000, 11
 #: Most vectors and most queries that meet in one block.
 BLOCK = 4096
 
@@ -50,9 +51,10 @@ class Forest:
         return out
 
     def visits(self, q: np.ndarray, part: float) -> np.ndarray:
-        """Leaves (tree * leaves + leaf) of each query. One queue holds the open branches of all trees by what the
-        query lacks to be on their side (the squares of its margins at wrong turns, summed); leaves leave it in that
-        order until the visits are used up. As all margins are known here, these are the leaves that lack least."""
+        """Leaves (tree * leaves + leaf) of each query. One queue holds the leaves of all trees by what the query lacks
+        to be among them: its margins at the wrong turns of their path less those at the right ones, which is its inner
+        product with what the path says of the leaf's vectors. Leaves leave it in that order until the visits are used
+        up; as all margins are known here, these are the leaves that lack least."""
         q = self.lifted(q / np.maximum(np.sqrt((q * q).sum(1)), 1e-300)[:, None] * np.sqrt(self.largest), query=True)
         lack = np.empty((len(q), len(self.normals), self.leaves))
         for t, (normals, cuts) in enumerate(zip(self.normals, self.cuts, strict=True)):
@@ -60,7 +62,7 @@ class Forest:
             at = np.zeros((len(q), 1))
             for level in range(self.depth):
                 m = margin[:, (1 << level) - 1 : (2 << level) - 1]
-                at = np.stack([at + np.maximum(m, 0) ** 2, at + np.maximum(-m, 0) ** 2], 2).reshape(len(q), -1)
+                at = np.stack([at + m, at - m], 2).reshape(len(q), -1)
             lack[:, t] = at
         lack = lack.reshape(len(q), -1)
         n = min(lack.shape[1], max(1, int(np.ceil(part * lack.shape[1]))))
@@ -115,12 +117,12 @@ def _matrix(column: pa.Array, kind: str) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(kind)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, visit: float = VISIT, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id", vector: str = "embedding", trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, visit: float = VISIT, block: int = BLOCK, least: int = LEAST) -> DataFrame:
     """(query_id, rank, vec_id, score): the k vectors found with the largest inner product for each query, other than those
     with its own id, nearest first, equal scores by the smaller id; score in double precision on the original vectors.
 
     vectors, queries: rows (id, vector). Every row is indexed; the trees are fitted on `sample` rows (the first by a
-    hash of the id). Vectors that are null, zero, or hold nulls or values that aren't finite, rows without an id, and
+    hash of the id). A query visits the part `visit` of all leaves, or more if it would meet fewer than `least` vectors. Vectors that are null, zero, or hold nulls or values that aren't finite, rows without an id, and
     vectors of another length than most have take no part. Rows repeated in full count once; of equal vectors only
     the k + 1 smallest ids can be among the nearest, so only those are indexed, and equal queries are searched once.
     Fewer than k other vectors: all that were found. Other columns are not read. No rows give no rows.
@@ -148,6 +150,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str =
     some = index.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
     shared = spark.sparkContext.broadcast(grow(np.array([r["v"] for r in some], float), largest, trees, leaf))  # of the sample's size
     forest = shared.value
+    visit = max(visit, least / (trees * max(1, index.count())))
     kind = "<f4" if dict(index.dtypes)["v"] == "array<float>" else "<f8"
 
     def routed(batches, searching: bool) -> Iterator[pa.RecordBatch]:
