@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from importlib import import_module
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,8 @@ ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 KINDS = ("assign", "access", "hex", "markov")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Modules whose names are the labelled sample of names in code.
+MODULES = ("argparse", "ast", "asyncio", "collections", "concurrent.futures", "configparser", "csv", "datetime", "decimal", "email.message", "functools", "http.client", "http.server", "importlib.machinery", "inspect", "io", "json", "logging.handlers", "multiprocessing.pool", "os", "pathlib", "socketserver", "sqlite3", "ssl", "string", "subprocess", "tarfile", "threading", "traceback", "typing", "unittest", "unittest.mock", "urllib.request", "xml.dom.minidom", "xml.sax.handler", "zipfile")
 #: Shortest run the models judge, the mean log ratio a character from which it is a secret, documents and longest
 #: text from which ordinary identifiers are taken, random strings that are drawn.
 MIN_RUN, THRESHOLD, SAMPLE, SAMPLE_BYTES, DRAWN = 20, 0.5, 2000, 16_384, 20_000
@@ -79,6 +83,42 @@ def identifiers(texts: list[str], seed: int = 7) -> list[str]:
     return out
 
 
+def code_words(fold: int | None = None, held_out: bool = False) -> list[str]:
+    """Words of the names in MODULES and of their classes' attributes, in lower case and in order; with a fold, those
+    whose crc32 modulo 5 is that number (held_out) or is not."""
+    names = set()
+    for m in map(import_module, MODULES):
+        for name in dir(m):
+            names |= {name, *dir(getattr(m, name))} if isinstance(getattr(m, name), type) else {name}
+    words = sorted({w.lower() for n in names for w in re.findall("[A-Z]?[a-z]+|[A-Z]+(?![a-z])", n) if 2 < len(w) < 20})
+    return [w for w in words if fold is None or (zlib.crc32(w.encode()) % 5 == fold) == held_out]
+
+
+def code_names(words: list[str], n: int = DRAWN, seed: int = 7) -> list[str]:
+    """Labelled sample of names as code has them, of two to six words each, and of dates, counts and digits in order."""
+    draw, out = random.Random(seed), []
+    for i in range(n):
+        w = draw.choices(words, k=draw.randint(2, 6))
+        style = i % 8
+        if style < 2:
+            out.append("".join(x.capitalize() for x in w))
+        elif style == 2:
+            out.append(w[0] + "".join(x.capitalize() for x in w[1:]))
+        elif style == 3:
+            out.append("_".join(w) + draw.choice(("", "", "_1", "_v2", "=")))
+        elif style == 4:
+            out.append("_".join(w).upper())
+        elif style == 5:
+            out.append(draw.choice("-/+").join(w))
+        elif style == 6:
+            day = lambda: f"{draw.randint(1970, 2039)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}"
+            out.append("-".join([day(), *(f"{draw.randint(0, 59):02}" for _ in range(draw.randint(0, 3))), day()]))
+        else:
+            a, step = draw.randrange(10), draw.choice((0, 1, 1, 9))
+            out.append("".join(str((a + step * j) % 10) for j in range(draw.randint(20, 40))))
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of what the patterns match, by start and kind; a match that is too short is dropped, and
     what it covers is not looked at again for that kind."""
@@ -162,7 +202,7 @@ def scan(docs: DataFrame, model: MarkovModel, id_column: str = "doc_id", text: s
 
 def op10(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = scan(docs, train(random_strings(), identifiers(sample_texts(docs))))
+    out = scan(docs, train(random_strings(), identifiers(sample_texts(docs)) + code_names(code_words())))
     said = lambda which: f"concat_ws(',', transform({which}, s -> concat_ws(':', s.kind, s.start, s.end)))"
     count = lambda k: F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS bigint) AS n_{k}")
     return out.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(F.expr(said("filter(spans, s -> s.kind <> 'markov')")), 256).alias("base_sha256"), F.expr(said("spans")).alias("spans"))
