@@ -243,6 +243,32 @@ def test_secrets_behind_names_and_keys():
     assert secret_scan.all_spans(name, model) == []
 
 
+def test_secrets_on_held_out_samples():
+    """Names of words that no model saw, the table's own words, and keys of another draw, 20 characters or more each."""
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{D}/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()]
+    known, new = secret_scan.code_words(0), secret_scan.code_words(0, True)
+    assert not set(known) & set(new) and len(new) > 200
+    model = secret_scan.train(secret_scan.random_strings(), secret_scan.identifiers(texts[::2]) + secret_scan.code_names(known))
+    found = lambda xs: sum(bool(secret_scan.random_parts(x, model, secret_scan.THRESHOLD)) for x in xs)
+    ordinary = [x for x in secret_scan.code_names(new, 4000, 3) + secret_scan.identifiers(texts[1::2], 3)[::5] if len(x) >= secret_scan.MIN_RUN]
+    keys = secret_scan.random_strings(4000, 99)
+    hits, wrong = found(keys), found(ordinary)
+    assert len(ordinary) > 3000 and hits / len(keys) > 0.99 and hits / (hits + wrong) > 0.99
+    assert not found(["AbstractSingletonProxyFactoryBean", "0123456789012345678901234567", "2024-01-01-2024-02-02-00-00"])
+
+
+def test_base_secrets_against_plain_patterns():
+    re = __import__("re")
+    kinds = (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "(AKIA[A-Z0-9]+)", "([0-9a-f]+)")
+    draw = random.Random(9)
+    bits = ["password", "PassWd", "to\u212aen", "token", "api_key", "apikey", "\u017fecret", "secret", "=", ":", " ", '"', "'", "AKIA", "A1B2C3D4E5F6", "0a1b2c3d", "e" * 9, "z", "é", "/", "-", ".", "_", "\n"]
+    texts = [t or "" for (t,) in duckdb.sql(f"SELECT text FROM '{D}/documents.parquet'").fetchall()]
+    texts += ["".join(draw.choices(bits, k=draw.randint(1, 40))) for _ in range(5000)]
+    for t in texts:
+        plain = [(k, m.start(), m.end()) for k, p in enumerate(kinds) for m in re.finditer(p, t, re.ASCII) if len(m[1]) >= (8, 16, 32)[k]]
+        assert secret_scan.base_spans(t) == sorted(plain, key=lambda s: (s[1], s[0])), t
+
+
 def test_mixing_targets(spark):
     rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(100, "a"), (5, "b"), (50, "c"), (40, "c"), (60, None), (0, "d")])]
     got = {r["source"]: r for r in mixing.source_targets(frame(spark, rows).select("source", F.coalesce("source", F.lit("")).alias("skey"), mixing.n_words(F.col("text")).alias("size"))).collect()}
@@ -284,6 +310,33 @@ def test_neighbours(spark):
     assert few.count() == 2
 
 
+def test_neighbours_at_default_settings(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = neighbours.search(rows, rows.filter("vec_id % 20 = 0")).toPandas()
+    ids, x = (np.array(c) for c in zip(*((r["vec_id"], r["embedding"]) for r in rows.collect()), strict=True))
+    x, hits, asked = x.astype(float), 0, ids[ids % 20 == 0]
+    for q in asked:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        hits += len(set(ids[np.argsort(-s)[:20]]) & set(got.vec_id[got.query_id == q]))
+    assert len(got) == 20 * len(asked) and hits / len(got) > 0.95
+
+
+def test_forest_scores_fewer_pairs_than_brute_force():
+    """Directions without any structure, the hardest case."""
+    x = np.random.default_rng(4).normal(size=(16_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    forest = neighbours.grow(x[: neighbours.SAMPLE], (x * x).sum(1).max())
+    leaf = forest.route(x) + np.arange(neighbours.TREES) * forest.leaves
+    seen, pairs, hits = forest.visits(x[:60], neighbours.VISIT), 0, 0
+    for i in range(60):
+        met = np.isin(leaf, seen[i])
+        s = x @ x[i]
+        pairs += met.sum()
+        hits += met.any(1)[np.argsort(-s)[1:21]].sum()
+    assert pairs < 0.52 * 60 * len(x) and hits > 0.9 * 60 * 20
+
+
 def rules(text):
     t = text or ""
     w = WORD.findall(t)

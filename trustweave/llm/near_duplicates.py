@@ -407,3 +407,27 @@ def kept_documents(docs: DataFrame, found: DataFrame, text: str = "text") -> Dat
 
 def op7(spark, sf_dir):
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=2).drop("digest", "first")
+
+
+#: The same classes; pairs share one of each set's rarest shingles, links are counted in full and followed to the end.
+OP7_SQL = r"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM documents),
+sets AS (
+  SELECT r, doc_id, list_sort(CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END) AS s
+  FROM split),
+classes AS (SELECT row_number() OVER () AS c, s, len(s) AS n, min(doc_id) AS least FROM sets WHERE len(s) > 0 GROUP BY s),
+items AS (SELECT c, n, unnest(s) AS x FROM classes),
+often AS (SELECT x, count(*) AS f FROM items GROUP BY x),
+placed AS (SELECT c, n, x, row_number() OVER (PARTITION BY c ORDER BY f, x) AS place FROM items JOIN often USING (x)),
+rare AS (SELECT c, n, x FROM placed WHERE 5 * (place - 1) <= n),
+pairs AS (SELECT DISTINCT a.c AS a, b.c AS b FROM rare a JOIN rare b ON a.x = b.x AND a.c < b.c AND 10 * a.n >= 8 * b.n AND 10 * b.n >= 8 * a.n),
+both_sets AS (SELECT a, b, p.n + q.n AS total, len(list_intersect(p.s, q.s)) AS i FROM pairs JOIN classes p ON p.c = a JOIN classes q ON q.c = b),
+links AS (SELECT a, b FROM both_sets WHERE 100 * i >= 80 * (total - i)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT c AS a, c AS b FROM classes UNION SELECT reach.a, ways.b FROM reach JOIN ways ON ways.a = reach.b),
+least AS (SELECT reach.a AS c, min(k.least) AS component FROM reach JOIN classes k ON k.c = reach.b GROUP BY reach.a)
+SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, doc_id) AS component_id, doc_id = coalesce(component, doc_id) AS kept
+FROM sets LEFT JOIN classes ON classes.s = sets.s LEFT JOIN least ON least.c = classes.c
+"""

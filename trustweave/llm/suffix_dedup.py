@@ -394,3 +394,24 @@ def op2(spark, sf_dir):
     out = drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
+
+#: Every start's 200 bytes (400 hexadecimal digits), cut from blocks of 100 starts so that no long text is searched again.
+OP2_SQL = """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT r, from_byte, substr(h, 2 * from_byte + 1, 598) AS part FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199, 100)) AS from_byte FROM texts WHERE len(h) >= 400)),
+hashed AS (
+  SELECT r, from_byte + i AS pos, md5(substr(part, 2 * i + 1, 400)) AS m
+  FROM (SELECT r, from_byte, part, unnest(range(0, least(100, len(part) // 2 - 199))) AS i FROM blocks)),
+many AS (SELECT m FROM hashed GROUP BY m HAVING count(*) > 1),
+removed AS (SELECT r, pos, lag(pos) OVER (PARTITION BY r ORDER BY pos) AS before FROM hashed SEMI JOIN many USING (m)),
+numbered AS (SELECT r, pos, sum(CASE WHEN pos <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY pos) AS run FROM removed),
+spans AS (SELECT r, min(pos) AS a, max(pos) + 200 AS z FROM numbered GROUP BY r, run),
+gaps AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS free FROM spans),
+cut AS (
+  SELECT r, CAST(count(*) AS BIGINT) AS n_spans, CAST(sum(z - a) AS BIGINT) AS n_removed, max(z) AS last,
+    string_agg(substr(h, 2 * free + 1, 2 * (a - free)), '' ORDER BY a) AS front
+  FROM gaps JOIN texts USING (r) GROUP BY r)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (r)
+"""
