@@ -3,7 +3,8 @@
 Building the transform of a whole corpus takes as many passes as its longest document has symbols. So only what can
 repeat is built: of every 200-byte string the smallest hash of its 50-byte strings is its anchor, equal strings have
 equal anchors, and strings whose anchor stands nowhere else are unique. Neighbouring strings with one anchor make a
-row; rows with the same content need no comparison; the others are dealt out by anchor and compared by the transform.
+row; rows are dealt out by anchor and the transform names what repeats in them. Of a content that many rows have, two
+go in; what is named there holds for the others of the same 128 bits.
 """
 
 from __future__ import annotations
@@ -18,14 +19,18 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, filter_bits, filter_place, passes, prefix_hash, span_hash
+from .common import FILTER_BITS, Written, filter_bits, filter_place, passes, prefix_hash, span_hash
 
 #: Bytes of a string, of an anchor, most strings of a row, bytes hashed at once.
 LENGTH, GRAM, MOST, SLAB = 200, 50, 256, 1 << 20
 #: Bytes of a symbol; a string is a whole number of them.
 SYMBOL = 40
-#: Rows that one collection has, and rows of an anchor beyond which its strings are compared by their hashes.
+#: Rows that one collection has, and rows of an anchor beyond which its strings are dealt out one by one.
 COLLECTION, HOT = 500, 50_000
+#: Very common anchors that a list names; more of them are told by a join.
+MOST_HOT = 1000
+_PIECE = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("many", pa.bool_()), ("first", pa.bool_()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("lo", pa.int32()), ("bytes", pa.binary())])
+_NAMED = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("many", pa.bool_()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("lo", pa.int32()), ("n", pa.int32())])
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, most: int = MOST) -> tuple[np.ndarray, ...]:
@@ -249,8 +254,8 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text:
 
     Null text is empty; a text shorter than length loses nothing. Rows repeated in full are documents of their own, so
     what of them is long enough goes. Null doc_id: a document as any other. Other columns are not read. No rows give
-    no rows. An anchor with more than `hot` different rows (a string in very many contexts) has its strings compared
-    by 128-bit hashes, summed up before the shuffle, so that no task holds them all.
+    no rows. An anchor with more than `hot` rows (a string in very many contexts) has its strings dealt out one by one,
+    so that no task holds them all; they go through the transform as rows do.
     """
     spark = docs.sparkSession
     keep = Written(spark, "repeats")
@@ -267,15 +272,14 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text:
                 )
 
     found = given.mapInArrow(find, "doc_id long, tk long, h long, d long, lo int, n int, twice boolean")
-    by = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("d").alias("d0"), F.max("d").alias("d1"), F.max("twice").alias("t"))
-    often = by.filter("c > 1 OR t").select("h", F.expr("d0 <> d1 OR t").alias("mixed"))
-    rows = keep.put(found.join(often, "h"), "rows")
-    # Rows of one content: every string of them repeats. Others: one row for each content.
-    contents = keep.put(rows.filter("mixed").groupBy("h", "d").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "tk", "lo", "n", "twice")).alias("r")), "contents")
-    groups = contents.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.min("c").alias("least"), F.max("r.twice").alias("t"))
-    groups = groups.filter("least = 1 AND (rows > 1 OR t)").select("h", "rows")
-    wanted = keep.put(contents.join(groups, "h").select("h", "c", "rows", "r.doc_id", "r.tk", "r.lo", "r.n"), "wanted")
-    lists = wanted.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "c", "rows", "lo", "n")).alias("rows"))
+    often = found.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.max("twice").alias("t")).filter("c > 1 OR t").select("h")
+    rows = keep.put(found.join(often, "h").drop("twice"), "rows")
+    # Two rows of each content, or the only one; `first` tells them apart.
+    row = F.struct("doc_id", "tk", "lo", "n")
+    contents = rows.groupBy("h", "d").agg(F.count(F.lit(1)).alias("c"), F.min(row).alias("r"), F.max(row).alias("z"))
+    one, two = F.struct(F.lit(True).alias("first"), "r.*"), F.struct(F.lit(False).alias("first"), "z.*")
+    wanted = keep.put(contents.select("h", "d", (F.col("c") > 1).alias("many"), F.explode(F.when(F.col("c") > 1, F.array(one, two)).otherwise(F.array(one))).alias("x")).select("h", "d", "many", "x.*"), "wanted")
+    lists = wanted.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("h", "d", "many", "first", "lo", "n")).alias("rows"))
 
     def some(of: DataFrame):
         """The documents that of names, through a filter of fixed size; the join drops the few others."""
@@ -291,46 +295,41 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text:
         for batch in batches:
             out = []
             for i, tk, t, rs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _bytes(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                out += [(r["h"], r["c"], r["rows"], i, tk, r["lo"], t[r["lo"] : r["lo"] + r["n"] + length - 1]) for r in rs]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                out += [(r["h"], r["d"], r["many"], r["first"], i, tk, r["lo"], t[r["lo"] : r["lo"] + r["n"] + length - 1]) for r in rs]
             for at in range(0, len(out), 4096):
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[at : at + 4096], strict=True), kinds, strict=True)], ["h", "c", "rows", "doc_id", "tk", "lo", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out[at : at + 4096], strict=True), _PIECE.types, strict=True)], schema=_PIECE)
 
     texts, _ = some(wanted)
     texts = texts.dropDuplicates(["doc_id", "tk"])
     lists = lists.withColumnsRenamed({"doc_id": "_id", "tk": "_tk"})
     same = (F.col("tk") == F.col("_tk")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    pieces = keep.put(texts.join(lists, same).select("doc_id", "tk", "text", "rows").mapInArrow(cut, "h long, c long, rows long, doc_id long, tk long, lo int, bytes binary"), "pieces")
+    pieces = keep.put(texts.join(lists, same).select("doc_id", "tk", "text", "rows").mapInArrow(cut, "h long, d long, many boolean, first boolean, doc_id long, tk long, lo int, bytes binary"), "pieces")
 
     folder = keep.root
 
     def build(batches):
-        rows_, last = [], None
-
-        def close(held):
-            starts = repeated_starts([r[4] for r in held], folder, length)
-            out = [(r[1], r[2], r[3] + lo, n) for r, s in zip(held, starts, strict=True) if r[0] == 1 for lo, n in _runs(s)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        for held in _collections(batches):
+            starts = repeated_starts([r[-1] for r in held], folder, length)
+            out = [(*r[:3], *r[4:6], lo if r[2] else r[6] + lo, n) for r, s in zip(held, starts, strict=True) if r[3] for lo, n in _runs(s)]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "tk", "lo", "n"])
-
-        for batch in batches:
-            for h, *r in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)), strict=True):
-                if h != last and len(rows_) >= COLLECTION:
-                    yield from close(rows_)
-                    rows_ = []
-                last = h
-                rows_.append(r)
-        if rows_:
-            yield from close(rows_)
-
-    spans = pieces.filter(F.col("rows") <= hot).repartition("h").sortWithinPartitions("h").mapInArrow(build, "doc_id long, tk long, lo int, n int")
-    rest = pieces.filter(F.col("rows") > hot)
-    if rest.limit(1).count():
-        spans = spans.unionByName(_hashed(rest, keep, length))
-    whole = rows.filter("NOT mixed").select("doc_id", "tk", "lo", "n")
-    more = rows.filter("mixed").join(contents.filter("c > 1").select("h", "d"), ["h", "d"], "left_semi").select("doc_id", "tk", "lo", "n")
-    every = whole.unionByName(more).unionByName(spans).distinct()
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), _NAMED.types, strict=True)], schema=_NAMED)
+
+    common = [r["h"] for r in wanted.groupBy("h").count().filter(F.col("count") > hot).select("h").limit(MOST_HOT + 1).collect()]
+    is_hot = F.col("h").isin(common) if common else F.lit(False)
+    if len(common) > MOST_HOT:  # as many as no list should name: told by a join
+        named_hot = wanted.groupBy("h").count().filter(F.col("count") > hot).select("h", F.lit(True).alias("is_hot"))
+        pieces = keep.put(pieces.join(named_hot, "h", "left").withColumn("is_hot", F.coalesce("is_hot", F.lit(False))), "told")
+        is_hot = F.col("is_hot")
+    columns = ["h", "d", "many", "first", "doc_id", "tk", "lo", "bytes"]
+    dealt = pieces.filter(~is_hot).select(columns).repartition("h").sortWithinPartitions("h")
+    named = dealt.mapInArrow(build, "h long, d long, many boolean, doc_id long, tk long, lo int, n int")
+    if common:
+        named = named.unionByName(_by_string(pieces.filter(is_hot).select(columns), keep, length))
+    named = keep.put(named, "named")
+    # Places of a content count from its rows' beginnings.
+    shared = named.filter("many").select("h", "d", F.col("lo").alias("at"), F.col("n").alias("of"))
+    copies = rows.join(shared, ["h", "d"]).select("doc_id", "tk", (F.col("lo") + F.col("at")).alias("lo"), F.col("of").alias("n"))
+    every = named.filter("NOT many").select("doc_id", "tk", "lo", "n").unionByName(copies).distinct()
     gone = keep.put(every.groupBy("doc_id", "tk").agg(F.collect_list(F.struct("lo", "n")).alias("found")), "gone")
 
     hit, bits = some(gone)
@@ -367,27 +366,66 @@ def _told(batch: pa.RecordBatch, found: list | None, length: int) -> pa.RecordBa
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "spans", "kept"])
 
 
-def _hashed(rows: DataFrame, keep: Written, length: int) -> DataFrame:
-    """Starts of repeated strings in rows of very common anchors, by two 64-bit hashes of each string."""
+def _collections(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows, sorted by their first column, in lists that hold all rows of a value and at least COLLECTION, but the last."""
+    held: list[tuple] = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if len(held) >= COLLECTION and row[0] != held[-1][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(6).to_pylist()
-                for turn in range(len(texts)):
-                    t = texts[turn]
+
+def _by_string(pieces: DataFrame, keep: Written, length: int) -> DataFrame:
+    """What the transform names in rows of very common anchors, their strings dealt out one by one. Strings whose 128 bits
+    stand nowhere else do not repeat; of the others two of each go in."""
+    spark = pieces.sparkSession
+
+    def hashes(bits):
+        def run(batches):
+            for batch in batches:
+                for at in range(batch.num_rows):
+                    t = batch.column(7)[at].as_py()
                     lo = np.arange(len(t) - length + 1)
                     data = np.frombuffer(t, np.uint8)
-                    one = span_hash(prefix_hash(data), lo, lo + length)
-                    two = span_hash(prefix_hash(data ^ np.uint8(0x5A)), lo, lo + length)
-                    n = len(lo)
-                    same = lambda c, p=part, x=turn, m=n: p.column(c).slice(x, 1).take(pa.array(np.zeros(m, np.int64)))
-                    yield pa.RecordBatch.from_arrays([same(1), same(3), same(4), pa.array((lo + part.column(5)[turn].as_py()).astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["c", "doc_id", "tk", "lo", "h1", "h2"])
-
-    strings = keep.put(rows.mapInArrow(run, "c long, doc_id long, tk long, lo int, h1 long, h2 long"), "strings")
-    often = strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h1", "h2")
-    return strings.filter("c = 1").join(often, ["h1", "h2"], "left_semi").select("doc_id", "tk", "lo", F.lit(1).alias("n"))
+                    h1 = span_hash(prefix_hash(data), lo, lo + length).view(np.int64)
+                    h2 = span_hash(prefix_hash(data ^ np.uint8(0x5A)), lo, lo + length).view(np.int64)
+                    same = lambda c, m, b=batch, i=at: b.column(c).slice(i, 1).take(pa.array(np.zeros(m, np.int64)))
+                    if bits is not None:
+                        lo = lo[passes(bits.value, pa.array((h1 >> 1) % FILTER_BITS)).to_numpy(zero_copy_only=False)]
+                    first = batch.column(6)[at].as_py()
+                    key = [*(same(c, len(lo)) for c in range(6)), pa.array(lo.astype(np.int32)), pa.array(np.full(len(lo), first, np.int32)), pa.array(h1[lo]), pa.array(h2[lo])]
+                    names = ["h", "d", "many", "first", "doc_id", "tk", "at", "lo", "h1", "h2"]
+                    if bits is not None:
+                        key, names = [*key, pa.array([t[x : x + length] for x in lo.tolist()], pa.binary())], [*names, "bytes"]
+                    yield pa.RecordBatch.from_arrays(key, names)
+
+        return run
+
+    schema = "h long, d long, many boolean, first boolean, doc_id long, tk long, at int, lo int, h1 long, h2 long"
+    strings = keep.put(pieces.mapInArrow(hashes(None), schema), "strings")
+    often = keep.put(strings.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h1", "h2"), "often")
+    place = F.pmod(F.shiftright("h1", 1), F.lit(FILTER_BITS)).alias("_bit")
+    bits = spark.sparkContext.broadcast(filter_bits(often.select(place)))
+    again = pieces.mapInArrow(hashes(bits), f"{schema}, bytes binary").select("h1", "h2", "bytes")
+    # Equal strings meet before the shuffle: the least and the greatest of those that share 128 bits.
+    pairs = again.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("k"), F.min("bytes").alias("a"), F.max("bytes").alias("b")).filter("k > 1")
+    folder = keep.root
+
+    def build(batches):
+        for held in _collections(batches):
+            starts = repeated_starts([r[2] for r in held], folder, length)
+            out = [r[:2] for r, s in zip(held, starts, strict=True) if len(s)]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["h1", "h2"])
+
+    both = pairs.select("h1", "h2", F.explode(F.array("a", "b")).alias("bytes")).repartition("h1").sortWithinPartitions("h1")
+    found = keep.put(both.mapInArrow(build, "h1 long, h2 long").distinct(), "found")
+    hit = strings.filter("first").join(found, ["h1", "h2"], "left_semi")
+    return hit.select("h", "d", "many", "doc_id", "tk", F.when(F.col("many"), F.col("at")).otherwise(F.col("lo") + F.col("at")).alias("lo"), F.lit(1).alias("n"))
 
 
 def op2(spark, sf_dir):
