@@ -151,7 +151,12 @@ def repeated_starts(rows: list[bytes], folder: str, length: int = LENGTH, symbol
     that stands before its last one. Each new suffix shares with its neighbour one symbol more than the least that the
     suffixes between the two shared before. Four files hold, in that order, the transform, the shared lengths (no more
     than asked for), where each suffix starts, and the entries by symbol and place; a round reads and writes each once.
+    Rows of the same bytes go in once with a count; every string of theirs starts in each of them.
     """
+    given, once = rows, {r: None for r in rows}
+    index = dict(zip(once, range(len(once)), strict=True))
+    which = [index[r] for r in given]
+    rows, many = list(once), np.bincount(which, minlength=len(once)) > 1
     need = length // symbol
     assert need * symbol == length
     sizes = np.array([len(r) for r in rows], np.int64)
@@ -163,7 +168,7 @@ def repeated_starts(rows: list[bytes], folder: str, length: int = LENGTH, symbol
     base, count = base[count > 0], count[count > 0]
     docs = len(base)
     if not docs:
-        return [np.zeros(0, np.int64) for _ in rows]
+        return [np.zeros(0, np.int64) for _ in given]
     files = External(folder)
     try:
         place = np.arange(docs)  # of each document's longest suffix so far
@@ -216,12 +221,14 @@ def repeated_starts(rows: list[bytes], folder: str, length: int = LENGTH, symbol
             files["entries"] = np.insert(entries, np.searchsorted(entries, new), new)
         hit = np.flatnonzero(files.read("lcp", np.uint8) >= need)
         start = files.read("start", np.int64)
-        at = np.unique(np.concatenate([start[hit], start[hit - 1]]))
+        start_row = np.searchsorted(offset, start, side="right") - 1
+        counted = start[(start >= 0) & many[start_row] & (start - offset[start_row] + length <= sizes[start_row])]
+        at = np.unique(np.concatenate([start[hit], start[hit - 1], counted]))
     finally:
         files.close()
     row = np.searchsorted(offset, at, side="right") - 1
     cut = np.searchsorted(row, np.arange(len(rows) + 1))
-    return [at[cut[i] : cut[i + 1]] - offset[i] for i in range(len(rows))]
+    return [at[cut[i] : cut[i + 1]] - offset[i] for i in which]
 
 
 def _runs(starts: np.ndarray) -> list[tuple[int, int]]:
