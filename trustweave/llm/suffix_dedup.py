@@ -26,7 +26,7 @@ LENGTH, GRAM, MOST, SLAB = 200, 50, 256, 1 << 20
 #: Bytes of a symbol; a string is a whole number of them.
 SYMBOL = 40
 #: Rows that one collection has, and rows of an anchor beyond which its strings are dealt out one by one.
-COLLECTION, HOT = 500, 50_000
+COLLECTION, HOT = 2000, 50_000
 #: Very common anchors that a list names; more of them are told by a join.
 MOST_HOT = 1000
 _PIECE = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("many", pa.bool_()), ("first", pa.bool_()), ("doc_id", pa.int64()), ("tk", pa.int64()), ("lo", pa.int32()), ("bytes", pa.binary())])
