@@ -15,6 +15,7 @@ _AT = {
     "op8_source_mixing": ("mixing", "op8"),
     "op9_sentencepiece": ("piece_codec", "op9"),
     "op10_secret_scan": ("secret_scan", "op10"),
+    "op12_byte_bpe": ("byte_codec", "op12"),
 }
 
 
