@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +18,9 @@ CHUNK, OVERLAP = 1 << 16, 1 << 10
 #: Code points behind a boundary that decide whether it is one: the two letters of a contraction.
 LOOK = 2
 #: Pieces whose ids a task remembers, and code points of the longest of them.
-KNOWN, KNOWN_LENGTH = 1 << 18, 64
+KNOWN, KNOWN_LENGTH = 1 << 17, 64
+#: Code points or ids that a task holds as Python's objects at a time (a longer row alone).
+BLOCK = 1 << 20
 #: The pattern whose matches `cuts` finds; no alternative looks behind itself.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CONTRACTIONS = {1: ("s", "t", "m", "d"), 2: ("re", "ve", "ll")}
@@ -81,6 +84,15 @@ def lists_of(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat, kind))
 
 
+def blocks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts or lists have about BLOCK items."""
+    of = batch.column(column)
+    size = (pc.list_value_length if pa.types.is_list(of.type) else pc.utf8_length)(of).fill_null(0).to_numpy(zero_copy_only=False)
+    run = np.cumsum(size) // BLOCK
+    cut = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), batch.num_rows]
+    yield from (batch.slice(a, b - a) for a, b in zip(cut, cut[1:], strict=False) if b > a)
+
+
 class ByteCodec:
     """Ids of pieces, remembered up to a bound, and bytes of ids."""
 
@@ -131,7 +143,7 @@ def _marks(kind, overlap: int):
     """(key, k, head, tail): boundaries in what a chunk shares with the one before and the one behind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (block for b in batches for block in blocks(b, 4)):
             heads, tails = [], []
             for start, last, text in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 at = _sure(cuts(text, kind.value), len(text), last)
@@ -148,7 +160,7 @@ def _encode_chunks(tokens, kind, step: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ByteCodec(tokens.value, kind.value)
-        for batch in batches:
+        for batch in (block for b in batches for block in blocks(b, 5)):
             ids, rests = [], []
             for start, last, text, begin, end, met in zip(*(batch.column(i).to_pylist() for i in (2, 3, 5, 6, 7, 8)), strict=True):
                 if not met:
@@ -215,7 +227,7 @@ def encode(docs: DataFrame, ranks: str, text: str = "text", id_column: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = ByteCodec(tokens.value, kind.value)
-        for batch in batches:
+        for batch in (block for b in batches for block in blocks(b, 1)):
             yield pa.RecordBatch.from_arrays([batch.column(0), lists_of([codec.encode(t) for t in batch.column(1).to_pylist()], pa.int32())], ["doc_id", "ids"])
 
     short = each.filter(F.char_length("text") <= chunk).mapInArrow(run, f"doc_id {of}, ids array<int>")
@@ -243,7 +255,7 @@ def decode(encoded: DataFrame, ranks: str, ids: str = "ids", out: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = tokens.value
-        for batch in batches:
+        for batch in (block for b in batches for block in blocks(b, at)):
             rows = [None if i is None else b"".join(map(known.__getitem__, i)) for i in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.binary())], [*kept, out])
 
