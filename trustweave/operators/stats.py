@@ -17,6 +17,8 @@ from .solve import ridge_solve
 #: Rows a bucket has about (more, if the matrices are wide: then that many times their width), rows a product takes, and
 #: how many sums one level of the tree adds up.
 ROWS, WIDE, CHUNK, BRANCHES = 4096, 8, 1024, 16
+#: Tasks of one step; with more groups, a task takes several one after the other.
+MOST_TASKS = 50_000
 
 
 @dataclass(frozen=True)
@@ -49,11 +51,11 @@ def _emit(key: tuple, total: RidgeStatistics) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([client], pa.int64()), pa.array([bucket], pa.int64()), pa.array([len(total.a)], pa.int32()), pa.array([total.n]), pa.array([total.packed()], pa.list_(pa.float64()))], ["client", "bucket", "width", "n", "packed"])
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch | None]]:
-    """Runs of rows with the same first two columns; (key, None) ends each."""
+def by_key(batches: Iterator[pa.RecordBatch], columns: int = 2) -> Iterator[tuple[tuple, pa.RecordBatch | None]]:
+    """Runs of rows with the same first columns, whole numbers all; (key, None) ends each."""
     key = None
     for batch in batches:
-        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
+        keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(columns)], 1)
         cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         for lo, hi in zip([0, *cut], [*cut, len(keys)], strict=True):
             if lo == hi:
@@ -83,7 +85,7 @@ def _sum_rows(chunk: int):
                 total = part if total is None else total + part
             held, have = ([(x[end:], y[end:], w[end:])], len(x) - end) if end < len(x) else ([], 0)
 
-        for key, part in _by_key(batches):
+        for key, part in by_key(batches):
             if part is None:
                 if held:
                     add(True)
@@ -101,7 +103,7 @@ def _sum_rows(chunk: int):
 def _sum_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(client, parent bucket) of sums in the order of their buckets."""
     total = None
-    for key, part in _by_key(batches):
+    for key, part in by_key(batches):
         if part is None:
             yield _emit(key, total)
             total = None
@@ -111,16 +113,20 @@ def _sum_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = s if total is None else total + s
 
 
-def partial_statistics(df: DataFrame, phi: str, q: str, weight: str | None = None, client: str | None = None, rows: int | None = None, chunk: int = CHUNK) -> DataFrame:
-    """(client, bucket, width, n, packed): sums of w phi phi' and w phi q' of each client, in BRANCHES buckets at most.
+@dataclass(frozen=True)
+class Dealt:
+    """Rows (client, bucket, id, phi, q, w); deepest: binary logarithm of the most buckets of a client; buckets of all."""
 
-    The ids' hashes deal a client's rows to as many buckets as it has times `rows` rows, so tasks grow with the input. A
-    bucket's rows are summed in the order of their ids, `chunk` at a time, and buckets in a tree of BRANCHES, always the
-    same one: the sums are the same to the last bit however the rows are partitioned. A task holds a chunk and a matrix;
-    every row is shuffled once, and what a level of the tree shuffles is a BRANCHES-th of the level below.
+    rows: DataFrame
+    width: int
+    outputs: int
+    deepest: int
+    buckets: int
 
-    rows: rows a bucket has about; by default ROWS, or WIDE times the width. No rows give no rows.
-    """
+
+def deal(df: DataFrame, phi: str, q: str, weight: str | None = None, client: str | None = None, rows: int | None = None) -> Dealt:
+    """Rows in buckets by their ids' hashes: each client has as many buckets as it has times `rows` rows (by default ROWS,
+    or WIDE times the width), so tasks grow with the input. A row of another width than the first is refused."""
     each = df.select(
         (F.col(client) if client else F.lit(0)).cast("long").alias("client"),
         "id",
@@ -128,19 +134,35 @@ def partial_statistics(df: DataFrame, phi: str, q: str, weight: str | None = Non
         F.col(q).cast("array<double>").alias("q"),
         (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("w"),
     )
-    if rows is None:
-        first = each.select(F.size("phi").alias("n")).limit(1).collect()
-        rows = max(ROWS, WIDE * first[0]["n"]) if first else ROWS
+    first = each.select(F.size("phi").alias("n"), F.size("q").alias("m")).limit(1).collect()
+    width, outputs = (first[0]["n"], first[0]["m"]) if first else (0, 0)
+    rows = rows or max(ROWS, WIDE * width)
+    same = lambda c, n: F.when(F.size(c) == n, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} must have {n} values in every row")).cast("array<double>")).alias(c)
+    each = each.select("client", "id", same("phi", width), same("q", outputs), "w")
     if client is None:
-        deepest = int(np.ceil(np.log2(max(each.count() / rows, 1))))
-        dealt = each.withColumn("level", F.lit(deepest))
+        deepest = int(np.ceil(np.log2(max(df.count() / rows, 1))))
+        dealt, buckets = each.withColumn("level", F.lit(deepest)), 1 << deepest
     else:
-        sizes = each.groupBy("client").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.ceil(F.log2(F.greatest(F.col("n") / rows, F.lit(1.0)))).cast("int")).drop("n")
-        deepest = sizes.agg(F.max("level").alias("d")).collect()[0]["d"] or 0
+        sizes = df.groupBy(F.col(client).cast("long").alias("client")).agg(F.count(F.lit(1)).alias("n"))
+        sizes = sizes.withColumn("level", F.ceil(F.log2(F.greatest(F.col("n") / rows, F.lit(1.0)))).cast("int")).drop("n")
+        r = sizes.agg(F.max("level").alias("d"), F.sum(F.expr("shiftleft(1L, level)")).alias("n")).collect()[0]
+        deepest, buckets = r["d"] or 0, r["n"] or 0
         dealt = each.join(sizes, "client")
-    hashed = F.shiftrightunsigned(F.xxhash64("id"), 1)
-    dealt = dealt.select("client", F.pmod(hashed, F.expr("shiftleft(1L, level)")).alias("bucket"), "id", "phi", "q", "w")
-    out = dealt.repartition("client", "bucket").sortWithinPartitions("client", "bucket", "id").mapInArrow(_sum_rows(chunk), _PARTIAL)
+    bucket = F.pmod(F.shiftrightunsigned(F.xxhash64("id"), 1), F.expr("shiftleft(1L, level)")).alias("bucket")
+    return Dealt(dealt.select("client", bucket, "id", "phi", "q", "w"), width, outputs, deepest, buckets)
+
+
+def partial_statistics(df: DataFrame, phi: str, q: str, weight: str | None = None, client: str | None = None, rows: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(client, bucket, width, n, packed): sums of w phi phi' and w phi q' of each client, in BRANCHES buckets at most.
+
+    A bucket's rows (see deal) are summed in the order of their ids, `chunk` at a time, and buckets in a tree of BRANCHES,
+    always the same one: the sums are the same to the last bit however the rows are partitioned. A task holds a chunk and
+    a matrix; every row is shuffled once, and what a level of the tree shuffles is a BRANCHES-th of the level below. For
+    matrices that are too wide for one row, see tiles. No rows give no rows.
+    """
+    dealt = deal(df, phi, q, weight, client, rows)
+    deepest = dealt.deepest
+    out = in_tasks(dealt.rows, dealt.buckets, "client", "bucket").sortWithinPartitions("client", "bucket", "id").mapInArrow(_sum_rows(chunk), _PARTIAL)
     while deepest > np.log2(BRANCHES):
         # Buckets with the same lower bits are added; clients with fewer buckets stay as they are.
         deepest -= int(np.log2(BRANCHES))
@@ -149,6 +171,12 @@ def partial_statistics(df: DataFrame, phi: str, q: str, weight: str | None = Non
     return out
 
 
+def in_tasks(df: DataFrame, groups: int, *columns: str) -> DataFrame:
+    """df by columns, in as many tasks as there are groups where those are more than Spark's usual number."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(min(groups, MOST_TASKS), *columns) if groups > usual else df.repartition(*columns)
+
+
 def client_statistics(df: DataFrame, phi: str, q: str, weight: str | None = None, client: str | None = None, **more) -> dict[int, RidgeStatistics]:
     """Statistics of each client: its buckets' sums in order, one at a time on the driver. Weights must be positive."""
     if weight:
@@ -176,10 +204,6 @@ def combine(stats: list[RidgeStatistics], ridge: float) -> np.ndarray:
     return ridge_solve(total.a, total.b, ridge)
 
 
-def central_ridge(df: DataFrame, phi: str, q: str, ridge: float, weight: str | None = None) -> np.ndarray:
-    return combine([statistics(df, phi, q, weight)], ridge)
-
-
 def column_moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
     """Mean and population standard deviation of each place of the vectors."""
     rows = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()

@@ -14,8 +14,7 @@ from ..functions import exprs
 from .arrays import collected, with_array
 from .kernels import landmark_map, rbf
 from .sampling import landmarks, only_trusted
-from .solve import ridge_solve
-from .stats import statistics
+from .tiles import Tiles, tiled_ridge_solve, tiled_statistics
 
 
 @dataclass(frozen=True)
@@ -68,16 +67,16 @@ def target_digest(targets: DataFrame, q: str = "q") -> str:
     return hashlib.sha256(f"{r['s']}|{r['x']}|{r['n']}".encode()).hexdigest()
 
 
-def fit_linear(targets: DataFrame, config: Config | None = None, joint: str = "joint", q: str = "q", trusted: DataFrame | None = None, shared=None) -> Student:
+def fit_linear(targets: DataFrame, config: Config | None = None, joint: str = "joint", q: str = "q", trusted: DataFrame | None = None, shared: Tiles | None = None) -> Student:
     """Ridge weights with trusted rows counted trusted_weight times: the sums over all rows, which `shared` may bring along
-    from another fit on the same rows and targets, and a correction from the trusted rows."""
+    from another fit on the same rows and targets, and a correction from the trusted rows. Sums stay tiles on the
+    executors; see tiled_ridge_solve for what comes to the driver."""
     config = config or Config()
-    total = shared or statistics(targets, joint, q)
+    total = shared or tiled_statistics(targets, joint, q)
     if trusted is not None and config.trusted_weight != 1.0:
-        part = statistics(only_trusted(targets, trusted), joint, q)
-        extra = config.trusted_weight - 1.0
-        return Student(ridge_solve(total.a + extra * part.a, total.b + extra * part.b, config.linear_ridge))
-    return Student(ridge_solve(total.a, total.b, config.linear_ridge))
+        extra = tiled_statistics(only_trusted(targets, trusted), joint, q).scaled(config.trusted_weight - 1.0, 1)
+        total = total.plus(extra).combined()
+    return Student(tiled_ridge_solve(total, config.linear_ridge))
 
 
 def fit_landmark(targets: DataFrame, config: Config | None = None, joint: str = "joint", q: str = "q", landmark_ids: list[int] | None = None) -> Student:
@@ -91,5 +90,5 @@ def fit_landmark(targets: DataFrame, config: Config | None = None, joint: str =
     ids, marks = collected(chosen, "id", "joint")
     if len(ids) != config.landmarks:
         raise ValueError("a landmark id is not among the rows")
-    total = statistics(landmark_map(targets.select("id", joint, q), marks, config.landmark_gamma, joint), "phi", q)
-    return Student(ridge_solve(total.a, total.b, config.landmark_ridge), ids, marks, config.landmark_gamma)
+    total = tiled_statistics(landmark_map(targets.select("id", joint, q), marks, config.landmark_gamma, joint), "phi", q)
+    return Student(tiled_ridge_solve(total, config.landmark_ridge), ids, marks, config.landmark_gamma)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import exprs
-from ..operators import audit, features, kernels, pipeline, sampling, stats
+from ..operators import audit, features, kernels, pipeline, sampling, stats, tiles
 from ..operators.arrays import collected
 from ..operators.student import build_targets, fit_landmark, fit_linear
 from ..operators.teacher import fit_teacher
 from ..sources import images, model_store
+from ..sources.shared import Store, shared_dir
 from . import experiments
 
 SEED, PER_CLASS, LANDMARKS = 7, 5, 16
@@ -141,13 +141,13 @@ def untrusted_anti(spark, sf_dir):
     return sampling.untrusted(views(spark, sf_dir).select("id", "label"), trusted(spark, sf_dir))
 
 
-def _cells(spark, parts, right: bool = False):
-    """(client, i, j, v) of the upper triangles, or of the right-hand sides, of statistics by client."""
-    rows = []
-    for k, s in sorted(parts.items()):
-        cells = np.ndindex(s.b.shape) if right else zip(*np.triu_indices(len(s.a)), strict=True)
-        rows += [(k, int(i), int(j), float((s.b if right else s.a)[i, j])) for i, j in cells]
-    return spark.createDataFrame(rows, "client long, i int, j int, v double").withColumn("v", F.round("v", 6) + 0.0)
+def _cells(of: tiles.Tiles, right: bool = False):
+    """(client, i, j, v) of the upper triangles, or of the right-hand sides."""
+    return of.entries(right).withColumn("v", F.round("v", 6) + 0.0)
+
+
+#: Rows and columns of the tiles of these queries, so that their matrices have several.
+SMALL_TILE = 24
 
 
 def _with_targets(spark, sf_dir):
@@ -155,28 +155,26 @@ def _with_targets(spark, sf_dir):
 
 
 def gram_upper(spark, sf_dir):
-    return _cells(spark, {0: stats.statistics(_with_targets(spark, sf_dir), "joint", "q")}).drop("client")
+    return _cells(tiles.tiled_statistics(_with_targets(spark, sf_dir), "joint", "q", tile=SMALL_TILE)).drop("client")
 
 
 def gram_weighted(spark, sf_dir):
     t = trusted(spark, sf_dir).select("id", F.lit(True).alias("t"))
     rows = _with_targets(spark, sf_dir).join(t, "id", "left").withColumn("w", exprs.row_weight(F.coalesce("t", F.lit(False)), 10.0))
-    return _cells(spark, {0: stats.statistics(rows, "joint", "q", "w")}).drop("client")
+    return _cells(tiles.tiled_statistics(rows, "joint", "q", "w", tile=SMALL_TILE)).drop("client")
 
 
 def client_gram(spark, sf_dir):
-    return _cells(spark, stats.client_statistics(_with_targets(spark, sf_dir), "view_b", "q", None, "client"))
+    return _cells(tiles.tiled_statistics(_with_targets(spark, sf_dir), "view_b", "q", None, "client", tile=SMALL_TILE))
 
 
 def client_gram_sum(spark, sf_dir):
-    """The clients' sums added up, packed and unpacked on the way."""
-    parts = stats.client_statistics(_with_targets(spark, sf_dir), "view_b", "q", None, "client", rows=40)
-    total = sum((stats.RidgeStatistics.unpack(p.packed(), 32, p.n) for _, p in sorted(parts.items())), start=stats.RidgeStatistics(np.zeros((32, 32)), np.zeros((32, 10)), 0))
-    return _cells(spark, {0: total}).drop("client")
+    """The clients' sums added up on the executors."""
+    return _cells(tiles.tiled_statistics(_with_targets(spark, sf_dir), "view_b", "q", None, "client", tile=SMALL_TILE, rows=40).combined()).drop("client")
 
 
 def rhs_targets(spark, sf_dir):
-    return _cells(spark, {0: stats.statistics(_with_targets(spark, sf_dir), "joint", "q")}, True).select("i", F.col("j").alias("c"), "v")
+    return _cells(tiles.tiled_statistics(_with_targets(spark, sf_dir), "joint", "q", tile=SMALL_TILE), True).select("i", F.col("j").alias("c"), "v")
 
 
 def lineitem_gram(spark, sf_dir):
@@ -287,8 +285,7 @@ def image_layout(spark, sf_dir):
 
 
 def _folder(spark, name: str) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='trustweave-')}"
-    return f"{at}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def image_records(spark, sf_dir):
@@ -387,7 +384,7 @@ def student_weights(spark, sf_dir):
 
 
 def central_weights(spark, sf_dir):
-    return _weights(spark, stats.central_ridge(_with_targets(spark, sf_dir), "joint", "q", 1.0))
+    return _weights(spark, tiles.central_ridge(_with_targets(spark, sf_dir), "joint", "q", 1.0))
 
 
 def landmark_features(spark, sf_dir):
@@ -430,16 +427,17 @@ def mutation_audit(spark, sf_dir):
     v, t = _features(spark, sf_dir), trusted(spark, sf_dir)
     labels = _known(spark, sf_dir).select("id", F.col("label").cast("string").alias("label"))
     other = sentinel_labels(spark, sf_dir)
-    r = audit.mutation_audit(v, t, labels, other, Config())
+    r = audit.mutation_audit(v, t, labels, other, Config()).frame
     mutated = labels.join(other.select("id", F.col("label").alias("o")), "id").filter("label <> o").count()
-    return spark.createDataFrame([(mutated, r.target_max_diff, r.student_weight_max_diff, r.target_hash_a == r.target_hash_b and r.weight_hash_a == r.weight_hash_b, r.passed)], "mutated long, target_max_diff double, weight_max_diff double, same_digests boolean, passed boolean")
+    same = (F.col("target_hash_a") == F.col("target_hash_b")) & (F.col("weight_hash_a") == F.col("weight_hash_b"))
+    return r.select(F.lit(mutated).cast("long").alias("mutated"), "target_max_diff", F.col("student_weight_max_diff").alias("weight_max_diff"), same.alias("same_digests"), "passed")
 
 
 def federated_audit(spark, sf_dir):
     """Weights out of the sums of seven clients, and out of all rows at once."""
     rows = _with_targets(spark, sf_dir).withColumn("client", F.pmod("id", F.lit(7)))
-    parts = stats.client_statistics(rows, "joint", "q", None, "client")
-    federated, central = stats.combine([parts[k] for k in sorted(parts)], 1.0), stats.central_ridge(rows, "joint", "q", 1.0)
+    parts = tiles.tiled_statistics(rows, "joint", "q", None, "client", tile=32).kept(Store(spark, "clients"))
+    federated, central = tiles.combine_tiles(parts, 1.0, direct=32), tiles.central_ridge(rows, "joint", "q", 1.0)
     d = audit.federated_audit(rows, 1.0, "joint")
     both = _weights(spark, federated).withColumnRenamed("w", "federated").join(_weights(spark, central).withColumnRenamed("w", "central"), ["i", "c"])
     return both.withColumn("max_weight_diff", F.lit(round(d, 9)))

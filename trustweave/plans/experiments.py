@@ -15,9 +15,11 @@ from ..operators.kernels import landmark_map
 from ..operators.pipeline import fit
 from ..operators.sampling import active_clients, balanced_sample, dirichlet_shares, largest_clients, only_trusted, owners
 from ..operators.solve import ridge_solve
-from ..operators.stats import client_statistics, combine, largest_difference, statistics
+from ..operators.stats import largest_difference, statistics
 from ..operators.student import Student, build_targets
 from ..operators.teacher import fit_teacher
+from ..operators.tiles import central_ridge, combine_tiles, tiled_statistics
+from ..sources.shared import Store
 
 
 def _rate(scored: DataFrame, labels: DataFrame) -> float:
@@ -50,8 +52,8 @@ def condition(train: DataFrame, labels: DataFrame, test: DataFrame, test_labels:
     more = {}
     if mutated:
         text = known.select("id", F.col("label").cast("string").alias("label"))
-        r = mutation_audit(train, trusted, text, known.select("id", exprs.sentinel(F.col("label"), F.col("_t")).alias("label")), config)
-        more = {"target_max_diff": r.target_max_diff, "weight_max_diff": r.student_weight_max_diff}
+        r = mutation_audit(train, trusted, text, known.select("id", exprs.sentinel(F.col("label"), F.col("_t")).alias("label")), config).to_dict()
+        more = {"target_max_diff": r["target_max_diff"], "weight_max_diff": r["student_weight_max_diff"]}
     return more | {
         "per_class": per_class, "seed": seed, "trusted": per_class * c, "teacher_accuracy": _rate(teacher, test_labels), "student_accuracy": _rate(m.predict(test), test_labels),
         "trusted_only_accuracy": rate(alone), "all_label_accuracy": rate(both[:, :c]), "flipped_accuracy": rate(both[:, c:]), "seconds": time.time() - began,
@@ -77,21 +79,22 @@ def federated_condition(train: DataFrame, labels: DataFrame, trusted: DataFrame,
     rows = q.join(owned.select("id", "client", "label"), "id").persist()
     held = test.select("id", "joint").join(owners(test_labels, shares, seed).select("id", "client", "label"), "id").persist()
     try:
-        parts = client_statistics(rows, "joint", "q", None, "client")
-        central = statistics(rows, "joint", "q")
-        scored = Student(combine(list(parts.values()), ridge)).predict(held)
+        parts = tiled_statistics(rows, "joint", "q", None, "client").kept(Store(spark, "clients"))
+        weights, central = combine_tiles(parts, ridge), central_ridge(rows, "joint", "q", ridge)
+        scored = Student(weights).predict(held)
         by = client_accuracy(scored).agg(F.min("accuracy").alias("worst"), F.var_samp("accuracy").alias("variance")).collect()[0]
         big = [r["client"] for r in largest_clients(owned, 2).collect()]
         bad = rows.withColumn("q", exprs.one_hot(exprs.flipped(F.col("label"), config.classes, F.col("client").isin(big)), config.classes))
-        naive = statistics(bad, "joint", "q")
+        naive = central_ridge(bad, "joint", "q", ridge)
+        holding = [r["client"] for r in owned.select("client").distinct().collect()]  # one number a client
         every = spark.range(clients).select(F.col("id").cast("int").alias("client"))
-        taking = [(rate, r, _accuracy(Student(combine([parts[x["client"]] for x in active_clients(every.filter(F.col("client").isin(list(parts))), rate, r, seed).collect()], ridge)), held)) for rate in (1.0, 0.8, 0.5) for r in range(repeats)]
+        taking = [(rate, r, _accuracy(Student(combine_tiles(parts.of([x["client"] for x in active_clients(every.filter(F.col("client").isin(holding)), rate, r, seed).collect()]), ridge)), held)) for rate in (1.0, 0.8, 0.5) for r in range(repeats)]
         sizes = client_sizes(owned, every).agg(F.min("n").alias("smallest_client"), F.max("n").alias("largest_client"), F.sum((F.col("n") == 0).cast("int")).alias("empty_clients")).collect()[0]
         summed = participation_summary(spark.createDataFrame(taking, "rate double, repeat int, accuracy double")).orderBy("rate").collect()
         return sizes.asDict() | {
-            "alpha": alpha, "seed": seed, "weight_diff": largest_difference(ridge_solve(central.a, central.b, ridge), combine(list(parts.values()), ridge)),
+            "alpha": alpha, "seed": seed, "weight_diff": largest_difference(central, weights),
             "accuracy": scored.agg(exprs.accuracy(F.col("prediction"), F.col("label")).alias("a")).collect()[0]["a"], "worst_client": by["worst"], "client_variance": by["variance"],
-            "naive_accuracy": _accuracy(Student(ridge_solve(naive.a, naive.b, ridge)), held), "participation": [r.asDict() for r in summed],
+            "naive_accuracy": _accuracy(Student(naive), held), "participation": [r.asDict() for r in summed],
         }
     finally:
         rows.unpersist()
@@ -234,8 +237,7 @@ def placeholder_check(rows: DataFrame, classes: int, ridge: float) -> float:
     """Federated against central weights with the same target in every class."""
     u = F.array(*[F.lit(1.0 / classes)] * classes)
     same = rows.withColumn("q", u)
-    parts = client_statistics(same, "phi", "q", "w", "client")
-    whole = statistics(same, "phi", "q", "w")
-    return largest_difference(combine([parts[k] for k in sorted(parts)], ridge), ridge_solve(whole.a, whole.b, ridge))
+    parts = tiled_statistics(same, "phi", "q", "w", "client").kept(Store(rows.sparkSession, "clients"))
+    return largest_difference(combine_tiles(parts, ridge), central_ridge(same, "phi", "q", ridge, "w"))
 
 
