@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import Features
 from ..functions.checks import check_vectors
@@ -30,6 +31,21 @@ def from_bytes(images: DataFrame, pixels: str = "pixels") -> DataFrame:
     return images.withColumn(pixels, F.transform(F.col(pixels).cast("array<double>"), lambda x: x / 255.0))
 
 
+def from_blobs(images: DataFrame, blob: str = "bytes", out: str = "pixels", raw: bool = False) -> DataFrame:
+    """Images whose pixels are bytes as arrays of numbers from 0 to 1 (raw: as whole numbers); the bytes go."""
+    kept = [f for f in images.schema.fields if f.name not in (blob, out)]
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [np.frombuffer(b.as_buffer(), np.uint8).astype(np.float32) for b in batch.column(len(kept))]
+            flat = np.concatenate(x) if x else np.empty(0, np.float32)
+            off = pa.array(np.cumsum([0, *map(len, x)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(off, pa.array(flat if raw else flat / np.float32(255)))], schema.names)
+
+    return images.select(*(f.name for f in kept), blob).mapInArrow(run, schema)
+
+
 def from_rows(images: DataFrame, pixels: str = "pixels") -> DataFrame:
     """Row, column, channel order as channel, row, column."""
     each, n = F.sequence(F.lit(0), F.lit(PIXELS - 1)), SIDE * SIDE

@@ -14,7 +14,7 @@ from ..operators import audit, features, kernels, pipeline, sampling, stats, til
 from ..operators.arrays import collected
 from ..operators.student import build_targets, fit_landmark, fit_linear
 from ..operators.teacher import fit_teacher
-from ..sources import images, model_store
+from ..sources import images, model_store, records
 from ..sources.shared import Store, shared_dir
 from . import experiments
 
@@ -276,10 +276,19 @@ def centroid_update(spark, sf_dir):
     return spark.createDataFrame([(k, i, round(float(c[k, i]), 6) + 0.0) for k, i in np.ndindex(c.shape)], "centroid int, i int, x double")
 
 
+def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, label, bytes): the UTF-8 bytes of all texts in pieces of 3,072, the last one of a text filled up with zeros."""
+    body = F.col("text").cast("binary")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter(F.octet_length("text") > 0).select("doc_id", body.alias("b"))
+    n = F.ceil(F.octet_length("b") / 3072).cast("int")
+    each = docs.select("doc_id", "b", F.explode(F.sequence(F.lit(0), n - 1)).alias("k"))
+    piece = F.rpad(F.substring("b", F.col("k") * 3072 + 1, F.lit(3072)), 3072, F.lit(b"\x00"))
+    return each.select((F.col("doc_id") * 1000 + F.col("k")).alias("id"), F.pmod("doc_id", F.lit(10)).cast("int").alias("label"), piece.alias("bytes"))
+
+
 def image_layout(spark, sf_dir):
     """Bytes by row, column and channel as values by channel, row and column, summed up with their places."""
-    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"))
-    raw = ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(3071)), lambda p: F.pmod(F.col("id") * 31 + p * p * 7 + p * 13, F.lit(256)).cast("int")).alias("pixels"))
+    raw = features.from_blobs(_blobs(spark, sf_dir).select("id", "bytes"), raw=True)
     made = features.from_rows(features.from_bytes(raw))
     return made.select("id", F.round(exprs.total(F.transform("pixels", lambda x, i: x * i)), 4).alias("s"))
 
@@ -289,17 +298,12 @@ def _folder(spark, name: str) -> str:
 
 
 def image_records(spark, sf_dir):
-    """Six files of four records of a formula, written and read as values and as labels only."""
+    """All pieces of the texts written as files of records, and read as whole numbers and as labels only."""
     at = _folder(spark, "images")
-    jvm = spark.sparkContext._jvm
-    for f, name in enumerate([*images.TRAIN, *images.TEST]):
-        path = jvm.org.apache.hadoop.fs.Path(f"{at}/{name}")
-        out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
-        record = lambda r: bytes([(f + r) % 10, *((f * 37 + r * 11 + k * k) % 256 for k in range(3072))])  # noqa: B023, E731
-        out.write(bytearray(b"".join(map(record, range(4)))))
-        out.close()
-    rows = images.read_folder(spark, at).select("id", "split", "file", "record", F.round(exprs.total(F.transform("pixels", lambda x: x.cast("double"))), 3).alias("s"))
-    return rows.join(images.read_labels(spark, at).select("id", "label"), "id").drop("id")
+    records.write_fixed(_blobs(spark, sf_dir), at, images.RECORD)
+    places = lambda x, i: x.cast("long") * (i + 1)
+    rows = images.read_records(spark, at, raw=True).select("file", "record", F.aggregate(F.transform("pixels", places), F.lit(0).cast("long"), lambda s, x: s + x).alias("s"))
+    return rows.join(records.read_fixed(spark, at, images.RECORD, labels=True), ["file", "record"]).select("label", "s")
 
 
 def csv_round_trip(spark, sf_dir):
@@ -320,9 +324,8 @@ def cached_features(spark, sf_dir):
 
 
 def _pixels(spark, sf_dir):
-    """Images of a formula over the rows of the embeddings."""
-    ids = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"))
-    return ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(3071)), lambda p: F.pmod(F.col("id") * 31 + p * p * 7 + p * 13, F.lit(256)) / 255.0).alias("pixels"))
+    """Images whose pixels are the bytes of the texts."""
+    return features.from_blobs(_blobs(spark, sf_dir).select("id", "bytes"))
 
 
 def block_mean(spark, sf_dir):
@@ -546,20 +549,22 @@ def _each_weight(n="", name="w"):
     return f"SELECT CAST(i - 1 AS INT) AS i, CAST(c AS INT) AS c, round(x[c + 1], 6) + 0.0 AS {name} FROM sw{n}, (SELECT unnest(range(10)) AS c)"
 
 
-_GREY = """p AS (SELECT vec_id AS id, unnest(range(1024)) AS k FROM embeddings),
-g AS (SELECT id, k // 32 AS r, k % 32 AS c, CAST(0.299 AS FLOAT) * CAST(((id * 31 + k * k * 7 + k * 13) % 256) / 255.0::DOUBLE AS FLOAT)
-  + CAST(0.587 AS FLOAT) * CAST(((id * 31 + (k + 1024) * (k + 1024) * 7 + (k + 1024) * 13) % 256) / 255.0::DOUBLE AS FLOAT)
-  + CAST(0.114 AS FLOAT) * CAST(((id * 31 + (k + 2048) * (k + 2048) * 7 + (k + 2048) * 13) % 256) / 255.0::DOUBLE AS FLOAT) AS x FROM p),
+_BYTES = """blob AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text <> ''),
+piece AS (SELECT doc_id * 1000 + k AS id, doc_id % 10 AS label, rpad(substr(h, k * 6144 + 1, 6144), 6144, '0') AS h FROM blob, unnest(range((len(h) + 6143) // 6144)) AS g(k)),
+byte AS (SELECT id, label, k, CAST('0x' || substr(h, 2 * k + 1, 2) AS INT) AS b FROM piece, range(3072) AS g(k))"""
+_AT = "CAST(CAST('0x' || substr(h, 2 * (k + {0}) + 1, 2) AS INT) AS FLOAT) / CAST(255 AS FLOAT)"
+_GREY = f"""{_BYTES},
+g AS (SELECT id, k // 32 AS r, k % 32 AS c, CAST(0.299 AS FLOAT) * ({_AT.format(0)}) + CAST(0.587 AS FLOAT) * ({_AT.format(1024)}) + CAST(0.114 AS FLOAT) * ({_AT.format(2048)}) AS x FROM piece, range(1024) AS g(k)),
 n AS (SELECT id, r, c, lead(x) OVER (PARTITION BY id, r ORDER BY c) - lag(x) OVER (PARTITION BY id, r ORDER BY c) AS dx,
   lead(x) OVER (PARTITION BY id, c ORDER BY r) - lag(x) OVER (PARTITION BY id, c ORDER BY r) AS dy FROM g),
 d AS (SELECT id, (r - 1) // 4 AS r, (c - 1) // 4 AS c, sqrt(CAST(dx * dx + dy * dy AS DOUBLE)) AS s, CAST(atan2(CAST(dy AS DOUBLE), CAST(dx AS DOUBLE)) AS FLOAT) AS a
   FROM n WHERE r BETWEEN 1 AND 30 AND c BETWEEN 1 AND 30),
-b AS (SELECT id, r, c, s, least(CAST(floor((CASE WHEN a < 0 THEN a + pi() ELSE a END) * (9 / pi())) AS INT), 8) AS bin FROM d),
+b AS (SELECT id, r, c, s, least(CAST(floor((CASE WHEN a < 0 THEN a + pi() WHEN a >= CAST(pi() AS FLOAT) THEN 0 ELSE a END) * (9 / pi())) AS INT), 8) AS bin FROM d),
 h AS (SELECT id, r, c, bin, sqrt(sum(s)) AS h FROM b GROUP BY id, r, c, bin)"""
 
 
 _ARGMAX = "list_position(e[1:10], list_max(e[1:10])) - 1"
-_PIX = "p AS (SELECT vec_id AS id, unnest(range(3072)) AS k FROM embeddings), q AS (SELECT id, k // 1024 * 16 + (k % 1024 // 32) // 8 * 4 + (k % 32) // 8 AS i, ((id * 31 + k * k * 7 + k * 13) % 256) / 255.0::DOUBLE AS x FROM p), b AS (SELECT id, i, avg(x) AS x FROM q GROUP BY id, i)"
+_PIX = f"{_BYTES}, q AS (SELECT id, k // 1024 * 16 + (k % 1024 // 32) // 8 * 4 + (k % 32) // 8 AS i, CAST(CAST(b AS FLOAT) / CAST(255 AS FLOAT) AS DOUBLE) AS x FROM byte), b AS (SELECT id, i, avg(x) AS x FROM q GROUP BY id, i)"
 
 
 def oracle_sql():
@@ -621,8 +626,8 @@ SELECT per_class, n, round(lm, 6) AS left_mean, round(ls, 6) AS left_std, round(
   round(gain + tq * err, 6) AS gain_high, CAST(wins AS BIGINT) AS wins, CAST(ties AS BIGINT) AS ties, CAST(losses AS BIGINT) AS losses, round(top, 6) AS left_max,
   round(1 - abs(sin(th)) * (1 + cos(th) * cos(th) / 2), 6) AS p_value, round(p, 6) AS signed_rank_p FROM y JOIN sr USING (per_class)""",
         "centroid_update": f"WITH {_E}, c AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, joint AS a FROM (SELECT id, joint FROM v ORDER BY id LIMIT 8)), d AS (SELECT v.id, k, joint, row_number() OVER (PARTITION BY v.id ORDER BY {_distance('joint', 'a')}, k) AS rk FROM v, c), x AS (SELECT k, unnest(joint) AS x, generate_subscripts(joint, 1) - 1 AS i FROM d WHERE rk = 1) SELECT CAST(k AS INT) AS centroid, CAST(i AS INT) AS i, round(avg(x), 6) + 0.0 AS x FROM x GROUP BY k, i",
-        "image_layout": "WITH p AS (SELECT vec_id AS id, unnest(range(3072)) AS i FROM embeddings), q AS (SELECT id, i, i % 1024 * 3 + i // 1024 AS k FROM p) SELECT id, round(sum(((id * 31 + k * k * 7 + k * 13) % 256) / 255.0::DOUBLE * i), 4) AS s FROM q GROUP BY id",
-        "image_records": "WITH f AS (SELECT unnest(range(6)) AS f), r AS (SELECT unnest(range(4)) AS r), k AS (SELECT unnest(range(3072)) AS k) SELECT CASE WHEN f < 5 THEN 'train' ELSE 'test' END AS split, CAST(f AS INT) AS file, r AS record, round(sum(CAST(CAST(((f * 37 + r * 11 + k * k) % 256) AS FLOAT) / CAST(255 AS FLOAT) AS DOUBLE)), 3) AS s, CAST((f + r) % 10 AS INT) AS label FROM f, r, k GROUP BY f, r",
+        "image_layout": f"WITH {_BYTES} SELECT id, round(sum(b / 255.0::DOUBLE * (k % 3 * 1024 + k // 3)), 4) AS s FROM byte GROUP BY id",
+        "image_records": f"WITH {_BYTES} SELECT CAST(label AS INT) AS label, CAST(sum(b * (k + 1)) AS BIGINT) AS s FROM byte GROUP BY id, label",
         "csv_round_trip": "SELECT doc_id, quality, toxic FROM labels",
         "cached_features": f"WITH {_PIX} SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM b",
         "grad_hist": f"WITH {_GREY}, u AS (SELECT id, greatest(sqrt(sum(h * h)), 1e-12) AS n, sum(h) AS s FROM h GROUP BY id) SELECT id, round(s / n, 3) AS s FROM u",

@@ -2,60 +2,42 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.features import from_blobs
+from .records import read_fixed
+
 RECORD = 3073
 #: Fixed names of the files, in order.
 TRAIN, TEST = [f"data_batch_{i}.bin" for i in range(1, 6)], ["test_batch.bin"]
 
 
-def read_records(spark: SparkSession, path: str, raw: bool = False) -> DataFrame:
-    """(record, label, pixels): pixels from 0 to 1, or whole numbers if raw."""
+def read_records(spark: SparkSession, path: str | list[str], raw: bool = False) -> DataFrame:
+    """(file, record, label, pixels): pixels from 0 to 1, or whole numbers if raw. A record's number is its place in its
+    file; files are numbered in the order of their paths."""
+    return from_blobs(read_fixed(spark, path, RECORD), raw=raw)
 
-    def run(batches):
-        for batch in batches:
-            x = np.stack([np.frombuffer(b.as_py(), np.uint8) for b in batch.column(1)]) if batch.num_rows else np.zeros((0, RECORD), np.uint8)
-            pixels = x[:, 1:].astype(np.float32) if raw else x[:, 1:].astype(np.float32) / np.float32(255)
-            off = pa.array(np.arange(len(x) + 1) * (RECORD - 1), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0].astype(np.int32)), pa.ListArray.from_arrays(off, pa.array(pixels.ravel()))], ["record", "label", "pixels"])
 
-    return _records(spark, path).mapInArrow(run, "record long, label int, pixels array<float>")
+def _fixed(spark: SparkSession, folder: str, labels: bool = False) -> DataFrame:
+    names = [*TRAIN, *TEST]
+    return read_fixed(spark, [f"{folder}/{n}" for n in names], RECORD, labels, names=names)
 
 
-def _records(spark: SparkSession, path: str) -> DataFrame:
-    """(record, bytes). A file of any other length is refused, as is known before a record is read. A record's number is
-    its place in the file."""
-    sizes = spark.read.format("binaryFile").load(path).select("path", "length").orderBy("path").collect()
-    if not sizes:
-        raise ValueError(f"there is no file at {path}")
-    if bad := [r["path"] for r in sizes if r["length"] % RECORD]:
-        raise ValueError(f"{bad[0]} is not made of records of {RECORD} bytes")
-    records = spark.sparkContext.binaryRecords(path, RECORD).zipWithIndex().map(lambda r: (r[1], r[0]))
-    return spark.createDataFrame(records, "record long, bytes binary")
+def _folder(rows: DataFrame) -> DataFrame:
+    split = F.when(F.col("file") < len(TRAIN), "train").otherwise("test")
+    at = (F.col("file").cast("long") * 1_000_000_000 + F.col("record")).alias("id")
+    return rows.select(split.alias("split"), "file", "record", at, *(c for c in rows.columns if c not in ("file", "record")))
 
 
 def read_folder(spark: SparkSession, folder: str, raw: bool = False) -> DataFrame:
     """(split, file, record, id, label, pixels) of the training files in order and the test file; ids by file and record."""
-    return _folder(lambda path: read_records(spark, path, raw), folder)
-
-
-def _folder(read, folder: str) -> DataFrame:
-    out = None
-    files = [("train", n) for n in TRAIN] + [("test", n) for n in TEST]
-    for i, (split, name) in enumerate(files):
-        at = (F.lit(i).cast("long") * 1_000_000_000 + F.col("record")).alias("id")
-        rows = read(f"{folder}/{name}")
-        part = rows.select(F.lit(split).alias("split"), F.lit(i).alias("file"), "record", at, *(c for c in rows.columns if c != "record"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _folder(from_blobs(_fixed(spark, folder), raw=raw))
 
 
 def read_labels(spark: SparkSession, folder: str) -> DataFrame:
-    """(split, file, record, id, label): of each record only the first byte leaves the JVM's reader."""
-    return _folder(lambda path: _records(spark, path).select("record", F.conv(F.hex(F.substring("bytes", 1, 1)), 16, 10).cast("int").alias("label")), folder)
+    """(split, file, record, id, label): of each record one number leaves the reader; ranges of bytes are read as wholes."""
+    return _folder(_fixed(spark, folder, labels=True))
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
