@@ -194,9 +194,6 @@ def test_sampling_and_solvers(spark, given):
     a = np.random.default_rng(0).normal(size=(40, 6))
     cov = np.cov(a, rowvar=False)
     assert np.allclose(np.cov((a @ solve.zca(cov, 1e-12)), rowvar=False), np.eye(6), atol=1e-6)
-    c = features.lloyd(np.array([[0.0], [0.1], [5.0], [5.1]]), np.array([[0.0], [5.0]]), 5)
-    assert np.allclose(c.ravel(), [0.05, 5.05])
-    assert features.lloyd(np.zeros((4, 1)), np.array([[0.0], [9.0]]), 2).shape == (2, 1)
     assert np.allclose(kernels.rbf(a, a, 0.5), np.exp(-0.5 * ((a[:, None] - a) ** 2).sum(2)))
 
 

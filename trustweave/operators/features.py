@@ -14,10 +14,12 @@ from pyspark.sql import types as T
 from ..config import Features
 from ..functions.checks import check_vectors
 from ..functions.exprs import let
-from .arrays import lists, matrix, with_array
-from .sampling import patch_places
+from ..sources.shared import Store
+from .arrays import collected, lists, matrix, with_array
+from .clusters import lloyd
+from .sampling import patch_places, sample
 from .solve import zca
-from .stats import column_moments
+from .stats import column_moments, moments
 
 #: Weights of red, green and blue in a grey value.
 GREY = (0.299, 0.587, 0.114)
@@ -149,77 +151,39 @@ def all_patches(x: np.ndarray, n: int) -> Iterator[np.ndarray]:
         yield v.transpose(0, 1, 3, 4, 2).reshape(-1, n * n * 3)
 
 
-def lloyd(points: np.ndarray, start: np.ndarray, iterations: int, seed: int = 0, chunk: int = 50_000) -> np.ndarray:
-    """A fixed number of rounds; of equally near centroids the first; an empty cluster starts anew from a drawn point."""
-    draw = np.random.default_rng(seed)
-    c = start.astype(points.dtype).copy()
-    k = len(c)
-    for _ in range(iterations):
-        c2 = (c * c).sum(1)
-        to = np.concatenate([(c2 - 2 * points[a : a + chunk] @ c.T).argmin(1) for a in range(0, len(points), chunk)])
-        order = np.argsort(to, kind="stable")
-        n = np.bincount(to, minlength=k)
-        full = np.flatnonzero(n)
-        c = c.copy()
-        c[full] = np.add.reduceat(points[order], np.concatenate(([0], np.cumsum(n[full])[:-1])), axis=0) / n[full, None]
-        if (n == 0).any():
-            c[n == 0] = points[draw.choice(len(points), int((n == 0).sum()), replace=False)]
-    return c
-
-
-def sample_patches(images: DataFrame, config: Features) -> np.ndarray:
-    """normalised patches on the driver: drawn places of images numbered in the order of their ids by ranges.
-
-    Rows go to the driver as drawn patches only (patches * 3 * patch_side^2 floats), never as images."""
-    n = images.count()
-    if not n:
+def sample_patches(images: DataFrame, config: Features) -> DataFrame:
+    """(id, patch): normalised patches at drawn places, id being the number of the draw. Images stay where they lie: the
+    draws go to them (config.patches rows), and what comes out is patches."""
+    if images.isEmpty():
         raise ValueError("there are no images")
     size = config.patch_side
-    places = patch_places(n, config.patches, SIDE + 1 - size, config.seed)
-    spark = images.sparkSession
-    parts = images.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo")).orderBy("lo").collect()
-    lows = np.array([r["lo"] for r in parts])
-    before = np.cumsum([0] + [r["n"] for r in parts[:-1]])
-    shared = spark.sparkContext.broadcast((lows, before, places[np.lexsort((np.arange(len(places)), places[:, 0]))]))
-    edges = F.array(*[F.lit(int(x)) for x in lows])
-    part = F.size(F.filter(edges, lambda e: e <= F.col("id"))) - 1
-    dealt = images.select(part.alias("part"), "id", "pixels").repartition("part").sortWithinPartitions("part", "id")
+    places = patch_places(images, config.patches, SIDE + 1 - size, config.seed)
+    by_image = places.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "row", "column"))).alias("drawn"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, first, drawn = shared.value
-        at: dict[int, int] = {}
         for batch in batches:
-            x = matrix(batch.column(2))
-            out, order = [], []
-            for i, p in enumerate(batch.column(0).to_pylist()):
-                rank = first[p] + at.get(p, 0)
-                at[p] = at.get(p, 0) + 1
-                lo, hi = np.searchsorted(drawn[:, 0], [rank, rank + 1])
-                if lo == hi:
-                    continue
-                im = (x[i] * 255.0).astype(np.float32).reshape(3, SIDE, SIDE).transpose(1, 2, 0)
-                for j in range(lo, hi):
-                    r, c = drawn[j, 1:]
-                    out.append(im[r : r + size, c : c + size].ravel())
-                    order.append(j)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), lists(np.array(out, np.float32))], ["at", "patch"])
-
-    rows = dealt.mapInArrow(run, "at long, patch array<float>").toArrow()
-    p = matrix(rows["patch"].combine_chunks(), np.float32)[np.argsort(rows["at"].to_numpy())]
-    return patch_norm(p, config.patch_floor)
+            for drawn, x in zip(batch.column(0).to_pylist(), matrix(batch.column(1)), strict=True):
+                im = (x * 255.0).astype(np.float32).reshape(3, SIDE, SIDE).transpose(1, 2, 0)
+                out = np.array([im[d["row"] : d["row"] + size, d["column"] : d["column"] + size].ravel() for d in drawn])
+                yield pa.RecordBatch.from_arrays([pa.array([d["at"] for d in drawn], pa.int64()), lists(patch_norm(out, config.patch_floor).astype(float))], ["id", "patch"])
+
+    return images.select("id", "pixels").join(F.broadcast(by_image), "id").select("drawn", "pixels").mapInArrow(run, "id long, patch array<double>")
 
 
 def fit_patches(images: DataFrame, config: Features | None = None) -> PatchModel:
+    """Dictionary of patches: drawn, whitened and clustered on the executors; what comes to the driver are their
+    moments, the centroids and the moments of the images' codes."""
     config = config or Features()
-    p = sample_patches(images, config).astype(float)
-    mean = p.mean(0)
-    white = zca(np.cov(p - mean, rowvar=False), config.whitening_floor).astype(np.float32)
-    points = ((p - mean) @ white).astype(np.float32)
-    start = points[np.random.default_rng(config.seed).choice(len(points), config.centroids, replace=False)]
-    centroids = lloyd(points, start, config.rounds, config.seed)
+    store = Store(images.sparkSession, "patches")
+    patches = store.put(sample_patches(images, config), "drawn")
+    m = moments(patches, "patch", cross=True)
+    white = zca(m.covariance(), config.whitening_floor).astype(np.float32)
+    mean = m.mean
+    points = store.put(with_array(patches, "x", ["patch"], lambda p: ((p - mean) @ white).astype(np.float32).astype(float)).select("id", "x"), "points")
+    start = collected(sample(points, config.centroids, config.seed), "x")[0]
+    centroids = lloyd(points, start, config.rounds, config.seed).astype(np.float32)
     one = PatchModel(mean.astype(np.float32), white, centroids, np.zeros(4 * config.centroids), np.ones(4 * config.centroids), config)
     shared = images.sparkSession.sparkContext.broadcast(one)
     raw = with_array(images.select("id", "pixels"), "f", ["pixels"], lambda x: np.sqrt(shared.value.encode(x).astype(float)), IMAGES)
-    m, s = column_moments(raw.select("f"), "f")
-    return PatchModel(one.patch_mean, white, centroids, m, s + config.scale_floor, config)
+    mean, deviation = column_moments(raw.select("id", "f"), "f")
+    return PatchModel(one.patch_mean, white, centroids, mean, deviation + config.scale_floor, config)

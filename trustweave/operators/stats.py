@@ -204,10 +204,104 @@ def combine(stats: list[RidgeStatistics], ridge: float) -> np.ndarray:
     return ridge_solve(total.a, total.b, ridge)
 
 
+@dataclass(frozen=True)
+class Moments:
+    """Number of vectors, their mean, and sums of squared deviations by place, or of all products of deviations."""
+
+    n: int
+    mean: np.ndarray
+    deviations: np.ndarray
+
+    def __add__(self, other: Moments) -> Moments:
+        n, d = self.n + other.n, other.mean - self.mean
+        apart = np.outer(d, d) if self.deviations.ndim == 2 else d * d
+        return Moments(n, self.mean + d * (other.n / n), self.deviations + other.deviations + apart * (self.n * other.n / n))
+
+    @classmethod
+    def of(cls, x: np.ndarray, cross: bool) -> Moments:
+        mean = x.mean(0)
+        d = x - mean
+        return cls(len(x), mean, d.T @ d if cross else (d * d).sum(0))
+
+    def covariance(self, ddof: int = 1) -> np.ndarray:
+        return self.deviations / (self.n - ddof)
+
+    def deviation(self) -> np.ndarray:
+        """Population standard deviation of each place."""
+        return np.sqrt((self.deviations if self.deviations.ndim == 1 else np.diag(self.deviations)) / self.n)
+
+
+_MOMENTS = "client long, bucket long, n long, mean array<double>, deviations array<double>"
+
+
+def _emit_moments(key: tuple, m: Moments) -> pa.RecordBatch:
+    numbers = pa.list_(pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([m.n]), pa.array([m.mean], numbers), pa.array([m.deviations.ravel()], numbers)], ["client", "bucket", "n", "mean", "deviations"])
+
+
+def _moments_of_rows(chunk: int, cross: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, have, total = [], 0, None
+        for key, part in by_key(batches):
+            if part is not None:
+                held.append(matrix(part.column(2)))
+                have += part.num_rows
+            if held and (have >= chunk or part is None):
+                x = np.concatenate(held)
+                end = len(x) if part is None else len(x) // chunk * chunk
+                for at in range(0, end, chunk):
+                    one = Moments.of(x[at : min(at + chunk, end)], cross)
+                    total = one if total is None else total + one
+                held, have = ([x[end:]], len(x) - end) if end < len(x) else ([], 0)
+            if part is None:
+                yield _emit_moments(key, total)
+                held, have, total = [], 0, None
+
+    return run
+
+
+def _moments_of_moments(cross: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for key, part in by_key(batches):
+            if part is None:
+                yield _emit_moments(key, total)
+                total = None
+                continue
+            for n, mean, dev in zip(part.column(3).to_pylist(), part.column(4), part.column(5), strict=True):
+                m, d = (x.values.to_numpy(zero_copy_only=False) for x in (mean, dev))
+                one = Moments(n, m, d.reshape(len(m), -1) if cross else d)
+                total = one if total is None else total + one
+
+    return run
+
+
+def moments(df: DataFrame, vector: str, cross: bool = False, rows: int | None = None, chunk: int = CHUNK) -> Moments:
+    """Moments of the vectors of rows (id, vector); cross: with the products of all places' deviations.
+
+    Means and deviations of chunks are merged, so values far from zero lose no digits. Rows are dealt to buckets and buckets
+    merged in a tree as sums are (partial_statistics): the same to the last bit for any partitioning. A task holds a chunk
+    and one set of moments; one set comes to the driver."""
+    dealt = deal(df.withColumn("_none", F.array().cast("array<double>")), vector, "_none", rows=rows)
+    deepest = dealt.deepest
+    each = in_tasks(dealt.rows.select("client", "bucket", "phi", "id"), dealt.buckets, "client", "bucket").sortWithinPartitions("client", "bucket", "id")
+    out = each.mapInArrow(_moments_of_rows(chunk, cross), _MOMENTS)
+    while deepest > 0:
+        deepest = max(0, deepest - int(np.log2(BRANCHES)))
+        parent = F.pmod("bucket", F.lit(1 << deepest)).alias("parent")
+        out = out.select("client", parent, "bucket", "n", "mean", "deviations").repartition("client", "parent").sortWithinPartitions("client", "parent", "bucket").mapInArrow(_moments_of_moments(cross), _MOMENTS)
+    found = out.collect()
+    if not found:
+        raise ValueError("no rows")
+    r = found[0]
+    mean, dev = np.array(r["mean"]), np.array(r["deviations"])
+    return Moments(r["n"], mean, dev.reshape(len(mean), -1) if cross else dev)
+
+
 def column_moments(df: DataFrame, vector: str) -> tuple[np.ndarray, np.ndarray]:
     """Mean and population standard deviation of each place of the vectors."""
-    rows = df.select(F.posexplode(F.col(vector).cast("array<double>")).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()
-    return np.array([r["m"] for r in rows]), np.array([r["s"] for r in rows])
+    m = moments(df, vector)
+    return m.mean, m.deviation()
 
 
 def label_counts(df: DataFrame, column: str, classes: int) -> DataFrame:

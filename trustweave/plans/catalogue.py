@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import exprs
-from ..operators import audit, features, kernels, pipeline, sampling, stats, tiles
+from ..operators import audit, clusters, features, kernels, pipeline, sampling, stats, tiles
 from ..operators.arrays import collected
 from ..operators.student import build_targets, fit_landmark, fit_linear
 from ..operators.teacher import fit_teacher
@@ -112,7 +112,7 @@ def loose_sample(spark, sf_dir):
 
 
 def equal_split(spark, sf_dir):
-    return sampling.equal_split(views(spark, sf_dir), 7, SEED)
+    return sampling.equal_split(views(spark, sf_dir), 7, SEED, rows=64)
 
 
 def _marks(spark, sf_dir):
@@ -213,7 +213,7 @@ def client_counts(spark, sf_dir):
 
 
 def client_owners(spark, sf_dir):
-    return sampling.owners(views(spark, sf_dir).select("id", "label"), _shares(spark), SEED)
+    return sampling.owners(views(spark, sf_dir).select("id", "label"), _shares(spark), SEED, rows=64)
 
 
 def cumulative_cuts(spark, sf_dir):
@@ -271,8 +271,8 @@ def paired_summary(spark, sf_dir):
 
 def centroid_update(spark, sf_dir):
     """One round of the clustering, from the first eight rows."""
-    x = collected(views(spark, sf_dir).orderBy("id"), "joint")[0]
-    c = features.lloyd(x, x[:8], 1)
+    rows = views(spark, sf_dir).select("id", "joint")
+    c = clusters.lloyd(rows, collected(rows.orderBy("id").limit(8), "joint")[0], 1, vector="joint", rows=64)
     return spark.createDataFrame([(k, i, round(float(c[k, i]), 6) + 0.0) for k, i in np.ndindex(c.shape)], "centroid int, i int, x double")
 
 
