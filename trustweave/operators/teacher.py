@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..sources.shared import Store
 from .arrays import collected, with_array
+from .gradient import kernel_solve
 from .kernels import rbf
 from .solve import ridge_solve
 
-#: Trusted rows that are gathered, at most; the kernel matrix on the driver is of their square.
-MAX_TRUSTED, MAX_BYTES = 20_000, 4 << 30
+#: Trusted rows whose kernel matrix is solved on the driver, bytes of anchors there, and bytes of anchors that a task holds.
+DIRECT, MAX_BYTES, ANCHOR_BYTES = 20_000, 4 << 30, 256 << 20
 VIEWS = ("view_a", "view_b", "joint")
 
 
@@ -41,20 +43,43 @@ class Teacher:
         return list(self.anchors)
 
     def _raw(self, *views: np.ndarray) -> np.ndarray:
+        """Scores of rows, or of what some of the anchors add to them: scores are sums over anchors."""
         c = self.config
         one = [rbf(v, self.anchors[n], _settings(c)[n][0]) @ self.alphas[n] for v, n in zip(views, self.anchors, strict=True)]
         raw = c.share_a * one[0] + (1 - c.share_a) * one[1]
         return c.share_joint * one[2] + (1 - c.share_joint) * raw if "joint" in self.anchors else raw
 
-    def scores(self, df: DataFrame, out: str = "raw") -> DataFrame:
-        """df and the raw score of each class."""
-        shared = df.sparkSession.sparkContext.broadcast(self)
-        return with_array(df, out, self.views, lambda *v: shared.value._raw(*v))
-
-    def probabilities(self, df: DataFrame, out: str = "p") -> DataFrame:
+    def _blocks(self, rows: int | None) -> list[Teacher]:
+        """Teachers of `rows` anchors each (as many as have ANCHOR_BYTES), whose scores add up to this one's."""
+        n = len(self.anchors["view_a"])
+        rows = rows or max(1, ANCHOR_BYTES // (8 * sum(a.shape[1] for a in self.anchors.values())))
+        part = lambda m, at: {k: v[at : at + rows] for k, v in m.items()}
+        return [self] if n <= rows else [Teacher(self.config, part(self.anchors, at), part(self.alphas, at)) for at in range(0, n, rows)]
+
+    def _with(self, df: DataFrame, out: str, make, block: int | None) -> DataFrame:
+        parts = self._blocks(block)
+        send = df.sparkSession.sparkContext.broadcast
+        if len(parts) == 1:
+            shared = send(self)
+            return with_array(df, out, self.views, lambda *v: make(shared.value._raw(*v)))
+        each = None
+        for at, part in enumerate(parts):
+            shared = send(part)
+            some = with_array(df.select("id", *self.views), "part", self.views, lambda *v, shared=shared: shared.value._raw(*v)).select("id", F.struct(F.lit(at).alias("at"), "part").alias("s"))
+            each = some if each is None else each.unionByName(some)
+        added = each.groupBy("id").agg(F.sort_array(F.collect_list("s")).alias("s"))  # a vector of scores for each block
+        raw = F.aggregate("s", F.array(*[F.lit(0.0)] * self.config.classes), lambda t, x: F.zip_with(t, x["part"], lambda a, b: a + b))
+        summed = with_array(added.select("id", raw.alias("raw")), out, ["raw"], make).select("id", out)
+        return df.drop(out).join(summed, "id")
+
+    def scores(self, df: DataFrame, out: str = "raw", block: int | None = None) -> DataFrame:
+        """df and the raw score of each class. Anchors of over ANCHOR_BYTES (block: of over so many rows) go to tasks in blocks:
+        rows are read once for each, and what the blocks add to a row's scores is summed by its id, which must be unique."""
+        return self._with(df, out, lambda raw: raw, block)
+
+    def probabilities(self, df: DataFrame, out: str = "p", block: int | None = None) -> DataFrame:
         t = self.config.joint_temperature if "joint" in self.anchors else self.config.temperature
-        shared = df.sparkSession.sparkContext.broadcast(self)
-        return with_array(df, out, self.views, lambda *v: _softmax(shared.value._raw(*v), t))
+        return self._with(df, out, lambda raw: _softmax(raw, t), block)
 
     def state(self) -> dict[str, np.ndarray]:
         return {f"anchor_{k}": v for k, v in self.anchors.items()} | {f"alpha_{k}": v for k, v in self.alphas.items()}
@@ -70,18 +95,22 @@ def _settings(c: Config) -> dict[str, tuple[float, float]]:
     return {"view_a": (c.gamma_a, c.teacher_ridge), "view_b": (c.gamma_b, c.teacher_ridge), "joint": (c.gamma_joint, c.joint_ridge)}
 
 
-def fit_teacher(features: DataFrame, trusted: DataFrame, config: Config | None = None) -> Teacher:
-    """From the trusted rows only, which come to the driver in the order of their ids; at most MAX_TRUSTED, and at most
-    MAX_BYTES of anchors, which every task that scores holds, and of a kernel matrix."""
+def fit_teacher(features: DataFrame, trusted: DataFrame, config: Config | None = None, direct: int = DIRECT) -> Teacher:
+    """From the trusted rows only, which come to the driver in the order of their ids, with MAX_BYTES of views at most. Up to
+    `direct` rows the kernel matrix is solved on the driver; beyond, by steps over blocks of it in tasks (kernel_solve)."""
     config = config or Config()
     views = VIEWS if config.joint_teacher else VIEWS[:2]
     rows = features.select("id", *views).join(trusted.select("id", "label"), "id")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(sum(F.size(v).cast("long") for v in views)).alias("cells")).collect()[0]
-    if not 0 < size["n"] <= MAX_TRUSTED:
-        raise ValueError(f"there must be 1 to {MAX_TRUSTED} trusted rows")
-    if 8 * max(size["cells"], size["n"] ** 2) > MAX_BYTES:
-        raise ValueError(f"the trusted rows' views or their kernel matrix have over {MAX_BYTES} bytes")
-    *vectors, label = collected(rows.orderBy("id"), *views, "label")
+    if not size["n"]:
+        raise ValueError("there must be a trusted row")
+    if 8 * size["cells"] > MAX_BYTES:
+        raise ValueError(f"the trusted rows' views have over {MAX_BYTES} bytes")
+    ids, *vectors, label = collected(rows.orderBy("id"), "id", *views, "label")
     y = np.eye(config.classes)[label.astype(int)]
-    alphas = {n: _dual(v, y, *_settings(config)[n]) for n, v in zip(views, vectors, strict=True)}
+    if size["n"] > direct:
+        rows = Store(features.sparkSession, "trusted").put(rows, "rows")
+        alphas = {n: kernel_solve(rows, n, ids, y, *_settings(config)[n]).alpha for n in views}
+    else:
+        alphas = {n: _dual(v, y, *_settings(config)[n]) for n, v in zip(views, vectors, strict=True)}
     return Teacher(config, dict(zip(views, vectors, strict=True)), alphas)

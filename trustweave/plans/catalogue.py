@@ -360,7 +360,7 @@ def _features(spark, sf_dir):
 
 def teacher_scores(spark, sf_dir):
     v = _features(spark, sf_dir)
-    return _classes(fit_teacher(v, trusted(spark, sf_dir)).scores(v), "raw")
+    return _classes(fit_teacher(v, trusted(spark, sf_dir)).scores(v, block=7), "raw")
 
 
 def teacher_scores_two_views(spark, sf_dir):
@@ -368,6 +368,12 @@ def teacher_scores_two_views(spark, sf_dir):
     return _classes(fit_teacher(v, trusted(spark, sf_dir), LANDMARK).scores(v), "raw")
 
 
+def teacher_by_steps(spark, sf_dir):
+    """Scores of a teacher whose dual weights come from conjugate gradients over blocks of the kernel matrix."""
+    v = _features(spark, sf_dir)
+    return _classes(fit_teacher(v, trusted(spark, sf_dir), direct=0).scores(v, block=20), "raw")
+
+
 def teacher_probabilities(spark, sf_dir):
     v = _features(spark, sf_dir)
     return _classes(pipeline.fit(v, trusted(spark, sf_dir)).teacher_probabilities(v), "p")
@@ -458,7 +464,7 @@ _NAMES = [
     row_normalize, joint_concat, softmax_t, onehot, argmax_first, entropy, standardize_pop, blend_views, sqrt_places, patch_norm, flipped_labels, sentinel_labels, payload, label_bincount,
     gather_trusted, loose_sample, equal_split, landmark_sample, rbf_landmarks, nearest_centroid, first_m_per_class, untrusted_anti, gram_upper, gram_weighted, client_gram, client_gram_sum,
     rhs_targets, lineitem_gram, documents_labels, apportion, client_counts, client_owners, cumulative_cuts, largest_clients, client_accuracy, worst_client, participation, agreement,
-    result_mismatches, paired_summary, centroid_update, block_mean, color_stats, image_layout, image_records, csv_round_trip, cached_features, grad_hist, teacher_scores,
+    result_mismatches, paired_summary, centroid_update, block_mean, color_stats, image_layout, image_records, csv_round_trip, cached_features, grad_hist, teacher_scores, teacher_by_steps,
     teacher_scores_two_views, teacher_probabilities, targets, student_weights, central_weights, landmark_features, landmark_weights, predictions, predictions_landmark, stored_model,
     monitoring, mutation_audit, federated_audit, client_sizes,
 ]
@@ -632,6 +638,7 @@ SELECT per_class, n, round(lm, 6) AS left_mean, round(ls, 6) AS left_std, round(
         "cached_features": f"WITH {_PIX} SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM b",
         "grad_hist": f"WITH {_GREY}, u AS (SELECT id, greatest(sqrt(sum(h * h)), 1e-12) AS n, sum(h) AS s FROM h GROUP BY id) SELECT id, round(s / n, 3) AS s FROM u",
         "teacher_scores": f"WITH RECURSIVE {_E}, {_teacher()} {_by_class('s', 'raw')}",
+        "teacher_by_steps": f"WITH RECURSIVE {_E}, {_teacher()} {_by_class('s', 'raw')}",
         "teacher_scores_two_views": f"WITH RECURSIVE {_E}, {_teacher(blend=False)} {_by_class('s', 'raw')}",
         "teacher_probabilities": f"WITH RECURSIVE {_E}, {_teacher()} {_by_class('p', 'p')}",
         "targets": f"WITH RECURSIVE {_E}, {_teacher()} {_by_class('q', 'q', 'is_trusted, ')}",
