@@ -20,6 +20,8 @@ CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Most chunks that are sent to the tasks, characters of text that a task splits at a time, and the number of times from
 #: which chunks are not told apart by how often they stand there.
 TABLE, BLOCK, COUNTED = 100_000, 1 << 20, 10_000
+#: Code points of the longest chunk that the table takes; with TABLE, a bound on its bytes.
+LONGEST = 256
 
 
 class ChunkCodec:
@@ -92,14 +94,15 @@ def _blocks(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]
 
 def chunk_table(docs: DataFrame, shared, text: str = "text", limit: int = TABLE) -> DataFrame:
     """(chunk, ids, decoded) of the distinct chunks of all texts, each segmented once; decoded is null where a chunk decodes
-    to itself. If there are more than limit, only those that stand there more often than a number of times that leaves
-    no more. Chunks are counted before they are shuffled; no position is."""
+    to itself. If there are more than limit, those that stand there most often; of chunks that stand there equally often,
+    or COUNTED times or more, those with the smallest hashes, so that the table is always full. Chunks of over LONGEST code
+    points are left to the tasks that meet them. Chunks are counted before they are shuffled; no position is."""
     keep = Written(docs.sparkSession, "chunks")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in _blocks(batch, 0):
-                n = Counter(chain.from_iterable(map(chunks_of, texts)))
+                n = Counter(c for c in chain.from_iterable(map(chunks_of, texts)) if len(c) <= LONGEST)
                 yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["chunk", "n"])
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,13 +114,16 @@ def chunk_table(docs: DataFrame, shared, text: str = "text", limit: int = TABLE)
 
     counts = docs.select(text).mapInArrow(count, "chunk string, n long").groupBy("chunk").agg(F.least(F.sum("n"), F.lit(COUNTED)).alias("n"))
     counts = keep.put(counts, "counts")
-    least, total = COUNTED + 1, 0
+    least, room, level = COUNTED + 1, limit, None
     for r in counts.groupBy("n").count().orderBy(F.desc("n")).collect():  # COUNTED rows at most
-        total += r["count"]
-        if total > limit:
+        if r["count"] > room:
+            level = r["n"]  # goes in part
             break
-        least = r["n"]
-    return keep.put(counts.filter(F.col("n") >= least).select("chunk").mapInArrow(segment, "chunk string, ids binary, decoded string"), "table")
+        least, room = r["n"], room - r["count"]
+    taken = counts.filter(F.col("n") >= least)
+    if level is not None and room:
+        taken = taken.unionByName(counts.filter(F.col("n") == level).orderBy(F.xxhash64("chunk"), "chunk").limit(room))
+    return keep.put(taken.select("chunk").mapInArrow(segment, "chunk string, ids binary, decoded string"), "table")
 
 
 def encode_decode(docs: DataFrame, model: str, text: str = "text", id_column: str = "doc_id", bos: bool = True, eos: bool = True, limit: int = TABLE) -> DataFrame:
