@@ -67,6 +67,12 @@ def standardize_pop(spark, sf_dir):
     return _places(views(spark, sf_dir).select("id", exprs.standardize(F.col("e"), numbers(m), numbers(d + 0.01)).alias("x")), "x")
 
 
+def covariance(spark, sf_dir):
+    """Covariances (ddof 1) of the places of the whole embeddings, by merged moments."""
+    c = stats.moments(views(spark, sf_dir).select("id", "e"), "e", cross=True, rows=64).covariance()
+    return spark.createDataFrame([(int(i), int(j), round(float(c[i, j]), 6) + 0.0) for i, j in zip(*np.triu_indices(len(c)), strict=True)], "i int, j int, c double")
+
+
 def blend_views(spark, sf_dir):
     return _places(views(spark, sf_dir).select("id", exprs.blend(F.col("view_a"), F.col("view_b"), 0.75).alias("x")), "x")
 
@@ -464,7 +470,7 @@ _NAMES = [
     row_normalize, joint_concat, softmax_t, onehot, argmax_first, entropy, standardize_pop, blend_views, sqrt_places, patch_norm, flipped_labels, sentinel_labels, payload, label_bincount,
     gather_trusted, loose_sample, equal_split, landmark_sample, rbf_landmarks, nearest_centroid, first_m_per_class, untrusted_anti, gram_upper, gram_weighted, client_gram, client_gram_sum,
     rhs_targets, lineitem_gram, documents_labels, apportion, client_counts, client_owners, cumulative_cuts, largest_clients, client_accuracy, worst_client, participation, agreement,
-    result_mismatches, paired_summary, centroid_update, block_mean, color_stats, image_layout, image_records, csv_round_trip, cached_features, grad_hist, teacher_scores, teacher_by_steps,
+    result_mismatches, paired_summary, centroid_update, covariance, block_mean, color_stats, image_layout, image_records, csv_round_trip, cached_features, grad_hist, teacher_scores, teacher_by_steps,
     teacher_scores_two_views, teacher_probabilities, targets, student_weights, central_weights, landmark_features, landmark_weights, predictions, predictions_landmark, stored_model,
     monitoring, mutation_audit, federated_audit, client_sizes,
 ]
@@ -657,6 +663,7 @@ td AS (SELECT max(abs(a.q - b.q)) AS d FROM q1 a JOIN q2 b USING (id, c)), wd AS
 mu AS (SELECT count(*) AS n FROM la JOIN lb USING (id) WHERE la.label <> lb.label)
 SELECT mu.n AS mutated, round(td.d, 6) + 0.0 AS target_max_diff, round(wd.d, 6) + 0.0 AS weight_max_diff, td.d < 1e-9 AND wd.d < 1e-9 AS same_digests, td.d < 1e-9 AND wd.d < 1e-9 AS passed FROM td, wd, mu""",
         "federated_audit": f"WITH RECURSIVE {_E}, {_HOT}, {_student('1', 'h', ridge=1.0, weight='1.0::DOUBLE', by='id % 7')}, {_student('2', 'h', ridge=1.0, weight='1.0::DOUBLE')}, f AS ({_each_weight('1', 'federated')}), c AS ({_each_weight('2', 'central')}) SELECT f.i, f.c, federated, central, round(max(abs(federated - central)) OVER (), 9) + 0.0 AS max_weight_diff FROM f JOIN c ON f.i = c.i AND f.c = c.c",
+        "covariance": f"WITH {_E}, p AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM range(64) AS a(i), range(64) AS b(j) WHERE i <= j) SELECT i, j, round(covar_samp(e[i + 1], e[j + 1]), 6) + 0.0 AS c FROM e, p GROUP BY i, j",
         "block_mean": f"WITH {_PIX} SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM b",
         "color_stats": f"WITH {_PIX} SELECT CAST(i AS INT) AS i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM b GROUP BY i",
         "client_sizes": "WITH u AS (SELECT c_custkey, count(o_custkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey) SELECT min(n) AS smallest, max(n) AS largest, count(*) AS clients, CAST(sum(CASE WHEN n = 0 THEN 1 ELSE 0 END) AS BIGINT) AS without FROM u",
