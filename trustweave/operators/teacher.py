@@ -46,12 +46,14 @@ class Teacher:
         """Scores of rows, or of what some of the anchors add to them: scores are sums over anchors."""
         c = self.config
         one = [rbf(v, self.anchors[n], _settings(c)[n][0]) @ self.alphas[n] for v, n in zip(views, self.anchors, strict=True)]
+        if len(one) == 1:
+            return one[0]
         raw = c.share_a * one[0] + (1 - c.share_a) * one[1]
         return c.share_joint * one[2] + (1 - c.share_joint) * raw if "joint" in self.anchors else raw
 
     def _blocks(self, rows: int | None) -> list[Teacher]:
         """Teachers of `rows` anchors each (as many as have ANCHOR_BYTES), whose scores add up to this one's."""
-        n = len(self.anchors["view_a"])
+        n = len(next(iter(self.anchors.values())))
         rows = rows or max(1, ANCHOR_BYTES // (8 * sum(a.shape[1] for a in self.anchors.values())))
         part = lambda m, at: {k: v[at : at + rows] for k, v in m.items()}
         return [self] if n <= rows else [Teacher(self.config, part(self.anchors, at), part(self.alphas, at)) for at in range(0, n, rows)]
@@ -81,6 +83,14 @@ class Teacher:
         t = self.config.joint_temperature if "joint" in self.anchors else self.config.temperature
         return self._with(df, out, lambda raw: _softmax(raw, t), block)
 
+    def only(self, view: str) -> Teacher:
+        """The teacher that scores by the kernel of one view alone."""
+        return Teacher(self.config, {view: self.anchors[view]}, {view: self.alphas[view]})
+
+    @property
+    def bytes(self) -> int:
+        return sum(a.nbytes for a in self.anchors.values())
+
     def state(self) -> dict[str, np.ndarray]:
         return {f"anchor_{k}": v for k, v in self.anchors.items()} | {f"alpha_{k}": v for k, v in self.alphas.items()}
 
@@ -95,6 +105,31 @@ def _settings(c: Config) -> dict[str, tuple[float, float]]:
     return {"view_a": (c.gamma_a, c.teacher_ridge), "view_b": (c.gamma_b, c.teacher_ridge), "joint": (c.gamma_joint, c.joint_ridge)}
 
 
+def scores_of(df: DataFrame, teachers: list[Teacher], out: str = "raw") -> DataFrame:
+    """df and the raw scores of several teachers one after the other in one array. Rows pass Python once for as many teachers
+    as have ANCHOR_BYTES together; a teacher of more takes its own way, in blocks (Teacher.scores)."""
+    groups: list[list[Teacher]] = []
+    for t in teachers:
+        if groups and sum(x.bytes for x in groups[-1]) + t.bytes <= ANCHOR_BYTES:
+            groups[-1].append(t)
+        else:
+            groups.append([t])
+    names, columns = [f"_raw{k}" for k in range(len(groups))], df.columns
+    for name, group in zip(names, groups, strict=True):
+        if len(group) == 1:
+            df = group[0].scores(df, name)
+            continue
+        used = [v for v in VIEWS if any(v in t.anchors for t in group)]
+        shared = df.sparkSession.sparkContext.broadcast(group)
+
+        def make(*views: np.ndarray, used=used, shared=shared) -> np.ndarray:
+            by = dict(zip(used, views, strict=True))
+            return np.concatenate([t._raw(*(by[v] for v in t.views)) for t in shared.value], 1)
+
+        df = with_array(df, name, used, make)
+    return df.select(*(c for c in columns if c != out), F.concat(*names).alias(out))
+
+
 def fit_teacher(features: DataFrame, trusted: DataFrame, config: Config | None = None, direct: int = DIRECT) -> Teacher:
     """From the trusted rows only, which come to the driver in the order of their ids, with MAX_BYTES of views at most. Up to
     `direct` rows the kernel matrix is solved on the driver; beyond, by steps over blocks of it in tasks (kernel_solve)."""

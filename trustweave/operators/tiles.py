@@ -79,6 +79,23 @@ class Tiles:
         cells = self.cells if by == 1.0 else self.cells.mapInArrow(run, self.cells.schema)
         return replace(self, cells=cells if client is None else cells.withColumn("client", F.lit(client).cast("long")))
 
+    def mapped(self, by: dict[int, np.ndarray], matrix: bool = True) -> Tiles:
+        """Right-hand sides times the matrix `by` has for their client (a column for each new output), where they lie. Without
+        matrix only right-hand sides are left, to be added to other sums."""
+        if len({(m.shape[0], m.shape[1]) for m in by.values()} | {(self.outputs, next(iter(by.values())).shape[1])}) > 1:
+            raise ValueError("all maps must take the outputs there are and give the same number of them")
+        old = self.outputs
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                which = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4), strict=True)
+                cells = [np.ascontiguousarray(_array(x, old) @ by[c]).tobytes() if j == RIGHT else x.as_py() for c, j, x in which]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(cells, pa.binary())], batch.schema.names)
+
+        cells = self.cells if matrix else self.cells.filter(F.col("j") == RIGHT)
+        rows = cells.select("client", "i", "j", "n", "cells")
+        return replace(self, cells=rows.mapInArrow(run, rows.schema), outputs=next(iter(by.values())).shape[1])
+
     def plus(self, other: Tiles) -> Tiles:
         """Clients of both; they must be different ones."""
         if (self.width, self.outputs, self.tile) != (other.width, other.outputs, other.tile):

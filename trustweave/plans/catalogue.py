@@ -458,6 +458,19 @@ def federated_audit(spark, sf_dir):
     return both.withColumn("max_weight_diff", F.lit(round(d, 9)))
 
 
+#: Budgets and seeds of the grid's query.
+BUDGETS, SEEDS = (2, 4), (3, 8)
+
+
+def budget_grid(spark, sf_dir):
+    """Accuracies by budget and seed on a fifth of the rows, held out, of fits on the others."""
+    rows = views(spark, sf_dir)
+    part = lambda own: rows.filter((F.pmod("id", F.lit(5)) == 0) == own)
+    few = lambda df: (df.select("id", "view_a", "view_b", "joint"), df.select("id", "label"))
+    r = experiments.grid(*few(part(False)), *few(part(True)), Config(), list(BUDGETS), list(SEEDS))
+    return r.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in r.dtypes))
+
+
 def client_sizes(spark, sf_dir):
     """Customers as clients, orders as their rows: smallest, largest, clients, and those without a row."""
     clients = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("client"))
@@ -472,7 +485,7 @@ _NAMES = [
     rhs_targets, lineitem_gram, documents_labels, apportion, client_counts, client_owners, cumulative_cuts, largest_clients, client_accuracy, worst_client, participation, agreement,
     result_mismatches, paired_summary, centroid_update, covariance, block_mean, color_stats, image_layout, image_records, csv_round_trip, cached_features, grad_hist, teacher_scores, teacher_by_steps,
     teacher_scores_two_views, teacher_probabilities, targets, student_weights, central_weights, landmark_features, landmark_weights, predictions, predictions_landmark, stored_model,
-    monitoring, mutation_audit, federated_audit, client_sizes,
+    monitoring, mutation_audit, federated_audit, budget_grid, client_sizes,
 ]
 
 
@@ -553,6 +566,33 @@ z{n} AS (SELECT id, c, sum(d.x * w.x[c + 1]) AS s FROM d{n} d JOIN sw{n} w USING
 y{n} AS (SELECT id, CAST(c AS INT) AS prediction FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY s DESC, c) AS rk FROM z{n}) WHERE rk = 1)"""
 
 
+def _rate(n, scores):
+    """CTE of the share of held-out rows whose largest score (id, c, s) is their class."""
+    return f"a_{n} AS (SELECT avg(CASE WHEN c = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS a FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY s DESC, c) AS rk FROM ({scores})) JOIN e USING (id) WHERE rk = 1)"
+
+
+def _weighed(n, q, rows="vt", weight="1.0::DOUBLE"):
+    """CTEs of a student on training rows and its rate on the held-out ones."""
+    return f"{_student(n, q, rows, weight=weight)}, {_rate(n, f'SELECT id, c, sum(d.x * w.x[c + 1]) AS s FROM dh d JOIN sw{n} w USING (i), (SELECT unnest(range(10)) AS c) GROUP BY id, c')}"
+
+
+def _grid():
+    hot = lambda of: f"SELECT id, c, CASE WHEN c = {of} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS q FROM e, (SELECT unnest(range(10)) AS c) WHERE id % 5 <> 0"
+    parts = ["vt AS (SELECT * FROM v WHERE id % 5 <> 0)", "dh AS (SELECT id, unnest(joint) AS x, generate_subscripts(joint, 1) AS i FROM v WHERE id % 5 = 0)", f"hl AS ({hot('label')})", _weighed("al", "hl")]
+    rows = []
+    for b in BUDGETS:
+        for s in SEEDS:
+            k = f"{b}_{s}"
+            parts.append(f"t{k} AS (SELECT id, label FROM (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY md5('{s}:' || id), id) AS rk FROM e WHERE id % 5 <> 0) WHERE rk <= {b})")
+            parts.append(f"hf{k} AS ({hot(f'CASE WHEN id IN (SELECT id FROM t{k}) THEN label ELSE 9 - label END')})")
+            parts.append(f"vk{k} AS (SELECT * FROM vt WHERE id IN (SELECT id FROM t{k}))")
+            parts += [_teacher(k, f"t{k}"), _rate(f"te{k}", f"SELECT id, c, raw AS s FROM s{k} WHERE id % 5 = 0"), _rate(f"ke{k}", f"SELECT id, c, s FROM s_joint{k} WHERE id % 5 = 0")]
+            parts += [_weighed(f"st{k}", f"q{k}", weight=f"CASE WHEN id IN (SELECT id FROM t{k}) THEN 10.0::DOUBLE ELSE 1.0::DOUBLE END"), _weighed(f"to{k}", "hl", f"vk{k}"), _weighed(f"fl{k}", f"hf{k}")]
+            one = ", ".join(f"round((SELECT a FROM a_{n}), 6) AS {name}_accuracy" for n, name in ((f"te{k}", "teacher"), (f"ke{k}", "kernel"), (f"st{k}", "student"), (f"to{k}", "trusted_only"), ("al", "all_label"), (f"fl{k}", "flipped")))
+            rows.append(f"SELECT CAST({b} AS INT) AS per_class, CAST({s} AS BIGINT) AS seed, CAST({b * 10} AS INT) AS trusted, {one}")
+    return f"WITH RECURSIVE {_E}, {', '.join(parts)} {' UNION ALL '.join(rows)}"
+
+
 def _by_class(table, v, more=""):
     return f"SELECT id, {more}CAST(c AS INT) AS c, round({v}, 6) + 0.0 AS {v} FROM {table}"
 
@@ -663,6 +703,7 @@ td AS (SELECT max(abs(a.q - b.q)) AS d FROM q1 a JOIN q2 b USING (id, c)), wd AS
 mu AS (SELECT count(*) AS n FROM la JOIN lb USING (id) WHERE la.label <> lb.label)
 SELECT mu.n AS mutated, round(td.d, 6) + 0.0 AS target_max_diff, round(wd.d, 6) + 0.0 AS weight_max_diff, td.d < 1e-9 AND wd.d < 1e-9 AS same_digests, td.d < 1e-9 AND wd.d < 1e-9 AS passed FROM td, wd, mu""",
         "federated_audit": f"WITH RECURSIVE {_E}, {_HOT}, {_student('1', 'h', ridge=1.0, weight='1.0::DOUBLE', by='id % 7')}, {_student('2', 'h', ridge=1.0, weight='1.0::DOUBLE')}, f AS ({_each_weight('1', 'federated')}), c AS ({_each_weight('2', 'central')}) SELECT f.i, f.c, federated, central, round(max(abs(federated - central)) OVER (), 9) + 0.0 AS max_weight_diff FROM f JOIN c ON f.i = c.i AND f.c = c.c",
+        "budget_grid": _grid(),
         "covariance": f"WITH {_E}, p AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM range(64) AS a(i), range(64) AS b(j) WHERE i <= j) SELECT i, j, round(covar_samp(e[i + 1], e[j + 1]), 6) + 0.0 AS c FROM e, p GROUP BY i, j",
         "block_mean": f"WITH {_PIX} SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM b",
         "color_stats": f"WITH {_PIX} SELECT CAST(i AS INT) AS i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM b GROUP BY i",

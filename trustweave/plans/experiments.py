@@ -20,6 +20,7 @@ from ..operators.student import Student, build_targets
 from ..operators.teacher import fit_teacher
 from ..operators.tiles import central_ridge, combine_tiles, tiled_statistics
 from ..sources.shared import Store
+from .sweep import sweep
 
 
 def _rate(scored: DataFrame, labels: DataFrame) -> float:
@@ -61,9 +62,8 @@ def condition(train: DataFrame, labels: DataFrame, test: DataFrame, test_labels:
 
 
 def grid(train, labels, test, test_labels, config: Config, budgets: list[int], seeds: list[int]) -> DataFrame:
-    """A row for each budget and seed."""
-    rows = [condition(train, labels, test, test_labels, config, b, s) for b in budgets for s in seeds]
-    return train.sparkSession.createDataFrame(rows)
+    """A row for each budget and seed, out of one pass over the rows; `condition` makes one alone, with its time."""
+    return sweep(train, labels, test, test_labels, config, budgets, seeds)
 
 
 def federated_condition(train: DataFrame, labels: DataFrame, trusted: DataFrame, alpha: float, clients: int, test: DataFrame, test_labels: DataFrame, config: Config, seed: int, repeats: int = 3) -> dict:
