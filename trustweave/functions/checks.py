@@ -7,21 +7,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .faults import availability_faults, faults, integral_rules, label_faults, refuse, trusted_faults, vector_rules, weight_rules
+
 
 def check_vectors(df: DataFrame, columns: list[str], widths: dict[str, int] | None = None) -> dict[str, int]:
     """Widths of array columns; raises if one is null, holds nulls or values that aren't finite, or varies or differs
     from the width asked for. Empty tables have the widths asked for, or 0."""
-    aggs = []
-    for c in columns:
-        v = F.col(c)
-        bad = v.isNull() | F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-        aggs += [F.max(bad).alias(f"{c}_bad"), F.min(F.size(v)).alias(f"{c}_lo"), F.max(F.size(v)).alias(f"{c}_hi")]
-    r = df.agg(*aggs).collect()[0]
+    rules = {n: bad for c in columns for n, bad in vector_rules(c).items()}
+    sizes = [f(F.size(c)).alias(f"{c}_{n}") for c in columns for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    r = df.agg(*(F.count_if(bad).alias(n) for n, bad in rules.items()), *sizes).collect()[0]
     out = {}
     for c in columns:
         want = (widths or {}).get(c)
-        if r[f"{c}_bad"]:
-            raise ValueError(f"{c} holds nulls, NaN or infinite values")
+        if bad := [f"{n} ({r[n]} rows)" for n in vector_rules(c) if r[n]]:
+            raise ValueError("; ".join(bad))
         if r[f"{c}_lo"] != r[f"{c}_hi"]:
             raise ValueError(f"{c} has vectors of {r[f'{c}_lo']} to {r[f'{c}_hi']} values")
         if want is not None and r[f"{c}_hi"] not in (None, want):
@@ -30,45 +29,33 @@ def check_vectors(df: DataFrame, columns: list[str], widths: dict[str, int] | No
     return out
 
 
+def _numeric(df: DataFrame, column: str) -> None:
+    if not isinstance(df.schema[column].dataType, T.NumericType):
+        raise ValueError(f"{column} must hold integers")
+
+
 def check_integral(df: DataFrame, column: str) -> None:
     """Integers, or floating values that are whole; booleans, strings, nulls and fractions are refused."""
-    kind = df.schema[column].dataType
-    if not isinstance(kind, T.NumericType):
-        raise ValueError(f"{column} must hold integers")
-    x = F.col(column).cast("double")
-    if df.agg(F.max(F.col(column).isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (x != F.floor(x))).alias("bad")).collect()[0]["bad"]:
-        raise ValueError(f"{column} must hold integers")
+    _numeric(df, column)
+    refuse(faults(df, integral_rules(column), column))
 
 
 def check_trusted(trusted: DataFrame, examples: DataFrame, n_classes: int) -> None:
     """Trusted rows (id, label): some, ids unique and among the examples, labels in [0, n_classes)."""
-    check_integral(trusted, "id")
-    check_integral(trusted, "label")
-    r = trusted.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.min("label").alias("lo"), F.max("label").alias("hi")).collect()[0]
-    if not r["n"]:
-        raise ValueError("at least one trusted label is needed")
-    if r["ids"] != r["n"]:
-        raise ValueError("trusted ids must be unique")
-    if trusted.join(examples.select("id"), "id", "left_anti").limit(1).count():
-        raise ValueError("a trusted id is not among the examples")
-    if r["lo"] < 0 or r["hi"] >= n_classes:
-        raise ValueError("a trusted label is not a class")
+    _numeric(trusted, "id")
+    _numeric(trusted, "label")
+    refuse(trusted_faults(trusted, examples, n_classes))
 
 
 def check_weights(df: DataFrame, column: str) -> None:
-    x = F.col(column)
-    if df.agg(F.max(x.isNull() | F.isnan(x) | (x <= 0) | (x == float("inf"))).alias("bad")).collect()[0]["bad"]:
-        raise ValueError("weights must be positive and finite")
+    refuse(faults(df, weight_rules(column), column))
 
 
 def check_available(labels: DataFrame, per_class: int, n_classes: int) -> None:
     """Every class, also one that is absent, has per_class rows."""
     if per_class <= 0:
         raise ValueError("per_class must be positive")
-    classes = labels.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("label"))
-    short = classes.join(labels.groupBy("label").count(), "label", "left").filter(F.coalesce("count", F.lit(0)) < per_class)
-    if rows := short.orderBy("label").limit(1).collect():
-        raise ValueError(f"class {rows[0]['label']} has fewer than {per_class} rows")
+    refuse(availability_faults(labels, per_class, n_classes))
 
 
 def check_statistics(stats: list) -> None:
@@ -87,6 +74,4 @@ def check_statistics(stats: list) -> None:
 
 def check_same_labels(a: DataFrame, b: DataFrame, trusted: DataFrame) -> None:
     """Both label tables (id, label as text) agree on the trusted ids."""
-    both = trusted.select("id").join(a.select("id", F.col("label").alias("x")), "id").join(b.select("id", F.col("label").alias("y")), "id")
-    if both.filter(~F.col("x").eqNullSafe(F.col("y"))).limit(1).count():
-        raise ValueError("trusted labels differ between the two inputs")
+    refuse(label_faults(a, b, trusted))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions import exprs
+from ..functions import exprs, faults
 from ..operators import audit, clusters, features, kernels, pipeline, sampling, stats, tiles
 from ..operators.arrays import collected
 from ..operators.student import build_targets, fit_landmark, fit_linear
@@ -458,6 +458,29 @@ def federated_audit(spark, sf_dir):
     return both.withColumn("max_weight_diff", F.lit(round(d, 9)))
 
 
+def refusals(spark, sf_dir):
+    """Rules, offenders and first offenders of the embeddings with faults planted by id."""
+    rows, at = views(spark, sf_dir), lambda m, k: F.pmod("id", F.lit(m)) == k
+    odd = lambda x: F.concat(F.slice("e", 1, 63), F.array(F.lit(x).cast("double")))
+    v = F.when(at(50, 1), F.lit(None)).when(at(50, 2), odd(None)).when(at(50, 3), odd(float("nan"))).when(at(50, 4), odd(float("inf"))).when(at(50, 5), F.slice("e", 1, 63)).otherwise(F.col("e"))
+    y = F.when(at(40, 7), F.lit(None)).when(at(40, 8), F.col("label") + 0.5).when(at(40, 9), F.lit(float("nan"))).when(at(40, 11), F.lit(99.0)).when(at(40, 12), F.lit(-1.0)).otherwise(F.col("label"))
+    w = F.when(at(30, 1), F.lit(0.0)).when(at(30, 2), F.lit(None)).when(at(30, 3), F.lit(-1.0)).when(at(30, 4), F.lit(float("inf"))).otherwise(F.lit(1.0))
+    bad = rows.select("id", v.alias("e"), y.cast("double").alias("label"), w.alias("w"))
+    given = bad.select("id", "label").unionByName(bad.filter(at(100, 0)).select("id", "label")).unionByName(bad.filter(at(70, 0)).select((F.col("id") + 1_000_000).alias("id"), "label"))
+    plain = rows.select("id", F.col("label").cast("string").alias("label"))
+    parts = {
+        "rows": faults.faults(bad, faults.vector_rules("e", 64) | faults.weight_rules("w")),
+        "trusted": faults.trusted_faults(given, rows, 10),
+        "classes": faults.availability_faults(rows.select("label"), 50, 12),
+        "labels": faults.label_faults(plain, plain.withColumn("label", F.when(at(25, 3), F.lit("?")).otherwise(F.col("label"))), trusted(spark, sf_dir)),
+    }
+    out = None
+    for name, one in parts.items():
+        one = one.select(F.lit(name).alias("of"), "rule", "offenders", F.col("first").cast("long").alias("first"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 #: Budgets and seeds of the grid's query.
 BUDGETS, SEEDS = (2, 4), (3, 8)
 
@@ -485,7 +508,7 @@ _NAMES = [
     rhs_targets, lineitem_gram, documents_labels, apportion, client_counts, client_owners, cumulative_cuts, largest_clients, client_accuracy, worst_client, participation, agreement,
     result_mismatches, paired_summary, centroid_update, covariance, block_mean, color_stats, image_layout, image_records, csv_round_trip, cached_features, grad_hist, teacher_scores, teacher_by_steps,
     teacher_scores_two_views, teacher_probabilities, targets, student_weights, central_weights, landmark_features, landmark_weights, predictions, predictions_landmark, stored_model,
-    monitoring, mutation_audit, federated_audit, budget_grid, client_sizes,
+    monitoring, mutation_audit, federated_audit, budget_grid, refusals, client_sizes,
 ]
 
 
@@ -593,6 +616,21 @@ def _grid():
     return f"WITH RECURSIVE {_E}, {', '.join(parts)} {' UNION ALL '.join(rows)}"
 
 
+def _refusals():
+    """Faults as SQL: each by the table that has it."""
+    f = lambda of, rule, bad, table, key="id": f"SELECT '{of}' AS of, '{rule}' AS rule, count(*) AS offenders, CAST(min({key}) AS BIGINT) AS first FROM {table} WHERE {bad}"
+    rows = [f("rows", f"e {r}", f"id % 50 = {k}", "e") for r, k in (("is null", 1), ("holds nulls", 2), ("holds NaN", 3), ("holds infinite values", 4), ("has not 64 values", 5))]
+    rows += [f("rows", "w is null", "id % 30 = 2", "e"), f("rows", "w is not finite", "id % 30 = 4", "e"), f("rows", "w is not positive", "id % 30 IN (1, 3)", "e")]
+    rows += [f("trusted", f"id {r}", "false", "given") for r in ("is null", "is not finite", "has a fraction")]
+    rows += [f("trusted", f"label {r}", b, "given") for r, b in (("is null", "y IS NULL"), ("is not finite", "isnan(y)"), ("has a fraction", "NOT isnan(y) AND y <> floor(y)"), ("is below 0", "y < 0"), ("is 10 or more", "NOT isnan(y) AND y >= 10"))]
+    rows += ["SELECT 'trusted', 'no trusted row', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END, CAST(NULL AS BIGINT) FROM given"]
+    rows += [f("trusted", "id is trusted twice", "n > 1", "(SELECT id, count(*) AS n FROM given GROUP BY id)"), f("trusted", "id is not among the examples", "id NOT IN (SELECT id FROM e)", "(SELECT DISTINCT id FROM given)")]
+    rows += [f("classes", "class has not 50 rows", "n < 50", "(SELECT label, count(e.id) AS n FROM (SELECT unnest(range(12)) AS label) LEFT JOIN e USING (label) GROUP BY label)", "label"), f("labels", "trusted labels differ", "id % 25 = 3", "t")]
+    y = "CASE id % 40 WHEN 7 THEN NULL WHEN 8 THEN label + 0.5::DOUBLE WHEN 9 THEN 'nan'::DOUBLE WHEN 11 THEN 99 WHEN 12 THEN -1 ELSE label END"
+    given = f"y AS (SELECT id, {y} AS y FROM e), given AS (SELECT id, y FROM y UNION ALL SELECT id, y FROM y WHERE id % 100 = 0 UNION ALL SELECT id + 1000000, y FROM y WHERE id % 70 = 0)"
+    return f"WITH {_E}, {given} {' UNION ALL '.join(rows)}"
+
+
 def _by_class(table, v, more=""):
     return f"SELECT id, {more}CAST(c AS INT) AS c, round({v}, 6) + 0.0 AS {v} FROM {table}"
 
@@ -704,6 +742,7 @@ mu AS (SELECT count(*) AS n FROM la JOIN lb USING (id) WHERE la.label <> lb.labe
 SELECT mu.n AS mutated, round(td.d, 6) + 0.0 AS target_max_diff, round(wd.d, 6) + 0.0 AS weight_max_diff, td.d < 1e-9 AND wd.d < 1e-9 AS same_digests, td.d < 1e-9 AND wd.d < 1e-9 AS passed FROM td, wd, mu""",
         "federated_audit": f"WITH RECURSIVE {_E}, {_HOT}, {_student('1', 'h', ridge=1.0, weight='1.0::DOUBLE', by='id % 7')}, {_student('2', 'h', ridge=1.0, weight='1.0::DOUBLE')}, f AS ({_each_weight('1', 'federated')}), c AS ({_each_weight('2', 'central')}) SELECT f.i, f.c, federated, central, round(max(abs(federated - central)) OVER (), 9) + 0.0 AS max_weight_diff FROM f JOIN c ON f.i = c.i AND f.c = c.c",
         "budget_grid": _grid(),
+        "refusals": _refusals(),
         "covariance": f"WITH {_E}, p AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM range(64) AS a(i), range(64) AS b(j) WHERE i <= j) SELECT i, j, round(covar_samp(e[i + 1], e[j + 1]), 6) + 0.0 AS c FROM e, p GROUP BY i, j",
         "block_mean": f"WITH {_PIX} SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM b",
         "color_stats": f"WITH {_PIX} SELECT CAST(i AS INT) AS i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM b GROUP BY i",
