@@ -16,6 +16,7 @@ from ..operators.student import build_targets, fit_landmark, fit_linear
 from ..operators.teacher import fit_teacher
 from ..sources import images, model_store, records
 from ..sources.shared import Store, shared_dir
+from ..streaming import monitor
 from . import experiments
 
 SEED, PER_CLASS, LANDMARKS = 7, 5, 16
@@ -458,6 +459,25 @@ def federated_audit(spark, sf_dir):
     return both.withColumn("max_weight_diff", F.lit(round(d, 9)))
 
 
+def _marked(events: DataFrame) -> DataFrame:
+    """Events as rows to monitor: the type as the teacher's class of five, a class out of the value as the student's; every
+    97th event is trusted."""
+    kind = F.pmod(F.ascii("event_type") + F.length("event_type"), F.lit(5)).cast("int")
+    return events.select("ts", F.col("user_id").alias("client"), kind.alias("teacher"), F.pmod(F.floor("value"), F.lit(5)).cast("int").alias("student"), F.when(F.pmod("event_id", F.lit(97)) == 0, kind).alias("trusted"))
+
+
+def monitor_windows(spark, sf_dir):
+    """Windows of six hours that closed while all events were read as a stream, by a watermark of an hour."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    clients = table.select("user_id").distinct().count()
+    stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    at = _folder(spark, "monitor")
+    monitor.start(_marked(stream), f"{at}/windows", f"{at}/state", 5, clients, "6 hours", "1 hour").awaitTermination()
+    rows = spark.read.parquet(f"{at}/windows")
+    whole = lambda c: F.round(c, 6).alias(c)
+    return rows.select(F.unix_seconds("start").alias("start"), "rows", "trusted", whole("class_coverage"), whole("disagreement"), "active", whole("participation"))
+
+
 def refusals(spark, sf_dir):
     """Rules, offenders and first offenders of the embeddings with faults planted by id."""
     rows, at = views(spark, sf_dir), lambda m, k: F.pmod("id", F.lit(m)) == k
@@ -508,7 +528,7 @@ _NAMES = [
     rhs_targets, lineitem_gram, documents_labels, apportion, client_counts, client_owners, cumulative_cuts, largest_clients, client_accuracy, worst_client, participation, agreement,
     result_mismatches, paired_summary, centroid_update, covariance, block_mean, color_stats, image_layout, image_records, csv_round_trip, cached_features, grad_hist, teacher_scores, teacher_by_steps,
     teacher_scores_two_views, teacher_probabilities, targets, student_weights, central_weights, landmark_features, landmark_weights, predictions, predictions_landmark, stored_model,
-    monitoring, mutation_audit, federated_audit, budget_grid, refusals, client_sizes,
+    monitoring, mutation_audit, federated_audit, budget_grid, refusals, monitor_windows, client_sizes,
 ]
 
 
@@ -743,6 +763,11 @@ SELECT mu.n AS mutated, round(td.d, 6) + 0.0 AS target_max_diff, round(wd.d, 6)
         "federated_audit": f"WITH RECURSIVE {_E}, {_HOT}, {_student('1', 'h', ridge=1.0, weight='1.0::DOUBLE', by='id % 7')}, {_student('2', 'h', ridge=1.0, weight='1.0::DOUBLE')}, f AS ({_each_weight('1', 'federated')}), c AS ({_each_weight('2', 'central')}) SELECT f.i, f.c, federated, central, round(max(abs(federated - central)) OVER (), 9) + 0.0 AS max_weight_diff FROM f JOIN c ON f.i = c.i AND f.c = c.c",
         "budget_grid": _grid(),
         "refusals": _refusals(),
+        "monitor_windows": """WITH x AS (SELECT CAST(epoch(ts) AS BIGINT) AS s, epoch(ts) AS p, user_id, (ascii(event_type) + length(event_type)) % 5 AS a, (CAST(floor(value) AS BIGINT) % 5 + 5) % 5 AS b, event_id % 97 = 0 AS t FROM events),
+w AS (SELECT *, CAST(floor(p / 21600) AS BIGINT) * 21600 AS start FROM x)
+SELECT start, count(*) AS rows, count(*) FILTER (t) AS trusted, round(count(DISTINCT CASE WHEN t THEN a END) / 5.0::DOUBLE, 6) AS class_coverage, round(avg(CASE WHEN a <> b THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS disagreement,
+  count(DISTINCT user_id) AS active, round(count(DISTINCT user_id) / (SELECT CAST(count(DISTINCT user_id) AS DOUBLE) FROM events), 6) AS participation
+FROM w GROUP BY start HAVING start + 21600 <= (SELECT max(p) FROM x) - 3600""",
         "covariance": f"WITH {_E}, p AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM range(64) AS a(i), range(64) AS b(j) WHERE i <= j) SELECT i, j, round(covar_samp(e[i + 1], e[j + 1]), 6) + 0.0 AS c FROM e, p GROUP BY i, j",
         "block_mean": f"WITH {_PIX} SELECT id, CAST(i AS INT) AS i, round(x, 6) + 0.0 AS x FROM b",
         "color_stats": f"WITH {_PIX} SELECT CAST(i AS INT) AS i, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std FROM b GROUP BY i",
