@@ -14,7 +14,7 @@ from ..operators import audit, clusters, features, kernels, pipeline, sampling,
 from ..operators.arrays import collected
 from ..operators.student import build_targets, fit_landmark, fit_linear
 from ..operators.teacher import fit_teacher
-from ..sources import images, model_store, records
+from ..sources import archives, images, model_store, records
 from ..sources.shared import Store, shared_dir
 from ..streaming import monitor
 from . import experiments
@@ -430,6 +430,13 @@ def stored_model(spark, sf_dir):
     return _classes(model_store.load(spark, at, mark).scores(v), "scores")
 
 
+def archived_model(spark, sf_dir):
+    """Scores of a model that was written as an archive and read back by its fingerprint."""
+    v, at = _features(spark, sf_dir), _folder(spark, "archive")
+    mark = archives.save(spark, pipeline.fit(v, trusted(spark, sf_dir), LANDMARK), at)
+    return _classes(archives.load(spark, at, mark).scores(v), "scores")
+
+
 def monitoring(spark, sf_dir):
     v, t = _features(spark, sf_dir), trusted(spark, sf_dir)
     clients = spark.range(10).select(F.col("id").alias("client"), (F.col("id") < 8).alias("active"))
@@ -527,7 +534,7 @@ _NAMES = [
     gather_trusted, loose_sample, equal_split, landmark_sample, rbf_landmarks, nearest_centroid, first_m_per_class, untrusted_anti, gram_upper, gram_weighted, client_gram, client_gram_sum,
     rhs_targets, lineitem_gram, documents_labels, apportion, client_counts, client_owners, cumulative_cuts, largest_clients, client_accuracy, worst_client, participation, agreement,
     result_mismatches, paired_summary, centroid_update, covariance, block_mean, color_stats, image_layout, image_records, csv_round_trip, cached_features, grad_hist, teacher_scores, teacher_by_steps,
-    teacher_scores_two_views, teacher_probabilities, targets, student_weights, central_weights, landmark_features, landmark_weights, predictions, predictions_landmark, stored_model,
+    teacher_scores_two_views, teacher_probabilities, targets, student_weights, central_weights, landmark_features, landmark_weights, predictions, predictions_landmark, stored_model, archived_model,
     monitoring, mutation_audit, federated_audit, budget_grid, refusals, monitor_windows, client_sizes,
 ]
 
@@ -753,6 +760,7 @@ SELECT per_class, n, round(lm, 6) AS left_mean, round(ls, 6) AS left_std, round(
         "predictions": f"WITH RECURSIVE {_E}, {_teacher()}, {_student()} SELECT id, prediction FROM y",
         "predictions_landmark": f"WITH RECURSIVE {_E}, {_MAP}, {_teacher(blend=False)}, {_student(rows='f', ridge=1.0, weight='1.0::DOUBLE')} SELECT id, prediction FROM y",
         "stored_model": f"WITH RECURSIVE {_E}, {_teacher()}, {_student()} SELECT id, CAST(c AS INT) AS c, round(s, 6) + 0.0 AS scores FROM z",
+        "archived_model": f"WITH RECURSIVE {_E}, {_MAP}, {_teacher(blend=False)}, {_student(rows='f', ridge=1.0, weight='1.0::DOUBLE')} SELECT id, CAST(c AS INT) AS c, round(s, 6) + 0.0 AS scores FROM z",
         "monitoring": f"WITH RECURSIVE {_E}, {_teacher()}, {_student()}, tp AS (SELECT id, c FROM (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY p DESC, c) AS rk FROM p) WHERE rk = 1), b AS (SELECT label, avg(CASE WHEN prediction = label THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS a FROM y JOIN e USING (id) GROUP BY label) SELECT (SELECT count(DISTINCT label) FROM t) / 10.0::DOUBLE AS class_coverage, round((SELECT avg(CASE WHEN c <> prediction THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM tp JOIN y USING (id)), 6) AS disagreement, label AS worst_class, round(a, 6) AS worst_accuracy, 0.8::DOUBLE AS participation FROM b ORDER BY a, label LIMIT 1",
         "mutation_audit": f"""WITH RECURSIVE {_E}, la AS (SELECT id, CAST(label AS VARCHAR) AS label FROM e), lb AS (SELECT id, CASE WHEN id IN (SELECT id FROM t) THEN CAST(label AS VARCHAR) ELSE 'NOT-FOR-TRAINING' END AS label FROM e),
 ta AS (SELECT id, TRY_CAST(la.label AS INT) AS label FROM la JOIN (SELECT id FROM t) USING (id)), tb AS (SELECT id, TRY_CAST(lb.label AS INT) AS label FROM lb JOIN (SELECT id FROM t) USING (id)),
