@@ -152,8 +152,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: float = PERCE
 
     Null or empty text, or no words: n_shingles 0, linked with nothing. Rows of one doc_id count as rows of their own
     and share their component_id where their sets are linked. Null doc_id: never a component_id unless all of the group
-    are null; then component_id is null and kept true. Other columns are not read. No rows give no rows.
+    are null; then component_id is null and kept true. Other columns are not read. No rows give no rows. doc_id must be
+    a whole number or cast to one. A percent below PERCENT is refused: the lists' and the estimate's bounds are made for
+    that one, and would lose links of less similar documents.
     """
+    if not PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {PERCENT} to 100")
     spark = docs.sparkSession
     keep = Written(spark, "near")
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
