@@ -350,7 +350,7 @@ def color_stats(spark, sf_dir):
 
 
 def grad_hist(spark, sf_dir):
-    return features.fit_color(_pixels(spark, sf_dir)).transform(_pixels(spark, sf_dir)).select("id", F.round(exprs.total(F.col("view_a")), 3).alias("s"))
+    return features.fit_color(_pixels(spark, sf_dir)).transform(_pixels(spark, sf_dir), single=False).select("id", F.round(exprs.total(F.col("view_a")), 3).alias("s"))
 
 
 LANDMARK = Config(student="landmark", landmarks=64)
