@@ -331,21 +331,16 @@ def cached_features(spark, sf_dir):
 
 
 def _pixels(spark, sf_dir):
-    """Images whose pixels are the bytes of the texts."""
-    return features.from_blobs(_blobs(spark, sf_dir).select("id", "bytes"))
+    """Images whose pixels are the bytes of the texts; they become numbers in the tasks that use them."""
+    return _blobs(spark, sf_dir).select("id", F.col("bytes").alias("pixels"))
 
 
 def block_mean(spark, sf_dir):
-    from ..operators.arrays import with_array
-
-    out = with_array(_pixels(spark, sf_dir), "c", ["pixels"], features.block_means)
-    return _places(out, "c")
+    return _places(features.color_means(_pixels(spark, sf_dir)), "c")
 
 
 def color_stats(spark, sf_dir):
-    from ..operators.arrays import with_array
-
-    m, s = stats.column_moments(with_array(_pixels(spark, sf_dir), "c", ["pixels"], features.block_means), "c")
+    m, s = stats.column_moments(features.color_means(_pixels(spark, sf_dir)), "c")
     return spark.createDataFrame([(i, round(float(a), 6), round(float(b), 6)) for i, (a, b) in enumerate(zip(m, s, strict=True))], "i int, mean double, std double")
 
 
