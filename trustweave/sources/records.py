@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 NAME = "fixed_records"
-#: Bytes of a range, and of what a task reads of it at a time.
+#: Bytes of a range, and of what a task reads of it, or a writer makes, at a time.
 RANGE, BLOCK = 64 << 20, 4 << 20
 
 
@@ -100,16 +100,18 @@ class RecordWriter(DataSourceArrowWriter):
         system.create_dir(folder, recursive=True)
         at, n, out = f"{folder}/part-{uuid.uuid4().hex}.bin", 0, None
         try:
-            for batch in batches:
-                x = np.empty((batch.num_rows, self.length), np.uint8)
-                label, body = (batch.column(batch.schema.get_field_index(c)) for c in ("label", "bytes"))
-                for i, (one, rest) in enumerate(zip(label.to_pylist(), body.to_pylist(), strict=True)):
-                    if one is None or not 0 <= one < 256 or rest is None or len(rest) != self.length - 1:
-                        raise ValueError(f"a record is a label from 0 to 255 and {self.length - 1} bytes")
-                    x[i, 0], x[i, 1:] = one, np.frombuffer(rest, np.uint8)
-                if len(x):
+            for whole in batches:
+                for first in range(0, whole.num_rows, max(1, BLOCK // self.length)):
+                    batch = whole.slice(first, max(1, BLOCK // self.length))
+                    x = np.empty((batch.num_rows, self.length), np.uint8)
+                    label, body = (batch.column(batch.schema.get_field_index(c)) for c in ("label", "bytes"))
+                    for i, (one, rest) in enumerate(zip(label.to_pylist(), body, strict=True)):
+                        rest = rest.as_buffer()
+                        if one is None or not 0 <= one < 256 or rest is None or len(rest) != self.length - 1:
+                            raise ValueError(f"a record is a label from 0 to 255 and {self.length - 1} bytes")
+                        x[i, 0], x[i, 1:] = one, np.frombuffer(rest, np.uint8)
                     out = out or system.open_output_stream(at)
-                    out.write(x.tobytes())
+                    out.write(x)
                     n += len(x)
         finally:
             if out:
