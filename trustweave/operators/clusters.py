@@ -85,7 +85,7 @@ def lloyd(df: DataFrame, start: np.ndarray, rounds: int, seed: int = 0, vector:
     dealt = deal(df.withColumn("_none", F.array().cast("array<double>")), vector, "_none", rows=rows)
     if dealt.width not in (0, c.shape[1]):
         raise ValueError(f"vectors have {dealt.width} values and centroids {c.shape[1]}")
-    each = in_tasks(dealt.rows.select("client", "bucket", "phi", "id"), dealt.buckets, "client", "bucket").sortWithinPartitions("client", "bucket", "id")
+    each = in_tasks(dealt.rows.select("client", "bucket", "phi", "id"), dealt.buckets, "client", "bucket", size=dealt.bucket_bytes).sortWithinPartitions("client", "bucket", "id")
     blocks = store.put(each.mapInArrow(_pack, "bucket long, points binary"), "blocks")
     for step in range(rounds):
         sums, deepest = blocks.mapInArrow(_sums(c), _SUMS), dealt.deepest

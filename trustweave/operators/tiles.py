@@ -220,7 +220,7 @@ def tiled_statistics(df: DataFrame, phi: str, q: str, weight: str | None = None,
     stripes = max(1, -(-blocks // per))
     each = dealt.rows.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))) if stripes > 1 else F.lit(0))
     own = F.slice("phi", F.col("stripe") * (per * tile) + 1, dealt.width) if stripes > 1 else F.col("phi")
-    each = in_tasks(each.select("client", "bucket", "stripe", "id", own.alias("phi"), "q", "w"), dealt.buckets * stripes, "client", "bucket", "stripe")
+    each = in_tasks(each.select("client", "bucket", "stripe", "id", own.alias("phi"), "q", "w"), dealt.buckets * stripes, "client", "bucket", "stripe", size=dealt.bucket_bytes)
     each = each.sortWithinPartitions("client", "bucket", "stripe", "id").drop("id")
     cells, deepest = each.mapInArrow(_sum_stripes(tile, per, blocks, chunk), _CELLS), dealt.deepest
     while deepest > 0:
