@@ -101,7 +101,7 @@ class External:
 
     def __setitem__(self, name: str, values: np.ndarray) -> None:
         with self.fs.open_output_stream(f"{self.at}/{name}") as f:
-            f.write(np.ascontiguousarray(values).tobytes())
+            f.write(np.ascontiguousarray(values))
 
     def read(self, name: str, kind) -> np.ndarray:
         with self.fs.open_input_stream(f"{self.at}/{name}") as f:
@@ -111,23 +111,37 @@ class External:
         self.fs.delete_dir(self.at)
 
 
+def _numbered(x: np.ndarray, bits: int) -> np.ndarray:
+    """A number below len(x) for each value of x, the same for equal ones; values have so many bits. Values go to the sort
+    with their places in the bits behind, where both fit: plain numbers sort much faster than places by numbers."""
+    own = len(x).bit_length()
+    if bits + own > 63:
+        return np.unique(x, return_inverse=True)[1].astype(np.int64)
+    both = np.sort(x << own | np.arange(len(x)))
+    key, out = both >> own, np.zeros(len(x), np.int64)
+    out[both[1:] & ((1 << own) - 1)] = np.cumsum(key[1:] != key[:-1])
+    return out
+
+
 def symbols(data: bytes, width: int) -> np.ndarray:
     """A number for the `width` bytes at each place of data, filled up with zeros: equal bytes have equal numbers. Made
-    of numbers of 8 (or fewer) bytes by numbering pairs, so that no two symbols are taken for one."""
-    unit = min(width, 8)
-    assert width % unit == 0 and unit in (1, 2, 4, 8)
+    of numbers of 4 (or fewer) bytes by numbering pairs, so that no two symbols are taken for one."""
+    unit = min(width, 4)
+    assert width % unit == 0 and unit in (1, 2, 4)
     filled = np.frombuffer(data + b"\0" * width, np.uint8)
-    number = lambda x: np.unique(x, return_inverse=True)[1].astype(np.int64)
-    part = number(np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(filled, unit)).view(f"<u{unit}").ravel())
+    part = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(filled, unit)).view(f"<u{unit}").ravel().astype(np.int64)
+    part = _numbered(part, 8 * unit)
+    own = len(part).bit_length()
     shifted = lambda x, by: np.concatenate([x[by:], np.full(min(by, len(x)), x[-1])])
+    paired = lambda x, y, by: _numbered(x << own | shifted(y, by), 2 * own)
     out, have, left = None, 0, width // unit
     while left:
         if left & 1:
-            out = part if out is None else number(out << 32 | shifted(part, have))
+            out = part if out is None else paired(out, part, have)
             have += unit
         left >>= 1
         if left:
-            part = number(part << 32 | shifted(part, unit))
+            part = paired(part, part, unit)
             unit *= 2
     return out[: len(data)]
 
@@ -169,6 +183,7 @@ def repeated_starts(rows: list[bytes], folder: str, length: int = LENGTH, symbol
     docs = len(base)
     if not docs:
         return [np.zeros(0, np.int64) for _ in given]
+    kind = np.int32 if len(code) < 1 << 31 else np.int64  # of a place in the collection
     files = External(folder)
     try:
         place = np.arange(docs)  # of each document's longest suffix so far
@@ -176,7 +191,7 @@ def repeated_starts(rows: list[bytes], folder: str, length: int = LENGTH, symbol
         entry = code[column]
         files["bwt"] = entry.astype(np.int32)
         files["lcp"] = np.zeros(docs, np.uint8)
-        files["start"] = np.full(docs, -1, np.int64)
+        files["start"] = np.full(docs, -1, kind)
         files["entries"] = np.sort(entry << 32 | place)
         live = np.arange(docs)
         while len(live):
@@ -200,14 +215,15 @@ def repeated_starts(rows: list[bytes], folder: str, length: int = LENGTH, symbol
             a, b = (entries[before[same]] & 0xFFFFFFFF) + 1, entries[touched[same]] & 0xFFFFFFFF
             value[same] = np.minimum(_range_least(table, a, b) + np.uint8(1), need)
             # The files with the new suffixes in them.
-            bwt, start = files.read("bwt", np.int32), files.read("start", np.int64)
+            bwt, start = files.read("bwt", np.int32), files.read("start", kind)
             size = len(bwt) + len(live)
             fresh = np.zeros(size, bool)
             fresh[to] = True
             old = np.flatnonzero(~fresh)
             more = column > base[live]
             following = np.where(more, code[np.maximum(column - symbol, 0)], 0)
-            for name, was, now in (("bwt", bwt, following.astype(np.int32)), ("start", start, column)):
+            # Nothing is inserted behind the last round, so only starts and lengths are read again.
+            for name, was, now in (("bwt", bwt, following.astype(np.int32)), ("start", start, column))[0 if more.any() else 1 :]:
                 out = np.empty(size, was.dtype)
                 out[old], out[to] = was, now
                 files[name] = out
@@ -215,12 +231,14 @@ def repeated_starts(rows: list[bytes], folder: str, length: int = LENGTH, symbol
             out[old] = shared
             out[docs + touched] = value
             files["lcp"] = out
+            if not more.any():
+                break
             entries = (entries >> 32 << 32) | old[entries & 0xFFFFFFFF]
             live, place, entry, column = live[more], to[more], following[more], column[more] - symbol
             new = np.sort(entry << 32 | place)
             files["entries"] = np.insert(entries, np.searchsorted(entries, new), new)
         hit = np.flatnonzero(files.read("lcp", np.uint8) >= need)
-        start = files.read("start", np.int64)
+        start = files.read("start", kind).astype(np.int64)
         start_row = np.searchsorted(offset, start, side="right") - 1
         counted = start[(start >= 0) & many[start_row] & (start - offset[start_row] + length <= sizes[start_row])]
         at = np.unique(np.concatenate([start[hit], start[hit - 1], counted]))
